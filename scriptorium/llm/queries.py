@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from . import packing, token_files
 from .scratch import table
 
 
@@ -15,8 +15,16 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 ids, by column generation."""
+    return packing.packed_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_files": op3_token_files}
+    return {
+        "op3_token_files": op3_token_files,
+        "op4_packing": op4_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
