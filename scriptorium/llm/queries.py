@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import packing, simhash, token_files
 from .scratch import table
 
 
@@ -20,10 +20,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of four-word shingles, linked at four or fewer differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, radius=4)
+    return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_files": op3_token_files,
         "op4_packing": op4_packing,
+        "op5_simhash": op5_simhash,
     }
 
 
