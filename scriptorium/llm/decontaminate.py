@@ -19,13 +19,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import bounded, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
-#: Rows up to which a side is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -33,11 +31,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 class Index(NamedTuple):
     """terms: term, word. postings: term, row, pos, key (null but for term 0, the sentinel, whose pos is the number of words)."""
 
@@ -138,7 +131,7 @@ def contamination_table(docs: DataFrame, tests: DataFrame, **options) -> DataFra
 
 def clean(docs: DataFrame, tests: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """The documents without any hit, all columns; a key that is repeated goes if any of its rows has a hit, and rows with a null key stay."""
-    hit = contamination(docs, tests, key=key, **options).where("n_hit > 0").select(key).distinct()
+    hit = stored(contamination(docs, tests, key=key, **options).where("n_hit > 0").select(key).where(F.col(key).isNotNull()).distinct(), "contaminated")
     return docs.join(bounded(hit), key, "left_anti")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import small_batches, stored
+from .scratch import bounded, small_batches, stored
 from .tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
@@ -31,8 +31,6 @@ GRAIN = 8
 #: Relative distance to the linear program's bound at which column generation stops.
 TOLERANCE = 1e-4
 MAX_COLUMNS = 1500
-#: Rows of (partition, class) counts up to which they are broadcast; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 class Pattern(NamedTuple):
@@ -224,9 +222,7 @@ def assign(pieces: DataFrame, *, capacity: int = CAPACITY, grain: int = GRAIN) -
     slots = spark.createDataFrame(slots, "size_class int, rank_from long, rank_to long, first_sequence long, per_sequence int, first_slot int")
     earlier = Window.partitionBy("size_class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "size_class", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    if counts.count() <= BROADCAST_ROWS:
-        bases = F.broadcast(bases)
-    ranked = pieces.join(bases, ["part", "size_class"]).withColumn("rank", F.col("base") + F.col("part_rank"))
+    ranked = pieces.join(bounded(bases), ["part", "size_class"]).withColumn("rank", F.col("base") + F.col("part_rank"))
     within = F.col("rank") - F.col("rank_from")
     # The slots are a few rows for each size class, whatever the corpus.
     placed = (

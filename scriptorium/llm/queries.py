@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, simhash, token_files
+from . import decontaminate, packing, quality, simhash, token_files, toxicity
 from .scratch import table
 
 
@@ -31,12 +31,24 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy-or over sentences, learned from document labels."""
+    return toxicity.toxicity_table(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak labels, their posteriors and the linear scorer trained on these."""
+    return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op3_token_files": op3_token_files,
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
         "op7_decontamination": op7_decontamination,
+        "op9_toxicity": op9_toxicity,
     }
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import small_batches, stored
+from .scratch import bounded, small_batches, stored
 
 BITS = 64
 PIVOTS = 24
@@ -180,8 +180,12 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **opti
     Rows that share a key are one document, of which repeats go; rows without a key can't be told
     apart and stay.
     """
-    kept = near_duplicates(docs, key=key, text=text, **options).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key, text]).unionByName(docs.where(F.col(key).isNull()))
+    found = stored(near_duplicates(docs, key=key, text=text, **options).where(F.col(key).isNotNull()), "near-duplicates")
+    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    kept = docs.join(bounded(gone), key, "left_anti")
+    if found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
+        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key, text]).unionByName(kept.where(F.col(key).isNull()))
+    return kept
 
 
 def hex16(fp) -> F.Column:
