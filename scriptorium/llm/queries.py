@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, simhash, token_files, toxicity
+from . import chat, decontaminate, html_text, licenses, packing, quality, simhash, token_files, toxicity, vptree
 from .scratch import table
 
 
@@ -41,18 +41,43 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of the conversations, roles recovered by Viterbi, turns rendered."""
+    return chat.chat_table(table(spark, sf_dir, "conversations"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, site templates removed."""
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector by vantage-point trees."""
+    return vptree.nearest_table(table(spark, sf_dir, "embeddings"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences of every document and the licences whose rules they match."""
+    return licenses.license_table(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_chat": op2_chat,
         "op3_token_files": op3_token_files,
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
+        "op6_html": op6_html,
         "op7_decontamination": op7_decontamination,
+        "op8_neighbours": op8_neighbours,
         "op9_toxicity": op9_toxicity,
+        "op10_licenses": op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_decontamination": decontaminate.ORACLE,
+        "op10_licenses": licenses.oracle(),
     }
