@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import links, texts
+
+_PARTS = (links, texts)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
