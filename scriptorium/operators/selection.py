@@ -11,7 +11,7 @@ def selection(text: Column, total: Column) -> Column:
 
     Ranges are cut to 1 to ``total`` before they are spelled out.
     """
-    tokens = F.filter(F.transform(F.split(F.translate(text, "; ", ",,"), ","), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(F.translate(text, "; ", ",,"), ","), lambda t: F.trim(t)), lambda t: t != "")
     good = F.forall(tokens, lambda t: t.rlike(r"^[0-9]+\s*(-\s*[0-9]+)?$"))
     end = lambda t, n: F.get(F.split(t, "-"), F.lit(n))
     number = lambda s: F.coalesce(F.trim(s).try_cast("long"), F.lit(1 << 62))
