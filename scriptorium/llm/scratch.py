@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
+#: Folder by application, where the session sets none.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of this machine only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        folder = _OWN[application]
     return folder.rstrip("/")
 
 
