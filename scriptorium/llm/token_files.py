@@ -37,6 +37,8 @@ FOOTER = "<8sIQQQ"
 FOOTER_BYTES = struct.calcsize(FOOTER)
 #: Documents a shard has, about; it bounds the index that a task holds.
 ROWS_PER_SHARD = 8192
+#: Shards at most: beyond, they get longer. It bounds what the driver and each task know of the shards.
+MAX_SHARDS = 65_536
 LOWEST = -(1 << 63)
 
 
@@ -104,7 +106,7 @@ def write(docs: DataFrame, path: str | None = None, *, key: str = "doc_id", text
     small_batches(spark)
     path, tokenizer = path or new_path(spark, "token-shards"), tokenizer or default_tokenizer()
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    shards = max(1, -(-rows.count() // rows_per_shard))
+    shards = min(MAX_SHARDS, max(1, -(-rows.count() // rows_per_shard)))
     # The text's hash beside the key keeps one very frequent key from filling one shard.
     order = [F.col("k").asc_nulls_first(), F.xxhash64("t").asc()]
     ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
@@ -151,8 +153,7 @@ def lookup(keys: DataFrame, path: str, key: str | None = None) -> DataFrame:
 
     Returns key, shard, ordinal, start (ids of all documents before it), n_ids and ids
     (binary, little-endian unsigned 32-bit). Repeated keys are looked up once; absent keys
-    give no row. The driver and every task hold three numbers a shard, which rows_per_shard bounds to
-    a few thousandths of the documents.
+    give no row. The driver and every task hold three numbers a shard, of which there are at most MAX_SHARDS.
     """
     spark = keys.sparkSession
     key = key or keys.columns[0]
