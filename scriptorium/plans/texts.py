@@ -248,7 +248,7 @@ SELECT doc_id, regexp_replace(replace({_FOLDED.format("kept")}, chr(10), ' '), '
 SELECT doc_id, left(x, (SELECT max(n) FROM range(1, 121) r(n) WHERE n + length(regexp_replace(left(x, CAST(n AS INT)), '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) <= 120)) AS name FROM a""",
     "t_small_functions": rf"""WITH {_D} SELECT doc_id, 'a-b' || translate(text, '|', '-') AS table_title, CASE WHEN doc_id < 1000 THEN lpad(CAST(doc_id AS VARCHAR), 3, '0') ELSE CAST(doc_id AS VARCHAR) END || '_N ' || doc_id AS stem, 'x' || doc_id AS target,
 CASE WHEN doc_id % 5 = 0 OR doc_id = 0 THEN '  --  ' ELSE printf('%3d:%02d', CAST(floor(floor(doc_id * 7.5) / 60) AS BIGINT), CAST(floor(doc_id * 7.5) AS BIGINT) % 60) END AS duration, 'm' || doc_id AS model, 'SAVE_MP' || doc_id AS config_key,
-CASE WHEN doc_id % 3 = 0 THEN 2.5 ELSE 60.0 END AS number, '%(title).' || CASE WHEN doc_id % 200 BETWEEN 80 AND 180 THEN doc_id % 200 ELSE 150 END || 'B.%(ext)s' AS template, left(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')[1], 160) AS first_line, 'Clip ' || doc_id || '.final' AS local_title FROM d""",
+CAST(CASE WHEN doc_id % 3 = 0 THEN 2.5 ELSE 60.0 END AS DOUBLE) AS number, '%(title).' || CASE WHEN doc_id % 200 BETWEEN 80 AND 180 THEN doc_id % 200 ELSE 150 END || 'B.%(ext)s' AS template, left(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')[1], 160) AS first_line, 'Clip ' || doc_id || '.final' AS local_title FROM d""",
     "t13_redact": rf"WITH {_MSG} SELECT event_id, left(regexp_replace({_single('m')}, '(?i)([?&](?:key|api[_-]?key)=)[^&\s]+', '\1[REDACTED]', 'g'), 500) AS message FROM e",
     "f_error_classes": f"WITH {_MSG}{_CLS} SELECT event_id, permanent, no_model, transient, quota, class, {_DELAY} AS delay, coalesce({_DELAY}, 60.0) AS cooldown FROM k",
     "f_settings": "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN true ELSE event_id % 2 = 0 END AS yes, CASE WHEN event_id % 4 = 0 THEN 720 ELSE 1080 END AS height, event_id % 5 = 0 AS generates FROM events",
@@ -256,7 +256,7 @@ CASE WHEN doc_id % 3 = 0 THEN 2.5 ELSE 60.0 END AS number, '%(title).' || CASE W
     "a4_error_counts": f"WITH {_MSG}{_CLS} SELECT tier, class, count(*) AS n FROM k GROUP BY tier, class",
     "a3_successes": "SELECT user_id, CAST(sum(CASE WHEN coalesce(event_type <> 'error', true) THEN 1 ELSE 0 END) AS BIGINT) AS ok, count(*) AS total, bool_and(coalesce(event_type <> 'error', true)) AS all_ok FROM events GROUP BY user_id",
     "st5_first_client": f"WITH {_MSG}{_CLS}, t AS (SELECT event_id // 5 AS item, event_id % 5 AS n, ['default', 'android', 'ios', 'mweb', 'tv'][event_id % 5 + 1] AS client, m, permanent FROM k), s AS (SELECT item, least(min(CASE WHEN permanent THEN n END), min(CASE WHEN m IS NULL THEN n END)) AS stop FROM t GROUP BY item) SELECT item, arg_min(client, n) FILTER (WHERE m IS NULL) AS client, count(*) AS tried FROM t JOIN s USING (item) WHERE stop IS NULL OR n <= stop GROUP BY item",
-    "f6_usable_keys": "WITH a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'GEMINI_API_KEY_' || event_id WHEN 1 THEN 'GEMINI_API_KEY_FREE_' || event_id END AS name, event_id % 500 AS v FROM events WHERE event_id % 4 < 2 AND event_id % 7 > 0 AND event_id % 11 > 0) SELECT name, CASE WHEN contains(name, 'FREE') THEN 'free' ELSE 'paid' END AS tier, CASE WHEN contains(name, 'FREE') THEN 4.5 ELSE 0.5 END AS interval FROM (SELECT arg_min(name, event_id) AS name FROM a GROUP BY v)",
+    "f6_usable_keys": "WITH a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'GEMINI_API_KEY_' || event_id WHEN 1 THEN 'GEMINI_API_KEY_FREE_' || event_id END AS name, event_id % 500 AS v FROM events WHERE event_id % 4 < 2 AND event_id % 7 > 0 AND event_id % 11 > 0) SELECT name, CASE WHEN contains(name, 'FREE') THEN 'free' ELSE 'paid' END AS tier, CAST(CASE WHEN contains(name, 'FREE') THEN 4.5 ELSE 0.5 END AS DOUBLE) AS interval FROM (SELECT arg_min(name, event_id) AS name FROM a GROUP BY v)",
     "f7_models": "SELECT event_id, 'm' || event_id || ',two,three' AS models FROM events",
     "o4_best_format": """WITH f AS (SELECT event_id, event_id // 6 AS media, CASE WHEN event_id % 4 > 0 THEN (event_id % 5) * 360 END AS h, CASE WHEN event_id % 3 > 0 THEN (event_id % 7) * 300 END AS w, event_id % 6 <> 1 AS v, event_id % 2 = 0 AS a FROM events),
 r AS (SELECT *, CASE WHEN v AND NOT a AND h <= 1080 THEN 1 WHEN v AND a AND h <= 1080 THEN 2 WHEN v AND NOT a AND w <= 1080 THEN 3 WHEN v AND a AND w <= 1080 THEN 4 WHEN v AND a THEN 5 END AS rank FROM f)
