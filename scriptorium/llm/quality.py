@@ -4,7 +4,7 @@ Heuristic labellers vote good (+), bad (-) or abstain (0) on every document. Exp
 maximisation over the counts of vote patterns, which cover the whole corpus and of which there are at most
 3 ** labellers, estimates each labeller's accuracy on good and on bad documents and with them each
 pattern's posterior. The posteriors label a bounded sample (MAX_TRAIN_DOCS documents, those with
-the smallest hash of their features) on which a linear scorer over hashed word shapes and text statistics is
+the smallest hash of key, votes and features) on which a linear scorer over hashed word shapes and text statistics is
 trained; every document is then scored from its whole text.
 
 Defined cases: null, empty and blank texts get no votes, have no features and are rejected;
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bounded, small_batches, stored
+from .scratch import bounded, hashed_sample, small_batches, stored
 
 DIM = 512
 MAX_TRAIN_DOCS = 8000
@@ -200,12 +200,12 @@ def fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(examined: DataFrame, *, max_docs: int = MAX_TRAIN_DOCS) -> tuple[dict[str, float], np.ndarray]:
+def fit(examined: DataFrame, *, key: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS) -> tuple[dict[str, float], np.ndarray]:
     """Posterior of each vote pattern, and the scorer's weights."""
     judged = examined.where("judged")
     counts = {r["votes"]: r["n"] for r in judged.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     good = posteriors(counts)
-    sample = judged.select("votes", "features").orderBy(F.xxhash64("features"), "votes").limit(max_docs).collect()
+    sample = hashed_sample(judged.select(key, "votes", "features"), max_docs, key, "votes", "features").collect()
     if not sample:
         return good, np.zeros(DIM + 1)
     x = np.frombuffer(b"".join(r["features"] for r in sample), np.uint8).reshape(-1, DIM).astype(np.float32)
@@ -215,7 +215,7 @@ def fit(examined: DataFrame, *, max_docs: int = MAX_TRAIN_DOCS) -> tuple[dict[st
 def assess(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """key, votes, posterior (of the votes), score (of the scorer), accepted."""
     examined = examine(docs, key=key, text=text)
-    good, weights = fit(examined, max_docs=max_docs)
+    good, weights = fit(examined, key=key, max_docs=max_docs)
     own, bias = weights[:-1] / 255.0, weights[-1]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
