@@ -35,10 +35,31 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that are never main text.
 FURNITURE = frozenset("head script style noscript template iframe nav header footer aside form button select option textarea input svg canvas object embed dialog menu title".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|adbox|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|rail|widgets?|footer|header|masthead|topbar|toolbar|social|share|sharing|related|recommended|recommendations|trending|comments?|commentlist|discussion|replies|reply|disqus|respond|tags|pagination|pager|skip|alert)(?:$|[-_\s])",
-    re.I,
+#: Parts of class and id names that say so, unless the name says what the page has or lacks ("has-sidebar").
+FURNITURE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices notification"
+    " newsletter subscribe subscription signup login popup modal overlay menu menus nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets footer header masthead topbar toolbar"
+    " social share sharing sharebar related recommended recommendations trending comment comments commentlist discussion reply replies disqus respond pagination pager skip alert".split()
 )
+NOT_OF_IT = frozenset("has no with without is".split())
+#: Headers that are the site's even inside the article.
+SITE = frozenset("site page global top main-site".split())
+
+
+def says_furniture(names: str, main: bool) -> bool:
+    """Whether class or id names mark furniture. An article's own header isn't, nor is a wrapper named for what it has."""
+    for name in names.lower().split():
+        parts = re.split(r"[-_]+", name)
+        if parts[0] in NOT_OF_IT or name in ("side-by-side",):
+            continue
+        own = FURNITURE_NAMES.intersection(parts)
+        if main and own == {"header"} and not SITE.intersection(parts):
+            continue
+        if own or name in ("side", "side-bar", "side-column", "right-rail", "left-rail"):
+            return True
+    return False
+
+
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: A start of the first closes an open element of the second, up to a border.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -61,10 +82,10 @@ def _open(tag: str, attributes: str, parent: _Node) -> _Node:
     names = f"{found.get('class', '')} {found.get('id', '')}".strip()
     role = found.get("role", "").lower()
     keeps = tag in ("html", "body", "main") or (tag == "article" and not names)
-    furniture = tag in FURNITURE or role in FURNITURE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(names and not keeps and FURNITURE_NAMES.search(names))
-    # A heading element of the article itself may be marked up as a header.
-    if tag == "header" and parent.main and not names:
-        furniture = False
+    named = bool(names and not keeps and says_furniture(names, parent.main))
+    # The article's own heading may be marked up as a header.
+    by_tag = tag in FURNITURE and not (tag == "header" and parent.main)
+    furniture = by_tag or named or role in FURNITURE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
     main = parent.main or (not furniture and (tag in ("article", "main") or role in ("main", "article")))
     return _Node(tag, parent, parent.dropped or furniture, names, main)
 

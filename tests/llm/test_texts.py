@@ -111,6 +111,13 @@ def test_broken_markup():
     assert blocks('<p title="a>b">x</p><P>y</P >') == ["x", "y"]
 
 
+def test_furniture_by_name():
+    page = '''<body class="page has-sidebar"><header class="site-header">S</header><article class="post no-comments"><header class="entry-header"><h1>H</h1></header>
+    <div class="side-by-side"><p>a</p></div><form>f</form><div class="ad-slot">x</div><div id="cookie_banner">c</div><aside>y</aside><div class="shadow">s</div>
+    <footer>z</footer><ol class="commentlist"><li>n</ol></article><div class="newsletter-signup">m</div></body>'''
+    assert blocks(page) == ["H", "a", "s"]
+
+
 def test_templates_go_and_articles_stay(spark):
     page = "<body><div class=box>Join our club</div><div><p>Story {0}</p><div>Filed under news</div><p>Shared line</p></div>"
     rows = [(i, "https://a.example/x", page.format(i)) for i in range(10)] + [(99, "https://b.example/x", page.format(0))]
