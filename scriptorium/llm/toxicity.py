@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bounded, small_batches, stored
+from .scratch import bounded, hashed_sample, small_batches, stored
 
 SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”‘’…"
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """Learn from the labelled ``docs`` that are not held out, at most ``max_docs`` of them."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("y"))
-    chosen = known.orderBy(F.xxhash64(key), key).limit(max_docs)
+    chosen = hashed_sample(known, max_docs, key, "y")
     sample = stored(docs.select(F.col(key), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), key).select("y", "t"), "labelled")
     n, toxic = sample.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not toxic or toxic == n:
