@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import is_social, strip
+from .urls import is_social, let, replace_spaces, strip
 
 # Character classes and patterns that decide names.
 EMOJI = r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}]"
@@ -36,40 +36,51 @@ def _decompositions() -> tuple[str, str]:
 COMPOSED, BASE = _decompositions()
 
 
+def beyond_ascii(s: Column, change) -> Column:
+    """``change(s)``, spared where all of ``s`` is ASCII and nothing can change."""
+    return let(s, lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), change(x)).otherwise(x))
+
+
 def fold_marks(s: Column) -> Column:
     """Letters without diacritics, ``đ`` as ``d``."""
-    return F.regexp_replace(F.translate(s, COMPOSED, BASE), r"\p{Mn}", "")
+    return beyond_ascii(s, lambda x: F.regexp_replace(F.translate(x, COMPOSED, BASE), r"\p{Mn}", ""))
 
 
 def shorten(s: Column, most: int = NAME_LENGTH) -> Column:
     """Trimmed; if longer than ``most`` cut there, back to the last blank if that is late enough, without closing punctuation."""
-    name = strip(s)
-    cut = F.substring(name, 1, most)
-    # 0-based place of the last blank; -1 if there is none
-    last = F.when(F.contains(cut, F.lit(" ")), F.length(cut) - F.instr(F.reverse(cut), " ")).otherwise(-1)
-    back = F.when(last >= LEAST_CUT, F.left(cut, last)).otherwise(cut)
-    return F.when(F.length(name) <= most, name).otherwise(F.regexp_replace(back, "[ .,_-]+$", ""))
+    def cut(name: Column) -> Column:
+        # 0-based place of the last blank; -1 if there is none
+        place = lambda c: F.when(F.contains(c, F.lit(" ")), F.length(c) - F.instr(F.reverse(c), " ")).otherwise(-1)
+        back = let(F.substring(name, 1, most), lambda c: F.when(place(c) >= LEAST_CUT, F.left(c, place(c))).otherwise(c))
+        return F.when(F.length(name) <= most, name).otherwise(F.regexp_replace(back, "[ .,_-]+$", ""))
+
+    return let(strip(s), cut)
 
 
 def single_spaced(s: Column) -> Column:
-    return strip(F.regexp_replace(s, r"(?U)[\s\x1c-\x1f]+", " "))
+    return strip(replace_spaces(s, "{}+", " "))
+
+
+def _plain(s: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(s, DASHES, "-"), EMOJI, "")
 
 
 def file_name(s: Column) -> Column:
     """A short name for files: text before the first ``|`` or ``#``, folded, without emoji."""
     name = fold_marks(strip(F.regexp_extract(s, r"(?s)^([^|#]*)", 1)))
-    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, EMOJI, ""), DASHES, "-"), FORBIDDEN, "_")
+    name = F.regexp_replace(beyond_ascii(name, _plain), FORBIDDEN, "_")
     return shorten(single_spaced(name))
 
 
 def representative_title(url: Column, title: Column, raw: Column | None = None) -> Column:
     """A social post's caption without its counters and page name; the raw text's first words if none is left."""
-    counted = title.rlike(COUNTERS)
-    caption = F.when(counted, strip(F.regexp_replace(title, COUNTERS, ""))).otherwise(title)
-    named = F.when(counted & F.contains(caption, F.lit(" - ")), strip(F.regexp_replace(caption, r"(?s) - (?:(?! - ).)*$", ""))).otherwise(caption)
+    def caption(t: Column) -> Column:
+        own = strip(F.regexp_replace(t, COUNTERS, ""))
+        return F.when(t.rlike(COUNTERS), let(own, lambda c: F.when(F.contains(c, F.lit(" - ")), strip(F.regexp_replace(c, r"(?s)^(.*) - .*$", "$1"))).otherwise(c))).otherwise(t)
+
     first = strip(F.array_join(F.slice(F.split(single_spaced(F.coalesce(raw, F.lit(""))), " "), 1, 12), " ")) if raw is not None else F.lit("")
-    own = F.when(named != "", named).when(first != "", first).otherwise(title)
-    return F.when(is_social(url), own).otherwise(title)
+    named = let(caption(title), lambda c: F.when(c != "", c).otherwise(let(first, lambda f: F.when(f != "", f).otherwise(title))))
+    return F.when(is_social(url), named).otherwise(title)
 
 
 def local_title(path: Column) -> Column:
@@ -79,18 +90,21 @@ def local_title(path: Column) -> Column:
 
 def plain_markdown(s: Column) -> Column:
     """Short hyphens, no emoji, no runs of blanks."""
-    return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, DASHES, "-"), EMOJI, ""), r"[ \t]{2,}", " "))
+    return strip(F.regexp_replace(beyond_ascii(s, _plain), r"[ \t]{2,}", " "))
 
 
 def custom_name(s: Column) -> Column:
     """A file name as entered, made safe and cut to 120 UTF-16 units; an empty one is an error."""
-    name = strip(s)
-    name = F.regexp_replace(name, r"(?i)\.mp[34]$", "")
+    name = F.regexp_replace(strip(s), r"(?i)\.mp[34]$", "")
     name = F.regexp_replace(single_spaced(F.regexp_replace(name, FORBIDDEN, "_")), r"\.+$", "")
-    # Characters beyond the Basic Multilingual Plane take two units: the longest prefix that fits.
-    units = F.transform(F.sequence(F.lit(1), F.lit(UTF16_UNITS)), lambda n: F.struct((F.octet_length(F.encode(F.left(name, n), "UTF-16LE")) / 2).alias("units"), n.alias("n")))
-    fits = F.array_max(F.transform(F.filter(units, lambda u: u["units"] <= UTF16_UNITS), lambda u: u["n"]))
-    return F.when(name == "", F.raise_error(F.lit("a file name must not be empty"))).otherwise(F.left(name, fits))
+
+    def fitting(n: Column) -> Column:
+        # Characters beyond the Basic Multilingual Plane take two units: the longest prefix that fits.
+        units = F.transform(F.sequence(F.lit(1), F.lit(UTF16_UNITS)), lambda k: F.struct((F.octet_length(F.encode(F.left(n, k), "UTF-16LE")) / 2).alias("units"), k.alias("k")))
+        return F.left(n, F.array_max(F.transform(F.filter(units, lambda u: u["units"] <= UTF16_UNITS), lambda u: u["k"])))
+
+    # No prefix of 120 units has more than 120 characters.
+    return let(name, lambda n: F.when(n == "", F.raise_error(F.lit("a file name must not be empty"))).otherwise(let(F.left(n, F.lit(UTF16_UNITS)), fitting)))
 
 
 def table_title(s: Column) -> Column:

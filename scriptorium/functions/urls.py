@@ -18,14 +18,24 @@ BARE_CHANNEL = r"^/(@[^/]+|channel/[^/]+|(c|user)/[^/]+)$"
 _SHAPE = r"(?s)^[\x00-\x20]*(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
+#: White space of text tools. Spelled out one by one, a class of these is one table lookup up to U+00FF in Java.
+ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+SPACE = ASCII_SPACE + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(s: Column) -> Column:
-    """Trim Unicode white space, as text tools do; Spark's trim only removes blanks."""
-    return F.regexp_replace(s, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Trim Unicode white space, as text tools do; by default Spark's trim only removes blanks."""
+    return F.trim(s, F.lit(SPACE))
+
+
+def replace_spaces(s: Column, pattern: str, to: str) -> Column:
+    """Replace ``pattern``, in which {} stands for a class of white space; the class is short where all of ``s`` is ASCII."""
+    return let(s, lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), F.regexp_replace(x, pattern.format(f"[{SPACE}]"), to)).otherwise(F.regexp_replace(x, pattern.format(f"[{ASCII_SPACE}]"), to)))
 
 
 def _part(url: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import strip
+from ..functions.urls import let, replace_spaces, strip
 from .dedup import first_wins
 
 # Lines that are headers, and the mark of a cue's times.
@@ -29,15 +29,20 @@ def fold_text(lines: Column) -> Column:
 
 def caption_lines(text: Column) -> Column:
     """Spoken lines in order: without headers, cue times, the line before each cue time, and tags."""
-    lines = F.split(text, r"\r\n|\r|\n")
-    spoken = lambda x: (strip(x) != "") & ~strip(x).rlike("^(" + "|".join(HEADERS) + ")") & ~F.contains(x, F.lit(CUE))
-    kept = F.filter(lines, lambda x, i: spoken(x) & ~F.coalesce(F.contains(F.get(lines, i + 1), F.lit(CUE)), F.lit(False)))
-    return F.filter(F.transform(kept, lambda x: F.regexp_replace(strip(x), "<[^>]+>", "")), lambda x: x != "")
+    def spoken(x: Column) -> Column:
+        return let(strip(x), lambda y: (y != "") & ~y.rlike("^(" + "|".join(HEADERS) + ")")) & ~F.contains(x, F.lit(CUE))
+
+    def kept(lines: Column) -> Column:
+        # Each line with the next one: looking the next one up by its place would read the array once a line.
+        paired = F.zip_with(lines, F.concat(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.lit(""))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        return F.transform(F.filter(paired, lambda p: spoken(p["x"]) & ~F.contains(p["y"], F.lit(CUE))), lambda p: F.regexp_replace(strip(p["x"]), "<[^>]+>", ""))
+
+    return F.filter(let(F.split(text, r"\r\n|\r|\n"), kept), lambda x: x != "")
 
 
 def caption_text(text: Column) -> Column:
     """Clean running text of a caption file; white space after a sentence's end becomes a blank line."""
-    return F.regexp_replace(fold_text(caption_lines(text)), r"(?U)(?<=[.!?])\s+", "\n\n")
+    return replace_spaces(fold_text(caption_lines(text)), "([.!?]){}+", "$1\n\n")
 
 
 def choose_caption(media: DataFrame, files: DataFrame, *, media_id: str = "media_id", name: str = "name") -> DataFrame:
