@@ -5,12 +5,12 @@ Rows are DataFrames with pos (place in the file, larger is older), stt, url, tit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import table_title, wikilink, wikilink_target
 from ..functions.urls import canonical_url, strip
-from .dedup import first_wins
+from .dedup import first_wins, numbered
 
 COLUMNS = ("pos", "stt", "url", "title", "ts", "raw_link", "refine_link", "status")
 TIME = "dd/MM/yy HH:mm:ss"
@@ -55,8 +55,6 @@ def assign_numbers(links: DataFrame, manifest: DataFrame, *, url: str = "url", p
 
     Only the new distinct keys are numbered, and of these only a count per cell of places meets in one task.
     """
-    from .dedup import numbered
-
     own = links.withColumn("url_key", canonical_url(F.col(url)))
     known = known_keys(manifest)
     first = own.join(known, "url_key", "left_anti").groupBy("url_key").agg(F.min(pos).alias("_first"))
@@ -80,7 +78,7 @@ def upsert(manifest: DataFrame, results: DataFrame, now) -> DataFrame:
     updated = joined.select(*(F.when(F.col("_hit"), new_cells[c]).otherwise(F.col(c)).alias(c) if c in new_cells else F.col(c) for c in COLUMNS))
     fresh = latest.join(first, "url_key", "left_anti")
     # Numbers missing from results follow the highest known, in result order.
-    missing = fresh.where(F.col("r.stt").isNull()).select("url_key", F.row_number().over(Window.orderBy("r.order")).alias("_n"))
+    missing = numbered(fresh.where(F.col("r.stt").isNull()).select("url_key", F.col("r.order").alias("_order")), "_order", "_n").select("url_key", "_n")
     edge = own.agg(F.coalesce(F.min("pos"), F.lit(0)).alias("_top"), F.coalesce(F.max("stt"), F.lit(0)).alias("_max"))
     places = fresh.join(missing, "url_key", "left").crossJoin(F.broadcast(edge)).crossJoin(F.broadcast(fresh.agg(F.coalesce(F.max("r.order"), F.lit(0)).alias("_last"), F.coalesce(F.max("r.stt"), F.lit(0)).alias("_given"))))
     number = F.coalesce(F.col("r.stt"), F.greatest("_max", "_given") + F.col("_n"))
