@@ -1,0 +1,129 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles.
+
+A row's shingles are a set; rows with equal sets are one class from the start. Two sets of similarity s or
+more share a shingle among the first n - ceil(s n) + 1 of each, in any order that is the same for all sets, so
+joining those prefixes meets every such pair. The order puts shingles that are frequent in a sample last: the
+sample decides how much meets, never what is found. Pairs that meet pass the bounds that sizes and places
+imply, and are then compared by their whole sets; only pairs of ``LEAST`` and more are links.
+
+Defined cases: null and word-less texts have no shingles and are one class; texts of fewer words than a shingle
+are one shingle; every row counts, whether its key is null, repeated or neither; of each component the
+row with the least key stays, null keys last, and of rows with that key the first.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .scratch import bounded, small_batches, stored
+from .simhash import HASH_SEED
+
+#: Jaccard similarity from which two texts are near-duplicates, as numerator and denominator.
+LEAST = (4, 5)
+#: Rows whose shingles are counted for the order, and shingles that the order knows as frequent.
+SAMPLE_ROWS, FREQUENT = 10_000, 100_000
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted XXH64 hashes of the different shingles (A-Z lower-cased, split at ASCII white space)."""
+    import xxhash
+
+    listed = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not listed:
+        return np.zeros(0, np.int64)
+    digest = xxhash.xxh64_intdigest
+    said = {b" ".join(listed[i : i + words]) for i in range(max(1, len(listed) - words + 1))}
+    return np.unique(np.fromiter((digest(s, seed=HASH_SEED) for s in said), np.uint64, len(said)).view(np.int64))
+
+
+def _frequent(numbered: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample (sorted) and how often they do."""
+    share = max(1, numbered.count() // SAMPLE_ROWS)
+    rows = numbered.where(F.pmod(F.xxhash64("_row"), F.lit(share)) == 0).select(F.col(text).cast("string"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, words))], ["s"])
+
+    counts = rows.mapInArrow(listed, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    known = counts.orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
+    s, n = (known.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def _sets(rows: DataFrame, text: str, words: int) -> DataFrame:
+    """_row, s (all shingles)."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([shingles(t, words) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own], ["_row", "s"])
+
+    return rows.select("_row", F.col(text).cast("string").alias("t")).mapInArrow(seen, "_row long, s array<long>")
+
+
+def _marked(numbered: DataFrame, text: str, words: int) -> DataFrame:
+    """_row, same (digest of the shingles), n (how many there are), prefix (shingles in order)."""
+    import xxhash
+
+    (up, down), (known, often) = LEAST, _frequent(numbered, text, words)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, sizes, prefixes = [], [], []
+            for t in batch.column(1).to_pylist():
+                s = shingles(t, words)
+                same.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sizes.append(len(s))
+                count = np.zeros(len(s), np.int64)
+                if len(known) and len(s):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    count = np.where(known[at] == s, often[at], 0)
+                prefixes.append(s[np.lexsort((s, count))[: len(s) - -(-up * len(s) // down) + 1]])
+            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "same", "n", "prefix"])
+
+    rows = numbered.select("_row", F.col(text).cast("string").alias("t"))
+    return stored(rows.mapInArrow(seen, "_row long, same binary, n int, prefix array<long>"), "shingle-prefixes")
+
+
+def _enough(shared, x, y):
+    """Whether sets of sizes x and y that share so many shingles are similar."""
+    up, down = LEAST
+    return shared * (up + down) >= (x + y) * up
+
+
+def links(numbered: DataFrame, classes: DataFrame, marked: DataFrame, *, text: str, words: int) -> DataFrame:
+    """Rows a, b, each the first of its class: all pairs of different classes with a similarity of ``LEAST`` or more."""
+    own = marked.select("_row", "n", "prefix").join(bounded(classes.select(F.col("first").alias("_row"))), "_row", "left_semi")
+    postings = stored(own.select(F.col("_row").alias("id"), "n", F.posexplode("prefix").alias("at", "s")), "shingle-postings")
+    x, y = (postings.select("s", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("at").alias(f"at_{i}")) for i in "ab")
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # this shingle and those after it
+    pairs = x.join(y, "s").where((F.col("a") < F.col("b")) & _enough(left, F.col("n_a"), F.col("n_b")))
+    pairs = stored(pairs.select("a", "b").distinct(), "shingle-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+    sets = stored(_sets(numbered.join(bounded(stored(asked, "shingle-asked")), "_row", "left_semi"), text, words), "shingle-sets")
+    both = pairs.join(sets.select(F.col("_row").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("_row").alias("b"), F.col("s").alias("s_b")), "b")
+    return both.where(_enough(F.size(F.array_intersect("s_a", "s_b")), F.size("s_a"), F.size("s_b"))).select("a", "b")
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+    """Of each component of similar rows one row, with all its columns."""
+    small_batches(docs.sparkSession)
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    marked = _marked(numbered, text, words)
+    classes = stored(marked.groupBy("same").agg(F.min("_row").alias("first")), "shingle-classes")
+    roots = components(stored(links(numbered, classes, marked, text=text, words=words), "links")).withColumnRenamed("node", "first")
+    rooted = classes.join(roots, "first", "left").select("same", F.coalesce("root", "first").alias("root"))
+    rows = stored(marked.select("_row", "same").join(rooted, "same").select("_row", "root").join(numbered.select("_row", F.col(key).alias("k")), "_row"), "components")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("k").isNull(), "k", "_row"))["_row"].alias("best"))
+    gone = stored(rows.join(best, "root").where("_row <> best").select("_row"), "near-duplicates")
+    return numbered.join(bounded(gone), "_row", "left_anti").select(docs.columns)
