@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import bounded, stored
+from .scratch import bounded, numbered, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -129,10 +129,11 @@ def contamination_table(docs: DataFrame, tests: DataFrame, **options) -> DataFra
     return found.select(options.get("key", "doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, tests: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The documents without any hit, all columns; a key that is repeated goes if any of its rows has a hit, and rows with a null key stay."""
-    hit = stored(contamination(docs, tests, key=key, **options).where("n_hit > 0").select(key).where(F.col(key).isNotNull()).distinct(), "contaminated")
-    return docs.join(bounded(hit), key, "left_anti")
+def clean(docs: DataFrame, tests: DataFrame, **options) -> DataFrame:
+    """The rows without any hit, all columns. Each row is judged by its own text, whatever its key."""
+    rows = numbered(docs)
+    hit = stored(contamination(rows, tests, key="_row", **options).where("n_hit > 0").select("_row"), "contaminated")
+    return rows.join(bounded(hit), "_row", "left_anti").select(docs.columns)
 
 
 ORACLE = rf"""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bounded, hashed_sample, small_batches, stored
+from .scratch import bounded, hashed_sample, numbered, small_batches, stored
 
 DIM = 512
 MAX_TRAIN_DOCS = 8000
@@ -201,21 +201,21 @@ def fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(examined: DataFrame, *, key: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS) -> tuple[dict[str, float], np.ndarray]:
-    """Posterior of each vote pattern, and the scorer's weights."""
+    """Posterior of each vote pattern, and the scorer's weights; ``key`` may name a field of a column."""
     judged = examined.where("judged")
     counts = {r["votes"]: r["n"] for r in judged.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     good = posteriors(counts)
-    sample = hashed_sample(judged.select(key, "votes", "features"), max_docs, key, "votes", "features").collect()
+    sample = hashed_sample(judged.select(F.col(key).alias("k"), "votes", "features"), max_docs, "k", "votes", "features").collect()
     if not sample:
         return good, np.zeros(DIM + 1)
     x = np.frombuffer(b"".join(r["features"] for r in sample), np.uint8).reshape(-1, DIM).astype(np.float32)
     return good, fit_linear(x, np.array([good[r["votes"]] for r in sample]))
 
 
-def assess(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+def assess(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, max_docs: int = MAX_TRAIN_DOCS, sample_key: str | None = None) -> DataFrame:
     """key, votes, posterior (of the votes), score (of the scorer), accepted."""
     examined = examine(docs, key=key, text=text)
-    good, weights = fit(examined, key=key, max_docs=max_docs)
+    good, weights = fit(examined, key=sample_key or key, max_docs=max_docs)
     own, bias = weights[:-1] / 255.0, weights[-1]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +232,8 @@ def assess(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshol
 
 
 def clean(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The accepted documents, all columns. A key goes if any of its rows is rejected; rows with a null key stay."""
-    rejected = assess(docs, key=key, **options).where(~F.col("accepted") & F.col(key).isNotNull()).select(key).distinct()
-    return docs.join(bounded(stored(rejected, "rejected")), key, "left_anti")
+    """The accepted rows, all columns. Each row is judged by its own text, whatever its key."""
+    rows = numbered(docs)
+    judged = assess(rows.withColumn("_id", F.struct(F.col(key).alias("key"), "_row")), key="_id", sample_key="_id.key", **options)
+    rejected = judged.where(~F.col("accepted")).select("_id._row")
+    return rows.join(bounded(stored(rejected, "rejected")), "_row", "left_anti").select(docs.columns)

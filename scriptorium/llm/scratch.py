@@ -38,6 +38,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` and _row, a number of the row: written once, so that it stays the row's."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bounded, small_batches, stored
+from .scratch import bounded, numbered, small_batches, stored
 
 BITS = 64
 PIVOTS = 24
@@ -175,17 +175,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Of each component the document with its smallest key, with all its columns.
-
-    Rows that share a key are one document, of which repeats go; rows without a key can't be told
-    apart and stay.
-    """
-    found = stored(near_duplicates(docs, key=key, text=text, **options).where(F.col(key).isNotNull()), "near-duplicates")
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.join(bounded(gone), key, "left_anti")
-    if found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
-        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key, text]).unionByName(kept.where(F.col(key).isNull()))
-    return kept
+    """Of each component one row, with all its columns: the one with the least key (null keys last), of such rows the first."""
+    rows = numbered(docs)
+    found = near_duplicates(rows, key="_row", text=text, **options).select("_row", "component_id")
+    keyed = stored(found.join(rows.select("_row", F.col(key).alias("k")), "_row"), "near-duplicates")
+    best = keyed.groupBy("component_id").agg(F.min(F.struct(F.col("k").isNull(), "k", "_row"))["_row"].alias("best"))
+    gone = stored(keyed.join(best, "component_id").where("_row <> best").select("_row"), "gone")
+    return rows.join(bounded(gone), "_row", "left_anti").select(docs.columns)
 
 
 def hex16(fp) -> F.Column:

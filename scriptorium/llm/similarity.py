@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bounded, small_batches, stored
+from .scratch import bounded, numbered, small_batches, stored
 from .simhash import HASH_SEED
 
 #: Jaccard similarity from which two texts are near-duplicates, as numerator and denominator.
@@ -42,10 +42,10 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, seed=HASH_SEED) for s in said), np.uint64, len(said)).view(np.int64))
 
 
-def _frequent(numbered: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(table: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that recur in a sample (sorted) and how often they do."""
-    share = max(1, numbered.count() // SAMPLE_ROWS)
-    rows = numbered.where(F.pmod(F.xxhash64("_row"), F.lit(share)) == 0).select(F.col(text).cast("string"))
+    share = max(1, table.count() // SAMPLE_ROWS)
+    rows = table.where(F.pmod(F.xxhash64("_row"), F.lit(share)) == 0).select(F.col(text).cast("string"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,11 +70,11 @@ def _sets(rows: DataFrame, text: str, words: int) -> DataFrame:
     return rows.select("_row", F.col(text).cast("string").alias("t")).mapInArrow(seen, "_row long, s array<long>")
 
 
-def _marked(numbered: DataFrame, text: str, words: int) -> DataFrame:
+def _marked(table: DataFrame, text: str, words: int) -> DataFrame:
     """_row, same (digest of the shingles), n (how many there are), prefix (shingles in order)."""
     import xxhash
 
-    (up, down), (known, often) = LEAST, _frequent(numbered, text, words)
+    (up, down), (known, often) = LEAST, _frequent(table, text, words)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +91,7 @@ def _marked(numbered: DataFrame, text: str, words: int) -> DataFrame:
             columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["_row", "same", "n", "prefix"])
 
-    rows = numbered.select("_row", F.col(text).cast("string").alias("t"))
+    rows = table.select("_row", F.col(text).cast("string").alias("t"))
     return stored(rows.mapInArrow(seen, "_row long, same binary, n int, prefix array<long>"), "shingle-prefixes")
 
 
@@ -101,7 +101,7 @@ def _enough(shared, x, y):
     return shared * (up + down) >= (x + y) * up
 
 
-def links(numbered: DataFrame, classes: DataFrame, marked: DataFrame, *, text: str, words: int) -> DataFrame:
+def links(table: DataFrame, classes: DataFrame, marked: DataFrame, *, text: str, words: int) -> DataFrame:
     """Rows a, b, each the first of its class: all pairs of different classes with a similarity of ``LEAST`` or more."""
     own = marked.select("_row", "n", "prefix").join(bounded(classes.select(F.col("first").alias("_row"))), "_row", "left_semi")
     postings = stored(own.select(F.col("_row").alias("id"), "n", F.posexplode("prefix").alias("at", "s")), "shingle-postings")
@@ -110,7 +110,7 @@ def links(numbered: DataFrame, classes: DataFrame, marked: DataFrame, *, text: s
     pairs = x.join(y, "s").where((F.col("a") < F.col("b")) & _enough(left, F.col("n_a"), F.col("n_b")))
     pairs = stored(pairs.select("a", "b").distinct(), "shingle-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    sets = stored(_sets(numbered.join(bounded(stored(asked, "shingle-asked")), "_row", "left_semi"), text, words), "shingle-sets")
+    sets = stored(_sets(table.join(bounded(stored(asked, "shingle-asked")), "_row", "left_semi"), text, words), "shingle-sets")
     both = pairs.join(sets.select(F.col("_row").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("_row").alias("b"), F.col("s").alias("s_b")), "b")
     return both.where(_enough(F.size(F.array_intersect("s_a", "s_b")), F.size("s_a"), F.size("s_b"))).select("a", "b")
 
@@ -118,12 +118,12 @@ def links(numbered: DataFrame, classes: DataFrame, marked: DataFrame, *, text: s
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """Of each component of similar rows one row, with all its columns."""
     small_batches(docs.sparkSession)
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    marked = _marked(numbered, text, words)
+    table = numbered(docs)
+    marked = _marked(table, text, words)
     classes = stored(marked.groupBy("same").agg(F.min("_row").alias("first")), "shingle-classes")
-    roots = components(stored(links(numbered, classes, marked, text=text, words=words), "links")).withColumnRenamed("node", "first")
+    roots = components(stored(links(table, classes, marked, text=text, words=words), "links")).withColumnRenamed("node", "first")
     rooted = classes.join(roots, "first", "left").select("same", F.coalesce("root", "first").alias("root"))
-    rows = stored(marked.select("_row", "same").join(rooted, "same").select("_row", "root").join(numbered.select("_row", F.col(key).alias("k")), "_row"), "components")
+    rows = stored(marked.select("_row", "same").join(rooted, "same").select("_row", "root").join(table.select("_row", F.col(key).alias("k")), "_row"), "components")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("k").isNull(), "k", "_row"))["_row"].alias("best"))
     gone = stored(rows.join(best, "root").where("_row <> best").select("_row"), "near-duplicates")
-    return numbered.join(bounded(gone), "_row", "left_anti").select(docs.columns)
+    return table.join(bounded(gone), "_row", "left_anti").select(docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bounded, hashed_sample, small_batches, stored
+from .scratch import bounded, hashed_sample, numbered, small_batches, stored
 
 SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”‘’…"
@@ -100,11 +100,11 @@ def held_out(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """Learn from the labelled ``docs`` that are not held out, at most ``max_docs`` of them."""
+    """Learn from the labelled rows of ``docs`` that are not held out, at most ``max_docs`` of them."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("y"))
-    chosen = hashed_sample(known, max_docs, key, "y")
-    sample = stored(docs.select(F.col(key), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), key).select("y", "t"), "labelled")
+    labelled = docs.select(F.col(key), F.col(text).cast("string").alias("t")).join(bounded(known), key).select(key, "y", "t")
+    sample = stored(hashed_sample(labelled, max_docs, key, "y", "t").select("y", "t"), "labelled")
     n, toxic = sample.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not toxic or toxic == n:
         return Model(-12.0, {})
@@ -207,6 +207,7 @@ def toxicity_table(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", *
 
 
 def clean(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents that score under ``threshold``, all columns. A key goes if any of its rows is toxic; rows with a null key stay."""
-    found = score(docs, fit(docs, labels, key=key, **options), key=key).where((F.col("score") >= threshold) & F.col(key).isNotNull())
-    return docs.join(bounded(stored(found.select(key).distinct(), "toxic")), key, "left_anti")
+    """The rows that score under ``threshold``, all columns. Each row is judged by its own text, whatever its key."""
+    rows = numbered(docs)
+    toxic = score(rows, fit(rows, labels, key=key, **options), key="_row").where(F.col("score") >= threshold)
+    return rows.join(bounded(stored(toxic.select("_row"), "toxic")), "_row", "left_anti").select(docs.columns)
