@@ -29,7 +29,8 @@ from .scratch import bounded, small_batches, stored
 MIN_ARTICLES = 8
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A whole attribute: its name, and its value if it has one. A search finds them in order, so none begins within another.
+ATTRIBUTE = re.compile(r"""([^\s/=>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never main text.
@@ -78,7 +79,7 @@ class _Node:
 
 
 def _open(tag: str, attributes: str, parent: _Node) -> _Node:
-    found = {a.lower(): (x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+    found = {a.lower(): x or y or z for a, x, y, z in reversed(ATTRIBUTE.findall(attributes))} if attributes.strip() else {}  # the first of a name counts
     names = f"{found.get('class', '')} {found.get('id', '')}".strip()
     role = found.get("role", "").lower()
     keeps = tag in ("html", "body", "main") or (tag == "article" and not names)

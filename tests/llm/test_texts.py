@@ -118,6 +118,14 @@ def test_furniture_by_name():
     assert blocks(page) == ["H", "a", "s"]
 
 
+def test_furniture_only_by_whole_attributes():
+    for attribute in ('style="overflow-x:hidden"', "style='a; class: hidden'", 'data-class="ad"', 'data-id="sidebar"', 'data-role="menu"', 'title="hidden id=nav class=ad"', "data-hidden", 'href=/hidden-gems', 'class="post" data-class="ad"', 'class=post class=ad'):
+        assert blocks(f"<body {attribute}><div {attribute}><p>a</p></div><p>b</p></body>") == ["a", "b"], attribute
+    assert blocks('<p>x <a href="/hidden-gems">gems</a></p>') == ["x gems"]
+    for attribute in ("hidden", 'HIDDEN=""', "x=1 hidden", 'title="a"class="ad"', "role = menu", 'data-class="post" class="ad"', "aria-hidden=true"):
+        assert blocks(f"<div {attribute}><p>a</p></div><p>b</p>") == ["b"], attribute
+
+
 def test_templates_go_and_articles_stay(spark):
     page = "<body><div class=box>Join our club</div><div><p>Story {0}</p><div>Filed under news</div><p>Shared line</p></div>"
     rows = [(i, "https://a.example/x", page.format(i)) for i in range(10)] + [(99, "https://b.example/x", page.format(0))]
