@@ -2,7 +2,7 @@
 
 A page is read once: its elements become a tree, its text blocks in page order know the elements
 above them, and every element that could be furniture gets a hash of its whole subtree. Spark counts per
-host in how many different articles a subtree recurs; subtrees that recur in many are the site's
+host in how many different articles a subtree recurs; subtrees that recur in a share of them are the site's
 template and go, wherever they stand, except that an article's own paragraphs never count as
 template. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 that say so by tag or by class go as well.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .scratch import bounded, small_batches, stored
 
-#: Different articles of a host in which a subtree must recur to be template.
-MIN_ARTICLES = 8
+#: A subtree is template if it recurs in this share of a host's different articles, and in so many of them.
+SHARE, MIN_ARTICLES = 0.2, 3
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 #: A whole attribute: its name, and its value if it has one. A search finds them in order, so none begins within another.
@@ -223,12 +223,14 @@ def read_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", html
     return stored(rows.mapInArrow(seen, f"row long, k {types['k']}, u {types['u']}, host string, article long, blocks array<struct<text:string,path:array<bigint>>>"), "pages-read")
 
 
-def main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", min_articles: int = MIN_ARTICLES) -> DataFrame:
+def main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", min_articles: int = MIN_ARTICLES, share: float = SHARE) -> DataFrame:
     """key, url, text, n_chars, n_template (blocks that went as template), one row a page."""
     read = read_pages(pages, key=key, url=url, html=html)
     subtrees = read.select("row", "host", "article", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["path"])))).alias("subtree"))
     spread = subtrees.select("host", "subtree", "article").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    template = stored(spread.where(F.col("n") >= min_articles).select("host", "subtree"), "template")
+    hosts = read.where(F.size("blocks") > 0).select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("articles"))
+    often = spread.where(F.col("n") >= min_articles).join(hosts, "host").where(F.col("n") >= F.col("articles") * share)
+    template = stored(often.select("host", "subtree"), "template")
     hits = stored(subtrees.join(bounded(template), ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone")), "template-hits")
     gone = F.coalesce("gone", F.array().cast("array<bigint>"))
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], gone))

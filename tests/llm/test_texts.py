@@ -126,6 +126,17 @@ def test_furniture_only_by_whole_attributes():
         assert blocks(f"<div {attribute}><p>a</p></div><p>b</p>") == ["b"], attribute
 
 
+def test_template_is_a_share_of_a_hosts_articles(spark):
+    page = "<body><div>Join our club</div>{1}<div><p>Story {0}</p></div></body>"
+    sizes = {"large": 400, "middle": 40, "small": 5, "two": 2}
+    rows = [(k * 1000 + i, f"https://{h}.example/", page.format(i, "<div>Rare box</div>" if i < n // 10 and i < 12 else "")) for k, (h, n) in enumerate(sizes.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert got[0] == got[1000] == "Rare box\nStory 0"
+    assert got[300] == "Story 300" and got[1030] == "Story 30" and got[2004] == "Story 4"
+    assert got[3000] == "Join our club\nStory 0"
+
+
 def test_templates_go_and_articles_stay(spark):
     page = "<body><div class=box>Join our club</div><div><p>Story {0}</p><div>Filed under news</div><p>Shared line</p></div>"
     rows = [(i, "https://a.example/x", page.format(i)) for i in range(10)] + [(99, "https://b.example/x", page.format(0))]
