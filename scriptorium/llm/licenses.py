@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 GAP = 3
 SENTENCE_END = r"[.!?;:]+\s+|\n\s*\n"
 #: Every known sentence has one of these words.
-WORDS = ("licen", "copyright", "permission", "warrant", "spdx", "redistribut", "public domain", "gnu ", "provided that", "liab", "rights reserved", "released under")
+WORDS = ("licen", "copyright", "permission", "warrant", "spdx", "redistribut", "public domain", "gnu ", "provided that", "liab", "rights reserved", "released under", "mpl was not")
+#: The words in a text as it stands, where comment marks and line ends may part them.
+LIKELY = "|".join(w.replace(" ", "[^a-z0-9]+") for w in WORDS)
 
 # Wording of public licences, normalised as ``normalised`` does.
 FIXED = {
@@ -44,13 +46,20 @@ FIXED = {
     "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
     "mpl-subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl-received": "you should have received a copy of the gnu general public license along with this program",
+    "mpl-v": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl-copy-s": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl-1.1": "the contents of this file are subject to the mozilla public license version 1 1 the license",
+    "gnu-purpose": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "cc0": "this work is dedicated to the public domain",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 CC_TERMS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
 CC_VERSIONS = ("2 0", "2 5", "3 0", "4 0")
+#: What a GNU notice calls its work.
+WORKS = ("program", "library", "file", "software")
+#: How the third clause of BSD-3-Clause begins; after "Inc." only its rest is a sentence.
+HOLDERS = ("copyright holder", "copyright holders", "author", "university", "organization", "company")
 GNU = {"gpl": "general public license", "lgpl": "lesser general public license", "agpl": "affero general public license"}
 SPDX = ("mit", "isc", "apache 2 0", "bsd 2 clause", "bsd 3 clause", "mpl 2 0", "gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0 only", "gpl 3 0 or later", "lgpl 3 0 only", "agpl 3 0 only", "cc0 1 0", "cc by 4 0", "cc by sa 4 0", "unlicense")
 
@@ -62,12 +71,31 @@ def _known() -> tuple[dict[str, str], dict[str, list[str]]]:
         for k, verb in enumerate(("licensed under the apache license version", "this work is licensed under the apache license version", "released under the apache license version")):
             known[f"apache-{v}-{k}"] = f"{verb} {v}"
             rules[f"Apache-{v.replace(' ', '.')}/{k}"] = [f"apache-{v}-{k}"]
-        rules[f"Apache-{v.replace(' ', '.')}/full"] = [f"apache-{v}-0", "apache-use", "apache-copy", "apache-basis", "apache-see"]
+        for k, verb in enumerate(("licensed under the apache license version", "the asf licenses this file to you under the apache license version")):
+            known[f"apache-{v}-notice-{k}"] = f"{verb} {v} the license"
+            rules[f"Apache-{v.replace(' ', '.')}/notice/{k}"] = [f"apache-{v}-notice-{k}", "apache-use"]
+            rules[f"Apache-{v.replace(' ', '.')}/full/{k}"] = [f"apache-{v}-notice-{k}", "apache-use", "apache-copy", "apache-basis", "apache-see"]
+    for w in WORKS:
+        known[f"gnu-hope-{w}"] = f"this {w} is distributed in the hope that it will be useful but without any warranty"
+    for short, long in GNU.items():
+        for w in WORKS:
+            known[f"{short}-received-{w}"] = f"you should have received a copy of the gnu {long} along with this {w}"
+        known[f"{short}-terms"] = f"you can redistribute it and or modify it under the terms of the gnu {long} as published by the free software foundation"
+    for v in ("2", "2 1", "3"):
+        known[f"gnu-{v}-later"] = f"either version {v} of the license or at your option any later version"
+        known[f"gnu-{v}-only"] = f"version {v} of the license"
+        # The version stands in a sentence of its own after "Foundation;", in the same one after "Foundation,".
+        for (short, long), (which, name) in product(GNU.items(), (("later", "-or-later"), ("only", ""))):
+            own = f"{short.upper()}-{v.replace(' ', '.')}{name}"
+            known[f"{short}-{v}-terms-{which}"] = f"{known[f'{short}-terms']} {known[f'gnu-{v}-{which}']}"
+            rules[f"{own}/notice/one"] = [f"{short}-{v}-terms-{which}"]
+            rules[f"{own}/notice/two"] = [f"{short}-terms", f"gnu-{v}-{which}"]
     for (short, long), v in product(GNU.items(), ("2", "2 1", "3")):
         for k, verb in enumerate(("this work is licensed under the gnu", "licensed under the gnu", "released under the gnu", "this program is licensed under the gnu")):
             known[f"{short}-{v}-{k}"] = f"{verb} {long} version {v}"
             rules[f"{short.upper()}-{v.replace(' ', '.')}/{k}"] = [f"{short}-{v}-{k}"]
-            rules[f"{short.upper()}-{v.replace(' ', '.')}/{k}/full"] = [f"{short}-{v}-{k}", "gpl-hope", "gpl-received"]
+            for w in WORKS:
+                rules[f"{short.upper()}-{v.replace(' ', '.')}/{k}/full/{w}"] = [f"{short}-{v}-{k}", f"gnu-hope-{w}", "gnu-purpose", f"{short}-received-{w}"]
     for t, v in product(CC_TERMS, CC_VERSIONS):
         name = f"CC-{t.replace(' ', '-').upper()}-{v.replace(' ', '.')}"
         for k, verb in enumerate(("licensed under cc", "this work is licensed under cc", "released under cc", "licensed under a cc")):
@@ -76,6 +104,10 @@ def _known() -> tuple[dict[str, str], dict[str, list[str]]]:
     for s in SPDX:
         known[f"spdx-{s}"] = f"spdx license identifier {s}"
         rules[f"SPDX:{s.replace(' ', '-')}/0"] = [f"spdx-{s}"]
+    endorsed = "the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+    for h in ("", *HOLDERS):
+        known[f"bsd-names-{h}"] = f"neither the name of the {h} nor {endorsed}" if h else f"nor {endorsed}"
+        rules[f"BSD-3-Clause/full/{h}"] = ["bsd-grant", "bsd-source", "bsd-binary", f"bsd-names-{h}", "bsd-warranty"]
     rules |= {
         "MIT/name": ["mit-name"],
         "MIT/released": ["mit-released"],
@@ -86,6 +118,9 @@ def _known() -> tuple[dict[str, str], dict[str, list[str]]]:
         "ISC/full": ["isc-grant"],
         "BSD-2-Clause/full": ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"],
         "MPL-2.0/header": ["mpl-subject"],
+        "MPL-2.0/notice": ["mpl-v", "mpl-copy"],
+        "MPL-2.0/notice-s": ["mpl-v", "mpl-copy-s"],
+        "MPL-1.1/notice": ["mpl-1.1"],
         "CC0-1.0/dedication": ["cc0"],
         "Unlicense/full": ["unlicense"],
         "Proprietary/reserved": ["all-rights"],
@@ -112,7 +147,7 @@ def sentence_ids(text: Column) -> Column:
     pieces = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, SENTENCE_END)))
     listed = F.array(*(F.lit(KNOWN[n]) for n in NAMES))
     # Normalised once each; only pieces with one of the words are looked at.
-    likely = F.filter(pieces, lambda p: F.lower(p).rlike("|".join(WORDS)))
+    likely = F.filter(pieces, lambda p: F.lower(p).rlike(LIKELY))
     found = F.transform(likely, lambda p: F.struct(F.call_function("instr", text, p).alias("at"), F.array_position(listed, normalised(p)).cast("int").alias("id")))
     first = F.array_sort(F.filter(found, lambda x: x["id"] > 0))
     return F.array_distinct(F.transform(first, lambda x: x["id"]))
@@ -135,7 +170,7 @@ def _larger(rule: str) -> list[str]:
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, sentence_ids (array of numbers of known sentences), licences (array of names)."""
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    likely = F.lower(own).rlike("|".join(WORDS))
+    likely = F.lower(own).rlike(LIKELY)
     ids = docs.select(key, F.when(likely, sentence_ids(own)).otherwise(F.array().cast("array<int>")).alias("sentence_ids"))
     return ids.select(key, "sentence_ids", F.when(F.size("sentence_ids") > 0, recognise(F.col("sentence_ids"))).otherwise(F.array().cast("array<string>")).alias("licences"))
 

@@ -91,6 +91,75 @@ def test_rules_are_ordered(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This {work} is free software{a} you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation{b} {version}.
+
+This {work} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind}General Public License for more details.
+
+You should have received a copy of the GNU {kind}General Public License
+along with this {work}.  If not, see <https://www.gnu.org/licenses/>."""
+LATER = "either version {} of the License, or\n(at your option) any later version"
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+THIRD = """
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_standard_notices(spark):
+    gpl2 = GPL.format(work="program", kind="", a=";", b=";", version=LATER.format(2))
+    cases = [
+        (APACHE, ["Apache-2.0"]),
+        (gpl2, ["GPL-2-or-later"]),
+        (GPL.format(work="program", kind="", a=":", b=",", version=LATER.format(3)), ["GPL-3-or-later"]),
+        (GPL.format(work="library", kind="Lesser ", a=";", b=";", version=LATER.format("2.1")), ["LGPL-2.1-or-later"]),
+        (GPL.format(work="program", kind="Affero ", a=":", b=",", version=LATER.format(3)), ["AGPL-3-or-later"]),
+        (GPL.format(work="program", kind="", a=";", b=";", version="version 2 of the License"), ["GPL-2"]),
+        (MPL, ["MPL-2.0"]),
+        (BSD.format(third=""), ["BSD-2-Clause"]),
+        (BSD.format(third=THIRD.format("the copyright holder")), ["BSD-3-Clause"]),
+        (BSD.format(third=THIRD.format("Example Inc.")), ["BSD-3-Clause"]),
+    ]
+    commented = [("/*\n" + "\n".join(f" * {x}".rstrip() for x in text.split("\n")) + "\n */\nint main;", want) for text, want in (cases[0], cases[6])]
+    commented.append(("\n".join(f"# {x}" for x in "redistribution and use in source and binary forms with or without modification are permitted provided\nthat the following conditions are met".split("\n")) + ":\n", []))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases + commented)], "doc_id long, text string")
+    got = licenses.scan(df).orderBy("doc_id").collect()
+    assert [r["licences"] for r in got] == [want for _, want in cases + commented]
+    assert len(got[-1]["sentence_ids"]) == 1
+
+
 def test_licences_of_awkward_rows(awkward):
     assert licenses.license_table(awkward).where("n_sentences = 0").count() == awkward.count()
 
