@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: texts can be long, and a worker holds one batch at a time.
 BATCH_ROWS = 512
+#: Words that a worker remembers, of about 150 bytes each, before it forgets them all.
+MEMO_WORDS = 200_000
 
 
-#: Folder by application, where the session sets none.
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow`` that gives freed memory back at its end: a worker process goes on to other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
+#: Folder by application, where the session sets none; what ``stored`` has written, by application.
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this machine only where it is unset."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a folder of this machine will do if all runs on it; else it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         application = spark.sparkContext.applicationId
         if application not in _OWN:
             _OWN[application] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
@@ -33,9 +53,30 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: lineage ends here, and a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``table``, once nothing reads it any more."""
+    spark, path = table.sparkSession, table._stored_at
+    _WRITTEN[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once the results that read them are written."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 def numbered(docs: DataFrame) -> DataFrame:

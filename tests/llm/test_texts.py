@@ -165,7 +165,7 @@ def test_licences_of_awkward_rows(awkward):
 
 
 def blocks(page):
-    return html_text.extract(page)[0]
+    return html_text.extract(page)
 
 
 def test_broken_markup():
