@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import discard, stored
 
 MAX_ROUNDS = 60
 
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
-        stars = stored(small.where("u <> v").distinct(), "edges")
+        last, stars = stars, stored(small.where("u <> v").distinct(), "edges")
+        discard(last)
         after = _state(stars)
         if after == before:
             break

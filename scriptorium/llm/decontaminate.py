@@ -61,9 +61,13 @@ def windows(tested: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def ranked_terms(index: Index, phrases: DataFrame) -> DataFrame:
-    """phrase, off, term, rarity (1: the phrase's rarest), len; only phrases all of whose terms have postings. ``phrases``: phrase, ws."""
+    """phrase, off, term, rarity (1: the phrase's rarest), len; only phrases all of whose terms have postings. ``phrases``: phrase, ws.
+
+    Terms get their frequency once each and meet the phrases' words by a broadcast, so no row is shuffled by a term.
+    """
     frequency = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-    spread = phrases.select("phrase", F.size("ws").alias("len"), F.posexplode("ws").alias("off", "word")).join(index.terms, "word").join(frequency, "term", "left")
+    weighed = stored(index.terms.join(frequency, "term", "left"), "term-frequencies")
+    spread = phrases.select("phrase", F.size("ws").alias("len"), F.posexplode("ws").alias("off", "word")).join(bounded(weighed), "word")
     per = Window.partitionBy("phrase")
     ranked = spread.withColumn("known", F.count("cf").over(per)).where("known = len").withColumn("rarity", F.row_number().over(per.orderBy("cf", "off")))
     return ranked.select("phrase", "off", "term", "rarity", "len")

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import bounded, small_batches, stored
-from .tokens import default_tokenizer, encoder
+from .scratch import bounded, small_batches, stored, tidy
+from .tokens import crc32_u32, default_tokenizer, encoder
 
 CAPACITY = 2048
 GRAIN = 8
@@ -167,8 +167,8 @@ def _first_fit(sizes: np.ndarray, left: np.ndarray, room: int) -> list[Pattern]:
     return [Pattern(1, items) for _, items in open_]
 
 
-def token_pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
-    """Encode and cut: key, start, length, doc_tokens, ids (little-endian unsigned 32-bit), and
+def token_pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, grain: int = GRAIN, with_ids: bool = True) -> DataFrame:
+    """Encode and cut: key, start, length, doc_tokens, ids_crc32, ids (little-endian unsigned 32-bit, if wanted), and
     size_class, part and part_rank, the piece's place among its class in its task."""
     small_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
@@ -180,10 +180,10 @@ def token_pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", to
 
         part, enc, seen = TaskContext.get().partitionId(), encoder(tokenizer, end_id), {}
         for batch in batches:
-            row, start, length, total, ids, size, rank = [], [], [], [], [], [], []
+            row, start, length, total, crc, ids, size, rank = [], [], [], [], [], [], [], []
             for i, packed in enumerate(enc.encode(batch.column(1).to_pylist())):
-                wide = enc.wide(packed)
-                n = len(wide) // 4
+                width = enc.dtype.itemsize
+                n = len(packed) // width
                 for a in range(0, n, capacity):
                     own = min(capacity, n - a)
                     c = -(-own // grain)
@@ -191,13 +191,19 @@ def token_pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", to
                     start.append(a)
                     length.append(own)
                     total.append(n)
-                    ids.append(wide[4 * a : 4 * (a + own)])
+                    piece = packed[width * a : width * (a + own)]
+                    crc.append(crc32_u32(piece, enc.dtype))
+                    if with_ids:
+                        ids.append(enc.wide(piece))
                     size.append(c)
                     rank.append(seen.get(c, 0))
                     seen[c] = rank[-1] + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, total)), pa.array(ids, pa.binary()), pa.array(size, pa.int32()), pa.array(np.full(len(row), part, np.int32)), pa.array(rank, pa.int64())], ["k", "start", "length", "doc_tokens", "ids", "size_class", "part", "part_rank"])
+            columns = [batch.column(0).take(pa.array(row, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, total, crc)), pa.array(size, pa.int32()), pa.array(np.full(len(row), part, np.int32)), pa.array(rank, pa.int64())]
+            names = ["k", "start", "length", "doc_tokens", "ids_crc32", "size_class", "part", "part_rank"]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names + ["ids"] * with_ids)
+        enc.forget()
 
-    made = rows.mapInArrow(cut, f"k {kind}, start long, length long, doc_tokens long, ids binary, size_class int, part int, part_rank long")
+    made = rows.mapInArrow(tidy(cut), f"k {kind}, start long, length long, doc_tokens long, ids_crc32 long, size_class int, part int, part_rank long" + ", ids binary" * with_ids)
     # Written once: ranks refer to the tasks that made them.
     return stored(made.withColumnRenamed("k", key), "pieces")
 
@@ -246,5 +252,5 @@ def sequences(assigned: DataFrame, *, capacity: int = CAPACITY, pad_id: int = 0)
 
 def packed_table(docs: DataFrame, **options) -> DataFrame:
     """``op4``: per piece its place, with the digest of its ids."""
-    pieces = token_pieces(docs, **options)
-    return assign(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(options.get("key", "doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    pieces = token_pieces(docs, with_ids=False, **options)
+    return assign(pieces).select(options.get("key", "doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bounded, hashed_sample, numbered, small_batches, stored
+from .scratch import MEMO_WORDS, bounded, hashed_sample, numbered, small_batches, stored, tidy
 
 DIM = 512
 MAX_TRAIN_DOCS = 8000
@@ -147,7 +147,7 @@ def examine(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for batch in batches:
-            if len(memo) > 300_000:
+            if len(memo) > MEMO_WORDS:
                 memo.clear()
             voted, found, judged = [], [], []
             for t in batch.column(1).to_pylist():
@@ -158,7 +158,7 @@ def examine(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
                 judged.append(bool(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(voted), pa.array(found, pa.binary()), pa.array(judged)], ["k", "votes", "features", "judged"])
 
-    return stored(rows.mapInArrow(seen, f"k {kind}, votes string, features binary, judged boolean").withColumnRenamed("k", key), "examined")
+    return stored(rows.mapInArrow(tidy(seen), f"k {kind}, votes string, features binary, judged boolean").withColumnRenamed("k", key), "examined")
 
 
 def posteriors(patterns: dict[str, int]) -> dict[str, float]:
@@ -228,7 +228,7 @@ def assess(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshol
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(post, pa.float64()), pa.array(p), pa.array(judged & (p >= threshold))], ["k", "votes", "posterior", "score", "accepted"])
 
     kind = examined.schema[key].dataType.simpleString()
-    return examined.select(F.col(key).alias("k"), "votes", "features", "judged").mapInArrow(scored, f"k {kind}, votes string, posterior double, score double, accepted boolean").withColumnRenamed("k", key)
+    return examined.select(F.col(key).alias("k"), "votes", "features", "judged").mapInArrow(tidy(scored), f"k {kind}, votes string, posterior double, score double, accepted boolean").withColumnRenamed("k", key)
 
 
 def clean(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mph import MinimalPerfectHash, fingerprint
-from .scratch import new_path, small_batches
+from .scratch import new_path, small_batches, tidy
 from .tokens import default_tokenizer, encoder
 
 MAGIC = b"TOKSHRD1"
@@ -132,13 +132,14 @@ def write(docs: DataFrame, path: str | None = None, *, key: str = "doc_id", text
                 n = int(length.sum())
                 out.write(block := _index_block(k, null, length))
                 out.write(struct.pack(FOOTER, MAGIC, enc.dtype.itemsize, len(k), n, len(block)))
+        enc.forget()
         if not keys:
             filesystem.delete_file(draft)
             return
         filesystem.move(draft, f"{folder}/{name}")  # a repeated task writes the same file again
         yield pa.RecordBatch.from_pylist([{"shard": number, "file": name, "first_key": int(k[0]), "last_key": int(k[-1]), "n_docs": len(k), "n_ids": n}], pa.schema([("shard", pa.int64()), ("file", pa.string()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    made = ordered.mapInArrow(save, "shard long, file string, first_key long, last_key long, n_docs long, n_ids long")
+    made = ordered.mapInArrow(tidy(save), "shard long, file string, first_key long, last_key long, n_docs long, n_ids long")
     made.write.parquet(f"{path}/manifest")
     return path, manifest(spark, path)
 
@@ -198,8 +199,8 @@ def lookup(keys: DataFrame, path: str, key: str | None = None) -> DataFrame:
         if held:
             held[1]._file.close()
 
-    routed = wanted.mapInArrow(route, "k long, at long").repartition(F.col("at")).sortWithinPartitions("at", F.col("k").asc_nulls_first())
-    return routed.mapInArrow(read, "k long, shard long, ordinal long, start long, n_ids long, ids binary").withColumnRenamed("k", key)
+    routed = wanted.mapInArrow(route, "k long, at long").repartition(max(1, len(files)), F.col("at")).sortWithinPartitions("at", F.col("k").asc_nulls_first())
+    return routed.mapInArrow(tidy(read), "k long, shard long, ordinal long, start long, n_ids long, ids binary").withColumnRenamed("k", key)
 
 
 def token_table(docs: DataFrame, path: str | None = None, **options) -> DataFrame:

@@ -15,9 +15,13 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .scratch import MEMO_WORDS
+
 #: Python's str.split() breaks at these, the tokenizer's white-space class does not.
 _PYTHON_ONLY_SPACES = "\x1c\x1d\x1e\x1f"
 _TRAILING = frozenset(".,;:!?")
+#: Words that the library encodes at a time.
+LEARN_WORDS = 4096
 
 
 def default_tokenizer() -> str:
@@ -30,11 +34,11 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Encode texts to little-endian ids (two bytes each if the vocabulary allows, else four).
 
-    Null and empty texts give only the end id. ``max_words`` bounds the memo; it is emptied
-    when full, which changes the speed and never the ids.
+    Null and empty texts give only the end id. A word is remembered once it is met in a second batch; ``max_words``
+    bounds the memo, which learns no more when full. That changes the speed and never the ids.
     """
 
-    def __init__(self, path: str | None = None, end_id: int = 1, max_words: int = 400_000):
+    def __init__(self, path: str | None = None, end_id: int = 1, max_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self._lib = Tokenizer.from_file(path or default_tokenizer())
@@ -43,6 +47,7 @@ class WordEncoder:
         self._end = np.array([end_id], self.dtype).tobytes()
         self._max = max_words
         self._memo: dict[str, bytes] = {}
+        self._met = bytearray(1 << 20)  # by hash: words met in an earlier batch
         self._ends_word = np.zeros(size, bool)
         for token, i in self._lib.get_vocab(with_added_tokens=False).items():
             self._ends_word[i] = token.endswith("</w>")
@@ -64,8 +69,9 @@ class WordEncoder:
         except UnicodeEncodeError:
             return text.split()
 
-    def _learn(self, words: list[str]) -> None:
-        memo, whole, odd, tailed = self._memo, set(), [], []
+    def _learned(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of ``words``, none of which is in the memo, and of what they are without a punctuation mark."""
+        memo, new, whole, odd, tailed = self._memo, {}, set(), [], []
         for w in words:
             stem = w[:-1] if w[-1] in _TRAILING else w
             if stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ"):
@@ -75,43 +81,56 @@ class WordEncoder:
                     whole.add(stem)
             else:
                 odd.append(w)
-        if whole:
-            listed = list(whole)
+        every = list(whole)
+        for a in range(0, len(every), LEARN_WORDS):
+            listed = every[a : a + LEARN_WORDS]
             ids = np.array(self._lib.encode_batch_fast([" ".join(listed)], add_special_tokens=False)[0].ids)
             ends = np.flatnonzero(self._ends_word[ids]) + 1 if len(ids) else ids
             if len(ends) == len(listed) and ends[-1] == len(ids):
                 raw, k, at = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
                 for w, e in zip(listed, (ends * k).tolist()):
-                    memo[w] = raw[at:e]
+                    new[w] = raw[at:e]
                     at = e
             else:
                 odd += listed
-        if odd:
-            for w, e in zip(odd, self._lib.encode_batch_fast(odd, add_special_tokens=False)):
-                memo[w] = self._pack(e.ids)
+        for a in range(0, len(odd), LEARN_WORDS):
+            listed = odd[a : a + LEARN_WORDS]
+            for w, e in zip(listed, self._lib.encode_batch_fast(listed, add_special_tokens=False)):
+                new[w] = self._pack(e.ids)
+        tails = {c: self._ids(c) for c in {w[-1] for w in tailed}}
         for w in tailed:
-            tail = w[-1]
-            if tail not in memo:
-                memo[tail] = self._ids(tail)
-            memo[w] = memo[w[:-1]] + memo[tail]
+            stem = w[:-1]
+            new[w] = (new[stem] if stem in new else memo[stem]) + tails[w[-1]]
+        return new
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text and the end id, as bytes."""
         texts = list(texts)
         memo, parts = self._memo, [None if t is None else self._words(t) for t in texts]
-        if len(memo) > self._max:
-            memo.clear()
         missing: set[str] = set()
         for p in parts:
             if p:
                 missing.update(p)
-        if missing := [w for w in missing if w not in memo]:
-            self._learn(missing)
+        missing.difference_update(memo)
+        new, last, room = self._learned(missing), len(self._met) - 1, self._max - len(memo)
+        memo.update(new)
         get = memo.__getitem__
-        return [
+        out = [
             b"".join(map(get, p)) + self._end if p is not None else self._ids(t or "") + self._end
             for t, p in zip(texts, parts)
         ]
+        for w in new:
+            at = hash(w) & last
+            if not self._met[at] or room <= 0:
+                self._met[at] = 1
+                del memo[w]
+            else:
+                room -= 1
+        return out
+
+    def forget(self) -> None:
+        """Empty the memo."""
+        self._memo.clear()
 
     def wide(self, ids: bytes) -> bytes:
         """The same ids as little-endian unsigned 32-bit integers."""
@@ -127,8 +146,9 @@ _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
 def encoder(path: str | None, end_id: int) -> WordEncoder:
-    """One encoder per worker process: the memo outlives a task."""
+    """The worker process's encoder: its vocabulary outlives a task, its memo should not (``forget``)."""
     key = (path, end_id)
     if key not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[key] = WordEncoder(path, end_id)
     return _ENCODERS[key]

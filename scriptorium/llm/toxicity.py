@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bounded, hashed_sample, numbered, small_batches, stored
+from .scratch import MEMO_WORDS, bounded, hashed_sample, numbered, small_batches, stored, tidy
 
 SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”‘’…"
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         at = np.flatnonzero((both[0] == 0) & (both[1] > 0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0, at]), pa.array(both[1, at])], ["b", "toxic", "n"])
 
-    spread = sample.mapInArrow(counted, "b long, toxic int, n int").groupBy("b").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    spread = sample.mapInArrow(tidy(counted), "b long, toxic int, n int").groupBy("b").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     rows = spread.where(F.col("toxic") > F.col("n") * F.lit(toxic / n)).where("toxic > 2").orderBy("b").collect()  # at most BUCKETS
     at, k, m = (np.array([r[i] for r in rows], np.int64) for i in range(3))
     chosen_buckets = at[significant(k, m, toxic / n)] if len(rows) else at
@@ -131,6 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, list[int]] = {}
         for batch in batches:
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
             sizes, found = [], []
             for t in batch.column(1).to_pylist():
                 own, count = [], []
@@ -145,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
                 found.append(np.array(own, "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(sizes, pa.binary()), pa.array(found, pa.binary())], ["y", "sizes", "own"])
 
-    taken = sample.mapInArrow(hashed, "y int, sizes binary, own binary").collect()
+    taken = sample.mapInArrow(tidy(hashed), "y int, sizes binary, own binary").collect()
     taken.sort(key=lambda r: (bytes(r["sizes"]), bytes(r["own"]), r["y"]))  # the fit doesn't depend on the order of tasks
     sentences = [np.split(np.frombuffer(r["own"], "<u4"), np.cumsum(np.frombuffer(r["sizes"], "<u4"))[:-1].astype(int)) if r["sizes"] else [] for r in taken]
     bias, weights = fit_mil(sentences, np.array([r["y"] for r in taken]), len(number))
@@ -169,7 +171,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
                     memo[w] = sum(weights.get(b, 0.0) for b in buckets(s)) if (s := w.strip(EDGES)) else 0.0
 
         for batch in batches:
-            if len(memo) > 400_000:
+            if len(memo) > MEMO_WORDS:
                 memo.clear()
             total, count, places = [], [], []
             for t in batch.column(1).to_pylist():
@@ -197,7 +199,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
                 places.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.float64()), pa.array(count, pa.int64()), pa.array(places, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("score", pa.float64())])))], ["k", "score", "n_sentences", "sentences"])
 
-    return rows.mapInArrow(scored, f"k {kind}, score double, n_sentences long, sentences array<struct<from:int,to:int,score:double>>").withColumnRenamed("k", key)
+    return rows.mapInArrow(tidy(scored), f"k {kind}, score double, n_sentences long, sentences array<struct<from:int,to:int,score:double>>").withColumnRenamed("k", key)
 
 
 def toxicity_table(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:

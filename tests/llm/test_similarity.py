@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from scriptorium.llm import similarity
+from scriptorium.llm import shingles, simhash
 
 
 def brute_kept(rows, least=0.8):
@@ -55,6 +57,26 @@ def test_similar_fingerprints_of_unlike_texts_stay(spark, data):
 
 def test_frequent_shingles_change_no_result(spark, data, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(different_texts(12))), "doc_id long, text string")
-    with_order = {r["doc_id"] for r in similarity.keep_one(docs).collect()}
-    monkeypatch.setattr(similarity, "SAMPLE_ROWS", 3)
-    assert {r["doc_id"] for r in similarity.keep_one(docs).collect()} == with_order
+    with_order = {r["doc_id"] for r in simhash.keep_dissimilar(docs).collect()}
+    monkeypatch.setattr(shingles, "SAMPLE_ROWS", 3)
+    assert {r["doc_id"] for r in simhash.keep_dissimilar(docs).collect()} == with_order
+
+
+def test_large_groups_meet_in_blocks(spark, data):
+    texts = different_texts(12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = simhash.numbered(docs.coalesce(1))
+    whole, cut = ({(r["_row"], r["root"]) for r in simhash.similar_rows(table, group_rows=n).collect()} for n in (2048, 2))
+    assert whole == cut
+
+
+def test_pivots_leave_similar_sets():
+    rng, lost = random.Random(3), 0
+    for _ in range(300):
+        n = rng.randrange(simhash.SMALL_SET, 400)
+        base = [rng.getrandbits(64) for _ in range(n)]
+        gone = int(n / 9)  # what stays on both sides is 0.8 of all
+        x, y = (np.array(base[: n - gone] + [rng.getrandbits(64) for _ in range(gone)], np.uint64) for _ in "xy")
+        a, b = (np.array([simhash.majority(v)], np.uint64) for v in (x, y))
+        lost += int(np.bitwise_count(a ^ b)[0]) > simhash.WIDE
+    assert lost == 0
