@@ -132,6 +132,41 @@ def test_recall_with_the_default_factor(read):
     assert np.mean([len(got[q] & set(want[q])) / len(want[q]) for q in want]) > 0.9
 
 
+def test_clustered_vectors_skip_most_leaves():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 32))
+    vectors = centres[rng.integers(60, size=4000)] + rng.normal(size=(4000, 32)) * 0.15
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    ids, largest = np.arange(4000), np.linalg.norm(vectors, axis=1).max()
+    factor, tree = vptree.calibrated(vectors, largest, 20), vptree.Tree(ids, vectors, largest)
+    q, v, _ = tree.search(ids[::20], vectors[::20], 20, factor)
+    want = brute_nearest(ids, vectors, ids[::20], 20)
+    assert np.mean([len(set(v[q == i].tolist()) & set(want[20 * i])) / 20 for i in range(200)]) > 0.9
+    assert factor > 1 and tree.read < 0.3 * tree.there
+
+
+def test_shards_of_the_router():
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(3000, 6))
+    router = vptree.Router(vectors[:800], np.linalg.norm(vectors, axis=1).max(), 13)
+    shard, bounds = router.shard_of(vectors), router.bounds(vectors[:50])
+    assert router.shards == 16 and np.bincount(shard, minlength=16).min() > 60
+    lifted = vptree.lifted(vectors, router.largest)
+    asked = np.hstack([vectors[:50], np.zeros((50, 1))])
+    d = np.sqrt(((asked[:, None] - lifted[None]) ** 2).sum(axis=2))
+    assert all((d[:, shard == k].min(axis=1) >= bounds[:, k] - 1e-9).all() for k in range(16))
+
+
+def test_equal_vectors_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 50)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(7, [1.0, 2.0, 3.0])] * 200
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vptree.nearest_table(df, factor=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got[0] == [*range(1, 7), *[7] * 14] and len(got) == 15
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (20, [1.0]), (40, []), (None, [1.0, 1.0]), (7, [2.0, 0.0])]
