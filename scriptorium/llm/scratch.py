@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch: texts can be long, and a worker holds one batch at a time.
 BATCH_ROWS = 512
 #: Words that a worker remembers, of about 150 bytes each, before it forgets them all.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 
 
 def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -2,7 +2,7 @@
 
 Two sets of similarity s or more share a shingle among the first n - ceil(s n) + 1 of each, in any order that is the
 same for all sets. The order puts shingles that are frequent in a sample last: the sample decides how much
-meets, never what is found.
+meets, and by ``SKETCH`` how short a prefix will do.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bounded, stored, tidy
+from .scratch import bounded, discard, stored, tidy
 
 HASH_SEED = 42
 #: Jaccard similarity from which two texts are near-duplicates, as numerator and denominator.
 LEAST = (4, 5)
 #: Rows whose shingles are counted for the order, and shingles that the order knows as frequent.
-SAMPLE_ROWS, FREQUENT = 10_000, 100_000
+SAMPLE_ROWS, FREQUENT = 5_000, 100_000
+#: Shingles that stand for a set of mostly infrequent ones: two similar sets share none of them with a chance of 1 in 2 ** SKETCH at
+#: the most, and 1 in 5 ** SKETCH where neither has frequent ones.
+SKETCH = 20
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -53,13 +56,18 @@ def frequent(table: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.nd
 
 
 def prefix(s: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first shingles of ``s`` in the common order; ``known`` and ``often`` from ``frequent``."""
+    """The first shingles of ``s`` in the common order; ``known`` and ``often`` from ``frequent``.
+
+    In full for sets half of which are frequent. Of the others the first SKETCH will do: the order among them is that of their
+    hashes, so each is shared with a chance of a half at least, whatever frequent shingles the two sets share.
+    """
     up, down = LEAST
     count = np.zeros(len(s), np.int64)
     if len(known) and len(s):
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
         count = np.where(known[at] == s, often[at], 0)
-    return s[np.lexsort((s, count))[: len(s) - -(-up * len(s) // down) + 1]]
+    whole = len(s) - -(-up * len(s) // down) + 1
+    return s[np.lexsort((s, count))[: whole if 2 * np.count_nonzero(count) >= len(s) else min(whole, SKETCH)]]
 
 
 def enough(shared, x, y):
@@ -80,9 +88,13 @@ def _sets(rows: DataFrame, text: str, words: int) -> DataFrame:
 
 
 def similar(pairs: DataFrame, table: DataFrame, *, text: str, words: int) -> DataFrame:
-    """The stored ``pairs`` (a, b: values of _row in ``table``) whose whole shingle sets are similar."""
+    """The ``pairs`` (a, b: values of _row in ``table``) whose whole shingle sets are similar, stored."""
+    pairs = stored(pairs, "shingle-pairs")
     asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "shingle-asked")
     sets = stored(_sets(table.join(bounded(asked), "_row", "left_semi"), text, words), "shingle-sets")
     both = pairs.join(sets.select(F.col("_row").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("_row").alias("b"), F.col("s").alias("s_b")), "b")
     shared: Column = F.size(F.array_intersect("s_a", "s_b"))
-    return both.where(enough(shared, F.size("s_a"), F.size("s_b"))).select("a", "b")
+    links = stored(both.where(enough(shared, F.size("s_a"), F.size("s_b"))).select("a", "b"), "links")
+    for made in (pairs, asked, sets):
+        discard(made)
+    return links

@@ -264,8 +264,8 @@ def similar_rows(table: DataFrame, *, text: str = "text", words: int = 5, group_
     met = stored(postings.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1"), "shingle-meetings")
     postings = stored(postings.join(bounded(met), "s"), "shingle-postings")
     # One comparison a row: with the first of the rows that it meets.
-    near_first = stored(postings.where("id <> first").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b")), "shingle-pairs")
-    sure = stored(similar(near_first, table, text=text, words=words), "links")
+    near_first = postings.where("id <> first").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
+    sure = similar(near_first, table, text=text, words=words)
     roots = stored(components(sure).withColumnRenamed("node", "id"), "roots")
     rooted = postings.join(bounded(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Large groups meet in blocks: every block against itself and every other.
@@ -273,8 +273,7 @@ def similar_rows(table: DataFrame, *, text: str = "text", words: int = 5, group_
     dealt = rooted.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side")
     groups = dealt.groupBy("s", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(F.struct("id", "fp", "n", "root", side)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most"))
-    pairs = stored(_close_pairs(groups.where("least < most")).distinct(), "shingle-pairs")
-    more = similar(pairs, table, text=text, words=words)
+    more = similar(_close_pairs(groups.where("least < most")).distinct(), table, text=text, words=words)
     linked = components(stored(sure.union(more), "links")).withColumnRenamed("node", "id")
     named = classes.select("same", "id").join(linked, "id", "left").select("same", F.coalesce("root", "id").alias("root"))
     return marked.select("_row", "same").join(named, "same").select("_row", "root")

@@ -15,8 +15,6 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from .scratch import MEMO_WORDS
-
 #: Python's str.split() breaks at these, the tokenizer's white-space class does not.
 _PYTHON_ONLY_SPACES = "\x1c\x1d\x1e\x1f"
 _TRAILING = frozenset(".,;:!?")
@@ -38,7 +36,7 @@ class WordEncoder:
     bounds the memo, which learns no more when full. That changes the speed and never the ids.
     """
 
-    def __init__(self, path: str | None = None, end_id: int = 1, max_words: int = MEMO_WORDS):
+    def __init__(self, path: str | None = None, end_id: int = 1, max_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self._lib = Tokenizer.from_file(path or default_tokenizer())
