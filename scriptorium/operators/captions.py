@@ -48,11 +48,11 @@ def caption_text(text: Column) -> Column:
 def choose_caption(media: DataFrame, files: DataFrame, *, media_id: str = "media_id", name: str = "name") -> DataFrame:
     """media_id, name: the caption file whose name starts with the id; ``.vtt`` before ``.srt``, then ``en`` before others, then by name.
 
-    Names are ``<id>.<language>.<kind>``: the join is on the id before the first dot, and a prefix that isn't
-    the whole id joins on its first four characters.
+    Each name goes by all its prefixes, and the join is on the whole id by equality: a name meets no other ids.
     """
     listed = files.select(name, F.lower(F.regexp_extract(name, r"\.(vtt|srt)$", 1)).alias("_kind")).where("_kind <> ''")
-    keyed = media.select(media_id).where(F.col(media_id) != "").distinct().withColumn("_head", F.left(media_id, F.lit(4)))
-    met = keyed.join(listed.withColumn("_head", F.left(name, F.lit(4))), "_head").where(F.startswith(F.col(name), F.col(media_id)))
+    prefixes = F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.left(F.col(name), n))
+    keyed = media.select(media_id).where(F.col(media_id) != "").distinct()
+    met = keyed.join(listed.withColumn(media_id, F.explode(prefixes)), media_id)
     ranked = met.withColumn("_order", F.struct((F.col("_kind") != "vtt").alias("a"), (~F.contains(F.col(name), F.lit(".en."))).alias("b"), F.col(name).alias("c")))
     return first_wins(ranked, media_id, "_order").select(media_id, name)

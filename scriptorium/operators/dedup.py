@@ -19,12 +19,17 @@ def first_wins(df: DataFrame, key: str, order: str | list[str]) -> DataFrame:
 def numbered(df: DataFrame, order: str, name: str = "n") -> DataFrame:
     """Ordinals from 1 over all rows by ``order``, an integral column of distinct values.
 
-    Rows fall into cells of 65,536 consecutive values; cells are numbered apart and shifted by the rows before
-    them, so only a count a cell meets in one task.
+    Rows fall into cells of 65,536 consecutive values, cells into cells of 65,536 cells, and so on: four levels hold all
+    values of 64 bits. Each cell is numbered apart and shifted by the rows before it at every level, so
+    no task sorts more than 65,536 rows or counts, however the values are spread.
     """
-    celled = df.withColumn("_cell", F.floor(F.col(order) / 65_536))
-    sizes = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    shift = sizes.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_before"))
+    celled = df.withColumn("_cell", F.shiftright(F.col(order).cast("long"), 16))
+    before = lambda *by: F.sum("_n").over((Window.partitionBy(*by[:-1]) if by[1:] else Window).orderBy(by[-1])) - F.col("_n")
+    sizes = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_wide", F.shiftright("_cell", 16)).withColumn("_whole", F.shiftright("_cell", 32))
+    wide = sizes.groupBy("_whole", "_wide").agg(F.sum("_n").alias("_n"))
+    whole = wide.groupBy("_whole").agg(F.sum("_n").alias("_n")).select("_whole", before("_whole").alias("_b3"))
+    above = wide.select("_whole", "_wide", before("_whole", "_wide").alias("_b2")).join(whole, "_whole").select("_wide", (F.col("_b2") + F.col("_b3")).alias("_above"))
+    shift = sizes.select("_cell", "_wide", before("_wide", "_cell").alias("_b1")).join(above, "_wide").select("_cell", (F.col("_b1") + F.col("_above")).alias("_before"))
     own = celled.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy(order)))
     return own.join(shift, "_cell").withColumn(name, F.col("_rank") + F.col("_before")).drop("_cell", "_rank", "_before")
 

@@ -1,12 +1,12 @@
-"""Keys and models for a rate-limited service: which are usable, in what order they are tried, and how a run goes.
+"""Keys and models for a rate-limited service: which are usable, in what order they are tried, and how runs went.
 
-Values of keys never enter a DataFrame: tables have names, and a run reads scripted or observed outcomes.
+Values of keys never enter a DataFrame: tables have names, and runs are read from logs of their calls.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import NamedTuple
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,100 +49,40 @@ def trial_plan(model_list: DataFrame, keys: DataFrame, attempts: int) -> DataFra
     return free.unionByName(paid)
 
 
-class Settings(NamedTuple):
-    attempts: int = 3
-    base: float = E.BACKOFF_BASE
-    most: float = E.BACKOFF_MAX
-    cooldown: float = E.COOLDOWN
-    free_interval: float = 4.5
-    paid_interval: float = 0.5
+def call_counts(calls: DataFrame) -> DataFrame:
+    """tier, calls: answered calls (null outcome), empty answers among them (empty outcome); errors are no calls."""
+    return calls.where(F.coalesce("outcome", F.lit("")) == "").groupBy("tier").agg(F.count(F.lit(1)).alias("calls"))
 
 
-RUN = "run string, result string, model string, key string, calls_free long, calls_paid long, bad_models string, clock double"
+def run_results(calls: DataFrame) -> DataFrame:
+    """run, result, model, key, calls_free, calls_paid, bad_models of observed calls: run, seq, model, key, tier, outcome.
 
-
-def _class(message: str, tier: str) -> str:
-    said = message.lower()
-    if any(w in said for w in E.NO_MODEL) and "model" in said:
-        return "no_model"
-    if tier == "free" and any(w in said for w in E.TRANSIENT):
-        return "transient"
-    if tier == "free" and any(w in said for w in E.QUOTA):
-        return "quota"
-    return "other"
-
-
-def simulate(script: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Run the pool on scripted outcomes, one run a group of ``script``: run, seq, model, model_order, key, tier, outcome.
-
-    A call takes the next outcome of its model and key, by seq (the last one repeats; null is an answer, empty an
-    empty one). Every group is one run and its script is as long as the run, so groups are small.
+    The first answer that isn't empty ends a run well; otherwise it was busy if its last call found the service busy, and exhausted
+    if not. All is combined before the shuffle, so a run of very many calls costs one row a task.
     """
+    kind = F.when(F.col("outcome") == "", "empty").otherwise(E.classify(F.col("outcome"), F.col("tier")))
+    own = calls.select("run", "seq", "model", "key", "tier", kind.alias("kind"))
+    ok, answered = F.col("kind") == "ok", F.col("kind").isin("ok", "empty")
+    ends = own.groupBy("run").agg(
+        F.min_by(F.when(ok, F.struct("model", "key")), F.when(ok, F.col("seq"))).alias("first"),
+        F.max_by("kind", "seq").alias("last"),
+        F.count_if(answered & (F.col("tier") == "free")).alias("calls_free"),
+        F.count_if(answered & (F.col("tier") != "free")).alias("calls_paid"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == "no_model", F.col("model")))), ",").alias("bad_models"),
+    )
+    result = F.when(F.col("first").isNotNull(), "ok").when(F.col("last") == "transient", "busy").otherwise("exhausted")
+    return ends.select("run", result.alias("result"), "first.model", "first.key", "calls_free", "calls_paid", "bad_models")
 
-    def play(group: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        group = group.sort_values("seq")
-        outcomes = {k: list(g["outcome"]) for k, g in group.groupby(["model", "key"])}
-        listed = list(group.sort_values(["model_order", "seq"])["model"].drop_duplicates())
-        keys = group[["tier", "key"]].drop_duplicates().sort_values(["tier", "key"]).itertuples(index=False)
-        keys = [(k.key, k.tier) for k in keys]
-        clock, last, rest, calls, bad = 0.0, {}, {}, {"free": 0, "paid": 0}, []
-        interval = {"free": settings.free_interval, "paid": settings.paid_interval}
-
-        def call(model: str, key: str, tier: str):
-            nonlocal clock
-            clock += max(0.0, rest.get(key, 0.0) - clock, last[key] + interval[tier] - clock if key in last else 0.0)
-            told = outcomes.get((model, key), ["no outcome"])
-            out = told.pop(0) if len(told) > 1 else told[0]
-            last[key] = clock
-            # Empty answers are calls too; errors are not.
-            if out is None or out == "" or out != out:
-                calls[tier] += 1
-            return None if out is None or out != out else out
-
-        def end(result, model=None, key=None):
-            return pd.DataFrame([(str(group["run"].iloc[0]), result, model, key, calls["free"], calls["paid"], ",".join(bad), clock)], columns=["run", "result", "model", "key", "calls_free", "calls_paid", "bad_models", "clock"])
-
-        for model in listed:
-            busy = False
-            for attempt in range(settings.attempts):
-                busy = False
-                for key, tier in ((k, t) for k, t in keys if t == "free"):
-                    out = call(model, key, tier)
-                    if out is None:
-                        return end("ok", model, key)
-                    kind = _class(out, tier) if out else "empty"
-                    if kind == "no_model":
-                        bad.append(model)
-                        break
-                    if kind == "transient":
-                        busy = True
-                    elif kind == "quota":
-                        asked = re.search(E.RETRY_DELAY.removeprefix("(?i)"), out, re.I)
-                        rest[key] = clock + (float(asked[1]) if asked else settings.cooldown)
-                if model in bad or not busy or attempt + 1 == settings.attempts:
-                    break
-                clock += min(settings.most, settings.base * 2**attempt)
-            if model in bad:
-                continue
-            if busy:
-                return end("busy")
-            for key, tier in ((k, t) for k, t in keys if t == "paid"):
-                out = call(model, key, tier)
-                if out is None:
-                    return end("ok", model, key)
-                if out and _class(out, tier) == "no_model":
-                    bad.append(model)
-                    break
-        return end("exhausted")
 
-    return script.groupBy("run").applyInPandas(play, RUN)
+def models_per_key(listed: DataFrame) -> DataFrame:
+    """key, models: how many of a key's listed models (key, model, actions) have a name and generate."""
+    usable = E.supports_generate(F.col("actions")) & (F.coalesce("model", F.lit("")) != "")
+    return listed.groupBy("key").agg(F.count_if(usable).alias("models"))
 
 
-def call_counts(runs: DataFrame) -> DataFrame:
-    """tier, calls."""
-    return runs.select(F.explode(F.array(F.struct(F.lit("free").alias("tier"), F.col("calls_free").alias("calls")), F.struct(F.lit("paid").alias("tier"), F.col("calls_paid").alias("calls")))).alias("x")).groupBy("x.tier").agg(F.sum("x.calls").alias("calls"))
+def call_estimate(counts: DataFrame, n: str) -> DataFrame:
+    """``counts`` with calls_least, calls_most: an item costs one call with captions and two without."""
+    return counts.withColumn("calls_least", F.col(n)).withColumn("calls_most", 2 * F.col(n))
 
 
 def first_client(trials: DataFrame, key: str) -> DataFrame:
@@ -162,3 +102,54 @@ def with_service(rows: DataFrame, work, schema: str, setup=None) -> DataFrame:
             yield work(service, batch)
 
     return rows.mapInPandas(run, schema)
+
+
+def with_clients(rows: DataFrame, call: Callable, *, key: str, url: str = "url", clients: str = "clients", wait: float = 0.0, clock: Callable = time.monotonic, sleep: Callable = time.sleep) -> DataFrame:
+    """key, client, result, tried, message, seconds: ``call(url, client)`` by each of a row's ``clients`` (array) until one answers.
+
+    An exception goes on to the next client after ``wait`` seconds, unless its message is permanent; without an answer client and
+    result are null. ``call``, ``clock`` and ``sleep`` are the caller's and must pickle.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def tried(one, names):
+        client = result = message = None
+        n, began = 0, clock()
+        for n, name in enumerate(names if names is not None else (), 1):
+            if n > 1 and wait:
+                sleep(wait)
+            try:
+                client, result, message = name, call(one, name), None
+                break
+            except Exception as error:  # the caller's call may raise anything
+                client, message = None, str(error)
+                if any(said in message.lower() for said in E.PERMANENT):
+                    break
+        return client, result, n, message, clock() - began
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = pd.DataFrame([tried(u, c) for u, c in zip(batch["_url"], batch["_clients"])], columns=["client", "result", "tried", "message", "seconds"])
+            yield pd.concat([batch[["_key"]].reset_index(drop=True), found], axis=1)
+
+    asked = rows.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(clients).alias("_clients"))
+    return asked.mapInPandas(run, f"_key {kind}, client string, result string, tried long, message string, seconds double").withColumnRenamed("_key", key)
+
+
+def transcribed(files: DataFrame, upload: Callable, state: Callable, answer: Callable, *, path: str = "path", poll: float = 2.0, sleep: Callable = time.sleep) -> DataFrame:
+    """path, text: each file is uploaded, its state asked for every ``poll`` seconds while it is "PROCESSING", then its text fetched; null if it fails.
+
+    ``upload(path)``, ``state(handle)`` and ``answer(handle)`` are the caller's and must pickle.
+    """
+
+    def one(name):
+        handle = upload(name)
+        while (now := state(handle)) == "PROCESSING":
+            sleep(poll)
+        return None if now == "FAILED" else answer(handle)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "text": [one(p) for p in batch["path"]]})
+
+    return files.select(F.col(path).alias("path")).mapInPandas(run, "path string, text string")

@@ -25,6 +25,16 @@ def parse(lines: DataFrame, *, pos: str = "pos", line: str = "line") -> DataFram
     return rows.select("pos", cell(1).cast("long").alias("stt"), cell(2).alias("url"), cell(3).alias("title"), cell(4).alias("ts"), cell(5).alias("raw_link"), cell(6).alias("refine_link"), cell(7).alias("status"))
 
 
+def parse_batch(lines: DataFrame, *, pos: str = "pos", line: str = "line") -> DataFrame:
+    """pos, stt, link, third, fourth as the batch menu reads the file: its first two lines are skipped, empty cells don't
+    count, blanks are taken out of number and link, and only whole numbers without leading zeros are rows."""
+    cells = F.filter(F.split(F.regexp_replace(line, r"[\r\n]+$", ""), r"\|"), lambda c: c != "")
+    rows = lines.where(F.col(pos) >= 2).select(F.col(pos).alias("pos"), cells.alias("_c"))
+    cell = lambda n: F.get("_c", F.lit(n))
+    read = rows.select("pos", F.replace(cell(0), F.lit(" "), F.lit("")).alias("stt"), F.replace(cell(1), F.lit(" "), F.lit("")).alias("link"), cell(2).alias("third"), cell(3).alias("fourth"))
+    return read.where(F.col("stt").rlike(r"^(0|-?[1-9][0-9]*)$")).withColumn("stt", F.col("stt").cast("long"))
+
+
 def rendered(manifest: DataFrame) -> DataFrame:
     """pos, line: rows as text."""
     cell = lambda c: F.concat(F.lit(" "), F.coalesce(c.cast("string"), F.lit("")), F.lit(" "))

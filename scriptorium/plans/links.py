@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import errors, urls
-from ..operators import captions, dedup, manifest, reconcile
+from ..operators import captions, dedup, keypool, manifest, reconcile
 from ..sources import files
 
 # The same text in both engines: links of every kind that the rules tell apart.
@@ -81,7 +81,7 @@ STT = "CAST(page_id AS BIGINT) + 1"
 def _manifest(spark, d) -> DataFrame:
     """Parsed from its text lines, as the file would be."""
     own = links(spark, d).where("page_id % 2 = 0")
-    cells = [F.lit(""), F.concat(F.lit(" "), (F.col("page_id") + 1).cast("string"), F.lit(" ")), F.concat(F.lit(" "), F.trim("url"), F.lit(" ")), F.concat(F.lit(" Title "), F.col("page_id").cast("string"), F.lit(" ")), F.lit(" 01/09/26 10:20:30 "), F.concat(F.lit(" [["), F.lpad((F.col("page_id") + 1).cast("string"), 3, "0"), F.lit("_Title_raw]] ")), F.when(F.col("page_id") % 4 == 0, " [[x_refine]] ").otherwise(" "), F.when(F.col("page_id") % 4 == 0, " Done ").otherwise(" Raw only "), F.lit("")]
+    cells = [F.lit(""), F.concat(F.lit(" "), (F.col("page_id") + 1).cast("string"), F.lit(" ")), F.concat(F.lit(" "), F.trim("url"), F.lit(" ")), F.concat(F.lit(" Title "), F.col("page_id").cast("string"), F.lit(" ")), F.lit(" 01/09/26 10:20:30 "), F.concat(F.lit(" [["), F.format_string("%03d", F.col("page_id") + 1), F.lit("_Title_raw]] ")), F.when(F.col("page_id") % 4 == 0, " [[x_refine]] ").otherwise(" "), F.when(F.col("page_id") % 4 == 0, " Done ").otherwise(" Raw only "), F.lit("")]
     lines = own.select((-F.col("page_id")).alias("pos"), F.concat_ws("|", *cells).alias("line"))
     return manifest.parse(lines)
 
@@ -122,7 +122,7 @@ def _results(spark, d) -> DataFrame:
 
 def k3_upsert(spark, d):
     merged = manifest.upsert(_manifest(spark, d), _results(spark, d), F.lit("02/09/26 00:00:00"))
-    return merged.select("stt", "url", "title", "ts", "raw_link", "refine_link", "status")
+    return merged.select("pos", "stt", "url", "title", "ts", "raw_link", "refine_link", "status")
 
 
 def k5_failures(spark, d):
@@ -130,18 +130,21 @@ def k5_failures(spark, d):
     return manifest.mark_failures(_manifest(spark, d), failed).select("stt", "status")
 
 
-FILES = "SELECT lpad(CAST(page_id + 1 AS STRING), 3, '0') || '_Title_raw' AS stem FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT lpad(CAST(page_id + 1 AS STRING), 3, '0') || '_Title ' || CAST(page_id AS STRING) || '_raw' AS stem FROM pages WHERE page_id % 5 = 0"
+FILES = "SELECT printf('%03d', page_id + 1) || '_Title_raw' AS stem FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT printf('%03d', page_id + 1) || '_Title ' || CAST(page_id AS STRING) || '_raw' AS stem FROM pages WHERE page_id % 5 = 0"
 
 
 def _files(spark, d) -> DataFrame:
     p = _pages(spark, d)
-    n = F.lpad((F.col("page_id") + 1).cast("string"), 3, "0")
+    n = F.format_string("%03d", F.col("page_id") + 1)
     return p.where("page_id % 3 = 0").select(F.concat(n, F.lit("_Title_raw")).alias("stem")).unionByName(p.where("page_id % 5 = 0").select(F.concat(n, F.lit("_Title "), F.col("page_id").cast("string"), F.lit("_raw")).alias("stem")))
 
 
 def j4_rename_plan(spark, d):
-    # Numbers of three digits at least: larger ones keep their digits.
-    return reconcile.rename_plan(_manifest(spark, d).where("stt < 1000"), _files(spark, d))
+    return reconcile.rename_plan(_manifest(spark, d), _files(spark, d))
+
+
+def a5_plan_counts(spark, d):
+    return reconcile.plan_counts(j4_rename_plan(spark, d))
 
 
 def j4_broken_links(spark, d):
@@ -177,7 +180,7 @@ def w5_page(spark, d):
 
 
 def w4_numbers(spark, d):
-    return dedup.numbered(links(spark, d).where("page_id % 3 <> 1"), "page_id").select("page_id", "n")
+    return dedup.numbered(links(spark, d), "page_id").select("page_id", "n")
 
 
 def s9_channel_videos(spark, d):
@@ -193,7 +196,25 @@ def s11_mp3_url(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", files.mp3_url(F.concat(F.coalesce("html", F.lit("")), tag)).alias("mp3"))
 
 
-QUERIES = {f.__name__: f for f in (r1_canonical_dedup, u2_canonical_url, u_link_functions, u8_split_links, f12_clients, s2_manifest_scan, s2_manifest_rows, a7_duplicate_keys, w1_numbers, j2_new_links, a2_link_counts, k3_upsert, k5_failures, j4_rename_plan, j4_broken_links, j4_orphans, j4_misnumbered, j3_pending, j6_captions, w4_numbers, w5_page, s9_channel_videos, s11_mp3_url)}
+def a8_call_estimate(spark, d):
+    return keypool.call_estimate(a2_link_counts(spark, d).select("channel", "remaining"), "remaining")
+
+
+def s5_batch_scan(spark, d):
+    """The manifest's lines as the batch menu reads them, leading bars and all."""
+    own = links(spark, d)
+    n = F.col("page_id").cast("string")
+    cells = [F.lit(""), F.concat(F.lit(" "), (F.col("page_id") + 1).cast("string"), F.when(F.col("page_id") % 7 == 0, "x ").otherwise(" ")), F.concat(F.lit(" "), F.trim("url"), F.lit(" ")), F.concat(F.lit(" Title "), n, F.lit(" ")), F.lit(" 01/09/26 "), F.lit("")]
+    return manifest.parse_batch(own.select(F.col("page_id").alias("pos"), F.concat_ws("|", *cells).alias("line")))
+
+
+def s8_media_files(spark, d):
+    p = F.col("page_id")
+    kind = F.element_at(F.array(*map(F.lit, (".MP3", ".mkv", ".txt", "mp4", ".Flac"))), (p % 5 + 1).cast("int"))
+    return files.media_of(_pages(spark, d).select(F.concat(F.lit("file:/m/Clip "), p.cast("string"), kind).alias("path"), (p * 700).alias("length")))
+
+
+QUERIES = {f.__name__: f for f in (a5_plan_counts, a8_call_estimate, s5_batch_scan, s8_media_files, r1_canonical_dedup, u2_canonical_url, u_link_functions, u8_split_links, f12_clients, s2_manifest_scan, s2_manifest_rows, a7_duplicate_keys, w1_numbers, j2_new_links, a2_link_counts, k3_upsert, k5_failures, j4_rename_plan, j4_broken_links, j4_orphans, j4_misnumbered, j3_pending, j6_captions, w4_numbers, w5_page, s9_channel_videos, s11_mp3_url)}
 
 _OWN = sql_links("SELECT page_id, url AS raw FROM pages")
 _MAN = sql_links(MANIFEST_SQL)
@@ -202,10 +223,10 @@ _ALL = sql_links()
 
 def _both() -> str:
     """``l`` of all links, and m of the manifest's rows with their keys."""
-    return _ALL + ", m AS (SELECT page_id, -page_id AS pos, page_id + 1 AS stt, trim(raw) AS url, k, 'Title ' || page_id AS title, '01/09/26 10:20:30' AS ts, '[[' || lpad(CAST(page_id + 1 AS VARCHAR), 3, '0') || '_Title_raw]]' AS raw_link, CASE WHEN page_id % 4 = 0 THEN '[[x_refine]]' ELSE '' END AS refine_link, CASE WHEN page_id % 4 = 0 THEN 'Done' ELSE 'Raw only' END AS status FROM l WHERE page_id % 2 = 0), known AS (SELECT k, arg_max(stt, pos) AS stt FROM m WHERE url <> '' GROUP BY k)"
+    return _ALL + ", m AS (SELECT page_id, -page_id AS pos, page_id + 1 AS stt, trim(raw) AS url, k, 'Title ' || page_id AS title, '01/09/26 10:20:30' AS ts, '[[' || printf('%03d', page_id + 1) || '_Title_raw]]' AS raw_link, CASE WHEN page_id % 4 = 0 THEN '[[x_refine]]' ELSE '' END AS refine_link, CASE WHEN page_id % 4 = 0 THEN 'Done' ELSE 'Raw only' END AS status FROM l WHERE page_id % 2 = 0), known AS (SELECT k, arg_max(stt, pos) AS stt FROM m WHERE url <> '' GROUP BY k)"
 
 
-_LINKS_OF = "lk AS (SELECT stt, 'raw' AS kind, lpad(CAST(stt AS VARCHAR), 3, '0') || '_Title_raw' AS target FROM m UNION ALL SELECT stt, 'refine', 'x_refine' FROM m WHERE refine_link <> '')"
+_LINKS_OF = "lk AS (SELECT stt, 'raw' AS kind, printf('%03d', stt) || '_Title_raw' AS target FROM m UNION ALL SELECT stt, 'refine', 'x_refine' FROM m WHERE refine_link <> '')"
 
 ORACLE = {
     "r1_canonical_dedup": _OWN + "SELECT min(page_id) AS page_id, k AS url_key FROM l GROUP BY k",
@@ -228,20 +249,27 @@ SELECT page_id, sch <> '' AND loc <> '' AS is_url, CASE WHEN xv <> '' THEN 'http
     "a2_link_counts": _both() + "SELECT page_id % 5 AS channel, count(*) AS total, count(known.k) AS skipped, count(*) - count(known.k) AS remaining FROM l LEFT JOIN known USING (k) GROUP BY 1",
     "k3_upsert": _both()
     + """, r AS (SELECT k, max(page_id) AS rp FROM l WHERE page_id % 3 = 0 GROUP BY k), f AS (SELECT k, min(pos) AS first FROM m GROUP BY k)
-SELECT stt, url, CASE WHEN h THEN 'New-' || rp ELSE title END AS title, ts, CASE WHEN h THEN '[[r' || rp || '_raw]]' ELSE raw_link END AS raw_link, CASE WHEN h THEN CASE WHEN rp % 2 = 0 THEN '[[r' || rp || '_refine]]' ELSE '' END ELSE refine_link END AS refine_link, CASE WHEN h THEN CASE WHEN rp % 2 = 0 THEN 'Done' ELSE 'Raw only' END ELSE status END AS status
+SELECT pos, stt, url, CASE WHEN h THEN 'New-' || rp ELSE title END AS title, ts, CASE WHEN h THEN '[[r' || rp || '_raw]]' ELSE raw_link END AS raw_link, CASE WHEN h THEN CASE WHEN rp % 2 = 0 THEN '[[r' || rp || '_refine]]' ELSE '' END ELSE refine_link END AS refine_link, CASE WHEN h THEN CASE WHEN rp % 2 = 0 THEN 'Done' ELSE 'Raw only' END ELSE status END AS status
 FROM (SELECT m.*, rp, rp IS NOT NULL AND pos = first AS h FROM m JOIN f USING (k) LEFT JOIN r USING (k))
-UNION ALL SELECT (SELECT max(stt) FROM m) + row_number() OVER (ORDER BY rp), trim(l.raw), 'New-' || rp, '02/09/26 00:00:00', '[[r' || rp || '_raw]]', CASE WHEN rp % 2 = 0 THEN '[[r' || rp || '_refine]]' ELSE '' END, CASE WHEN rp % 2 = 0 THEN 'Done' ELSE 'Raw only' END
+UNION ALL SELECT (SELECT min(pos) FROM m) - 1 - rp, (SELECT max(stt) FROM m) + row_number() OVER (ORDER BY rp), trim(l.raw), 'New-' || rp, '02/09/26 00:00:00', '[[r' || rp || '_raw]]', CASE WHEN rp % 2 = 0 THEN '[[r' || rp || '_refine]]' ELSE '' END, CASE WHEN rp % 2 = 0 THEN 'Done' ELSE 'Raw only' END
 FROM r JOIN l ON l.page_id = r.rp WHERE r.k NOT IN (SELECT k FROM m)""",
     "k5_failures": _both() + ", r AS (SELECT k, max(page_id) AS p FROM l WHERE page_id % 3 = 0 GROUP BY k), f AS (SELECT k, min(pos) AS first FROM m GROUP BY k) SELECT stt, CASE WHEN p IS NOT NULL AND pos = first THEN 'Failed: ' || left('reason ' || p || repeat('x', 90), 80) ELSE status END AS status FROM m JOIN f USING (k) LEFT JOIN r USING (k)",
-    "j4_rename_plan": _both() + f", {_LINKS_OF}, fl AS ({FILES}), w AS (SELECT stt, kind, target AS old, lpad(CAST(stt AS VARCHAR), 3, '0') || '_Title ' || (stt - 1) || '_' || kind AS new FROM lk WHERE stt < 1000) SELECT stt, kind, old, new, CASE WHEN new IN (SELECT stem FROM fl) THEN 'relink' WHEN old IN (SELECT stem FROM fl) THEN 'rename' ELSE 'skip' END AS action FROM w WHERE old <> new",
+    "j4_rename_plan": _both() + f", {_LINKS_OF}, fl AS ({FILES}), w AS (SELECT stt, kind, target AS old, printf('%03d', stt) || '_Title ' || (stt - 1) || '_' || kind AS new FROM lk) SELECT stt, kind, old, new, CASE WHEN new IN (SELECT stem FROM fl) THEN 'relink' WHEN old IN (SELECT stem FROM fl) THEN 'rename' ELSE 'skip' END AS action FROM w WHERE old <> new",
     "j4_broken_links": _both() + f", {_LINKS_OF}, fl AS ({FILES}) SELECT stt, kind, target FROM lk WHERE target NOT IN (SELECT stem FROM fl)",
     "j4_orphans": _both() + f", {_LINKS_OF}, fl AS ({FILES}) SELECT DISTINCT stem FROM fl WHERE stem NOT IN (SELECT target FROM lk)",
     "j4_misnumbered": _both() + f", {_LINKS_OF} SELECT stt, kind, target FROM lk WHERE NOT starts_with(target, printf('%03d', stt) || '_')",
     "j3_pending": "SELECT 's' || page_id AS stem, page_id FROM pages WHERE page_id % 4 <> 1",
     "j6_captions": "SELECT 'vid' || page_id || 'x' AS media_id, 'vid' || page_id || CASE WHEN page_id % 4 = 0 THEN 'x.vi.vtt' ELSE 'x.en.vtt' END AS name FROM pages WHERE page_id % 3 <> 0",
-    "w4_numbers": "SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages WHERE page_id % 3 <> 1",
+    "w4_numbers": "SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages",
     "w5_page": "SELECT page_id, n FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n, count(*) OVER () AS c FROM pages) WHERE n > least(3, CAST(ceil(c / 20.0) AS BIGINT) - 1) * 20 AND n <= (least(3, CAST(ceil(c / 20.0) AS BIGINT) - 1) + 1) * 20",
     "s9_channel_videos": "SELECT page_id AS channel, 0 AS pos, CASE WHEN page_id % 3 = 1 THEN url ELSE 'https://www.youtube.com/watch?v=id' || page_id END AS url, CASE WHEN page_id % 4 = 1 THEN 'T' || page_id ELSE 'id' || page_id END AS title, CASE WHEN page_id % 5 > 0 THEN CAST(page_id AS DOUBLE) ELSE 0 END AS duration FROM pages",
     "s11_mp3_url": r"""SELECT page_id, coalesce(nullif(regexp_extract(regexp_extract(h, '(<meta\b[^>]*\bproperty\s*=\s*["'']?og:audio["'']?[\s/>][^>]*)', 1), 'content\s*=\s*["'']([^"'']*)["'']', 1), ''), nullif(regexp_extract(h, '(https?://[^"''\s>]+?\.mp3)', 1), '')) AS mp3
 FROM (SELECT page_id, coalesce(html, '') || CASE page_id % 3 WHEN 0 THEN '<meta property="og:audio" content="https://a.example/' || page_id || '.mp3">' WHEN 1 THEN '<script>x=''https://b.example/' || page_id || '.mp3''</script>' ELSE '' END AS h FROM pages)""",
 }
+
+ORACLE |= {
+    "a5_plan_counts": f"SELECT action, count(*) AS n FROM ({ORACLE['j4_rename_plan']}) GROUP BY action",
+    "a8_call_estimate": f"SELECT channel, remaining, remaining AS calls_least, 2 * remaining AS calls_most FROM ({ORACLE['a2_link_counts']})",
+    "s5_batch_scan": f"SELECT page_id AS pos, page_id + 1 AS stt, replace({LINK}, ' ', '') AS link, ' Title ' || page_id || ' ' AS third, ' 01/09/26 ' AS fourth FROM pages WHERE page_id >= 2 AND page_id % 7 <> 0",
+    "s8_media_files": "SELECT 'file:/m/' || name AS path, name, CAST(ceil(page_id * 700 / 1024.0) AS BIGINT) AS size_kb FROM (SELECT page_id, 'Clip ' || page_id || CASE page_id % 5 WHEN 0 THEN '.MP3' WHEN 1 THEN '.mkv' ELSE '.Flac' END AS name FROM pages WHERE page_id % 5 IN (0, 1, 4))",
+}

@@ -115,10 +115,44 @@ def st5_first_client(spark, d):
     return keypool.first_client(trials, "item")
 
 
+def _calls(spark, d) -> DataFrame:
+    """A log of calls: an answer has no message, every thirteenth is empty."""
+    n = F.col("event_id")
+    outcome = F.when(n % 13 == 0, "").otherwise(F.expr(MESSAGE))
+    return _events(spark, d).select((n / 12).cast("long").cast("string").alias("run"), n.alias("seq"), F.concat(F.lit("m"), (n % 2).cast("string")).alias("model"), (n % 2).cast("int").alias("model_order"), F.concat(F.lit("k"), (n % 3).cast("string")).alias("key"), F.when(n % 3 == 0, "paid").otherwise("free").alias("tier"), outcome.alias("outcome"))
+
+
 def st1_pool_runs(spark, d):
+    return keypool.run_results(_calls(spark, d))
+
+
+def a4_call_counts(spark, d):
+    return keypool.call_counts(_calls(spark, d))
+
+
+def a6_models_per_key(spark, d):
     n = F.col("event_id")
-    script = _events(spark, d).select((n / 12).cast("long").cast("string").alias("run"), n.alias("seq"), F.concat(F.lit("m"), (n % 2).cast("string")).alias("model"), (n % 2).cast("int").alias("model_order"), F.concat(F.lit("k"), (n % 3).cast("string")).alias("key"), F.when(n % 3 == 0, "paid").otherwise("free").alias("tier"), F.expr(MESSAGE).alias("outcome"))
-    return keypool.simulate(script)
+    listed = _events(spark, d).select((n % 50).alias("key"), text.model_id(F.when(n % 9 == 0, "models/").otherwise(F.concat(F.lit("models/m"), n.cast("string")))).alias("model"), F.array(F.lit("embedContent"), F.when(n % 4 < 2, "generateContent").otherwise("x")).alias("actions"))
+    return keypool.models_per_key(listed)
+
+
+def j7_trial_plan(spark, d):
+    return keypool.trial_plan(spark.createDataFrame([("m0",), ("m1",)], "model string"), f6_usable_keys(spark, d).select("name", "tier"), 2)
+
+
+def s1_link_items(spark, d):
+    return files.items(_docs(spark, d)).select("doc_id", "pos", "item")
+
+
+def s14_history(spark, d):
+    n = F.col("event_id").cast("string")
+    line = F.concat(F.lit('{"source": "s'), n, F.lit('", "status": "'), F.when(F.col("event_id") % 3 == 0, "failed").otherwise("done"), F.lit('", "update": true, "usage": [{"model": "m'), n, F.lit('", "attempt": 1, "total": '), n, F.lit('}], "time": "2026-09-07T22:47:09+07:00"}'))
+    own = _events(spark, d).select("event_id", files.history_row(line).alias("h"))
+    return own.select("event_id", "h.source", "h.status", F.col("h.update").alias("updated"), F.get("h.usage", F.lit(0))["total"].alias("total"), F.unix_timestamp(F.to_timestamp("h.time")).alias("seconds"))
+
+
+def t18_prompts(spark, d):
+    return _docs(spark, d).select("doc_id", text.transcribe_prompt(F.concat(F.lit("T "), F.col("doc_id").cast("string"))).alias("transcribe"), F.md5(text.refine_prompt(F.col("text")).cast("binary")).alias("refine"))
 
 
 def f6_usable_keys(spark, d):
@@ -198,7 +232,7 @@ def x4_injected_service(spark, d):
     return keypool.with_service(own, work, "doc_id long, answer string", setup)
 
 
-QUERIES = {f.__name__: f for f in (t1_fold_marks, t3_file_name, t4_representative_title, t6_plain_markdown, t7_caption_text, w2_fold, t8_custom_name, t_small_functions, t13_redact, f_error_classes, f_settings, st_waits, a4_error_counts, a3_successes, st5_first_client, st1_pool_runs, f6_usable_keys, f7_models, o4_best_format, g1_selection, g2_menu_selection, g3_pick_by_name, j8_pick_by_number, w3_next_line, s7_raw_documents, s12_config, d9_refine_parts, x4_injected_service)}
+QUERIES = {f.__name__: f for f in (t1_fold_marks, t3_file_name, t4_representative_title, t6_plain_markdown, t7_caption_text, w2_fold, t8_custom_name, t_small_functions, t13_redact, f_error_classes, f_settings, st_waits, a4_error_counts, a3_successes, st5_first_client, st1_pool_runs, a4_call_counts, a6_models_per_key, j7_trial_plan, s1_link_items, s14_history, t18_prompts, f6_usable_keys, f7_models, o4_best_format, g1_selection, g2_menu_selection, g3_pick_by_name, j8_pick_by_number, w3_next_line, s7_raw_documents, s12_config, d9_refine_parts, x4_injected_service)}
 
 _D = "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 _EMOJI = r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}]"
@@ -277,3 +311,15 @@ SELECT page_id, coalesce(chosen, '') AS chosen FROM p LEFT JOIN s USING (page_id
     "d9_refine_parts": "SELECT doc_id, 'Tiêu đề ' || doc_id AS vi_title, 'Title' AS en_title, 'lesson one|lesson two' AS lessons, 'trích' AS quotes, 'ref ' || doc_id AS reference FROM documents",
     "x4_injected_service": f"WITH {_D} SELECT doc_id, length(text) || ' characters' AS answer FROM d",
 }
+
+_CALLS = f"WITH {_MSG.replace(MESSAGE + ' AS m', 'CASE WHEN event_id % 13 = 0 THEN chr(0) ELSE ' + MESSAGE + ' END AS m').replace('event_id % 2 = 0', 'event_id % 3 <> 0')}{_CLS}, r AS (SELECT *, event_id // 12 AS run, 'm' || event_id % 2 AS model, 'k' || event_id % 3 AS key, CASE WHEN m = chr(0) THEN 'empty' ELSE class END AS kind FROM k)"
+ORACLE |= {
+    "st1_pool_runs": _CALLS
+    + " SELECT CAST(run AS VARCHAR) AS run, CASE WHEN count(*) FILTER (WHERE kind = 'ok') > 0 THEN 'ok' WHEN arg_max(kind, event_id) = 'transient' THEN 'busy' ELSE 'exhausted' END AS result, arg_min(model, event_id) FILTER (WHERE kind = 'ok') AS model, arg_min(key, event_id) FILTER (WHERE kind = 'ok') AS key, count(*) FILTER (WHERE kind IN ('ok', 'empty') AND tier = 'free') AS calls_free, count(*) FILTER (WHERE kind IN ('ok', 'empty') AND tier <> 'free') AS calls_paid, coalesce(string_agg(DISTINCT model, ',' ORDER BY model) FILTER (WHERE kind = 'no_model'), '') AS bad_models FROM r GROUP BY run",
+    "a4_call_counts": _CALLS + " SELECT tier, count(*) AS calls FROM r WHERE kind IN ('ok', 'empty') GROUP BY tier",
+    "a6_models_per_key": "SELECT event_id % 50 AS key, count(*) FILTER (WHERE event_id % 4 < 2 AND event_id % 9 <> 0) AS models FROM events GROUP BY 1",
+    "j7_trial_plan": f"WITH k AS ({ORACLE['f6_usable_keys']}), m AS (SELECT unnest(['m0', 'm1']) AS model) SELECT model, a AS attempt, name, tier FROM m, k, (SELECT unnest([0, 1]) AS a) WHERE tier = 'free' UNION ALL SELECT model, 2, name, tier FROM m, k WHERE tier = 'paid'",
+    "s1_link_items": rf"WITH {_D}, l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) AS n FROM d) SELECT doc_id, CAST(n - 1 AS INT) AS pos, {_strip('line')} AS item FROM l WHERE {_strip('line')} <> ''",
+    "s14_history": "SELECT event_id, 's' || event_id AS source, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'done' END AS status, true AS updated, event_id AS total, CAST(1788796029 AS BIGINT) AS seconds FROM events",
+    "t18_prompts": rf"""WITH {_D} SELECT doc_id, 'Transcribe all speech of the recording "T ' || doc_id || '" as plain text, in its own language, without comments.' AS transcribe, md5('Summarise the transcript in Vietnamese, then after a line with *** in English. Each half: a title, a summary of three sentences, a bulleted list of lessons, quotes.' || chr(10) || chr(10) || text) AS refine FROM d""",
+}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +16,7 @@ from ..operators import manifest as M
 
 VIDEO_KINDS = ("mp4", "mkv", "avi", "mov", "webm", "flv")
 AUDIO_KINDS = ("mp3", "wav", "m4a", "aac", "ogg", "flac")
+# Patterns of settings, reference lines and audio addresses.
 CONFIG_LINE = r"^\s*([A-Za-z_][A-Za-z0-9_-]*)\s*[:=]\s*(.*?)\s*(?:#.*)?$"
 REFERENCE_LINE = r"\A>[^\n]*Reference:.*?\n"
 MP3 = r"""(https?://[^"'\s>]+?\.mp3)"""
@@ -33,7 +38,12 @@ def lines(files: DataFrame, text: str = "text") -> DataFrame:
 
 def link_list(spark: SparkSession, path: str) -> DataFrame:
     """path, pos, item: trimmed lines that aren't blank, in order."""
-    return lines(whole_files(spark, path)).select("path", "pos", strip(F.col("line")).alias("item")).where("item <> ''")
+    return items(whole_files(spark, path)).select("path", "pos", "item")
+
+
+def items(files: DataFrame, text: str = "text") -> DataFrame:
+    """The other columns, pos and item: trimmed lines that aren't blank."""
+    return lines(files, text).withColumn("item", strip(F.col("line"))).drop("line").where("item <> ''")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -85,6 +95,11 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY).json(path).withColumn("time", F.to_timestamp("time"))
 
 
+def history_row(line: Column) -> Column:
+    """A run of one JSON line, as ``history`` reads it."""
+    return F.from_json(line, HISTORY)
+
+
 def channel_videos(listings: DataFrame, entries: str = "entries") -> DataFrame:
     """channel, pos, url, title, duration of array<struct<url, id, title, duration>>; empty strings count as missing."""
     e = F.col("e")
@@ -98,7 +113,11 @@ def channel_videos(listings: DataFrame, entries: str = "entries") -> DataFrame:
 
 def media_files(spark: SparkSession, folder: str, kinds: tuple = VIDEO_KINDS + AUDIO_KINDS) -> DataFrame:
     """path, name, size_kb (rounded up) of media files, by extension in any case. Contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    return media_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length"), kinds)
+
+
+def media_of(found: DataFrame, kinds: tuple = VIDEO_KINDS + AUDIO_KINDS) -> DataFrame:
+    """The same of a listing: path, length."""
     return found.where(F.lower("path").rlike(r"\.(" + "|".join(kinds) + ")$")).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.ceil(F.col("length") / 1024).alias("size_kb"))
 
 
@@ -113,17 +132,35 @@ def write_links(links: DataFrame, path: str, *, url: str = "url", order: str = "
     links.repartitionByRange(order).sortWithinPartitions(order).select(url).write.mode("overwrite").text(path)
 
 
-def write_documents(docs: DataFrame, path: str, *, stem: str = "stem", text: str = "text", overwrite: bool = False) -> DataFrame:
-    """Documents as a Parquet table of stem, text; stems that are there already are left alone unless ``overwrite``. Returns what was written."""
-    spark = docs.sparkSession
-    own = docs.select(F.col(stem).alias("stem"), F.col(text).alias("text"))
-    if not overwrite:
-        try:
-            there = spark.read.parquet(path).select("stem")
-        except Exception as error:  # nothing is there yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        else:
-            own = own.join(there, "stem", "left_anti")
-    own.write.mode("overwrite" if overwrite else "append").parquet(path)
-    return own
+def _filesystem(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def write_documents(docs: DataFrame, folder: str, *, kind: str = "raw", stem: str = "stem", text: str = "text", overwrite: bool = False) -> int:
+    """Each document as its own file ``<stem>_<kind>.md`` in ``folder``, which all executors share; returns how many were written.
+
+    Files that are there stay as they are, unless ``overwrite``; files of other stems always do. A file is written under
+    another name and moved, so a repeated task leaves whole files. Of a repeated stem the text that sorts first counts; null stems are
+    left out, null texts are empty files.
+    """
+    own = docs.where(F.col(stem).isNotNull()).groupBy(F.col(stem).alias("stem")).agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, at = _filesystem(folder)
+        filesystem.create_dir(at, recursive=True)
+        for batch in batches:
+            n = 0
+            for name, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                path = f"{at}/{name}_{kind}.md"
+                if not overwrite and filesystem.get_file_info(path).type.name != "NotFound":
+                    continue
+                draft = f"{at}/.{uuid.uuid4().hex}"
+                with filesystem.open_output_stream(draft) as out:
+                    out.write(said.encode())
+                filesystem.move(draft, path)
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return own.mapInArrow(save, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

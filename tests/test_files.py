@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import manifest
@@ -35,10 +36,14 @@ def test_media_files(spark, tmp_path):
 
 def test_documents_are_not_written_twice(spark, tmp_path):
     docs = lambda *rows: spark.createDataFrame(rows, "stem string, text string")
-    path = str(tmp_path / "docs")
-    files.write_documents(docs(("a", "1")), path)
-    files.write_documents(docs(("a", "2"), ("b", "3")), path)
-    assert {r["stem"]: r["text"] for r in spark.read.parquet(path).collect()} == {"a": "1", "b": "3"}
+    folder = tmp_path / "docs"
+    assert files.write_documents(docs(("a", "1"), (None, "x")), str(folder)) == 1
+    assert files.write_documents(docs(("a", "2"), ("b", "é")), str(folder)) == 1
+    read = lambda: {p.name: p.read_text() for p in folder.iterdir()}
+    assert read() == {"a_raw.md": "1", "b_raw.md": "é"}
+    assert files.write_documents(docs(("a", "3"), ("a", "2")), f"file://{folder}", overwrite=True) == 1
+    assert files.write_documents(docs(("a", None)), str(folder), kind="refine") == 1
+    assert read() == {"a_raw.md": "2", "a_refine.md": "", "b_raw.md": "é"}
 
 
 def test_links_are_written_in_order(spark, tmp_path):
@@ -61,6 +66,23 @@ def test_replayed_batch_merges_once(spark, tmp_path):
     assert run("c2") == [1, 2]  # a lost checkpoint replays the batch
 
 
+def test_failures_are_committed_and_a_missing_version_is_an_error(spark, tmp_path):
+    start = manifest.parse(spark.createDataFrame([(0, ROW)], "pos long, line string"))
+    source, folder, schema = str(tmp_path / "in"), str(tmp_path / "out"), f"{commits.RESULT}, reason string"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        query = commits.commit_stream(spark.readStream.schema(schema).parquet(source), start, folder, str(tmp_path / "c"), F.lit("now"))
+        query.awaitTermination(60)
+        return query
+
+    run([("https://example.com/known", None, None, None, None, 0, "gone"), ("https://new.com/a", "New", "a_raw", None, None, 1, None)])
+    assert sorted(r["status"] for r in commits.current(spark, folder, 0).collect()) == ["Failed: gone", "Raw only"]
+    (tmp_path / "out" / "version=0").rename(tmp_path / "elsewhere")
+    with pytest.raises(Exception, match="is missing"):
+        run([("https://new.com/b", "New", "b_raw", None, None, 2, None)])
+
+
 def test_stream_operators(spark, tmp_path):
     events = spark.createDataFrame([("k", "2026-01-01 00:00:00", "error"), ("k", "2026-01-01 00:01:00", "view"), ("j", "2026-01-01 02:00:00", "view")], "url_key string, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
     events.write.parquet(str(tmp_path / "e"))

@@ -12,8 +12,8 @@ def test_same_rows_as_sql(name, same):
     same(plans.queries()[name], ORACLE[name])
 
 
-def test_only_the_pool_run_has_no_sql():
-    assert set(plans.queries()) - set(ORACLE) == {"st1_pool_runs"}
+def test_every_query_has_sql():
+    assert set(plans.queries()) == set(ORACLE)
 
 
 def test_entry_runs(spark):

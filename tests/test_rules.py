@@ -144,27 +144,49 @@ def test_rename_plan(frame, table):
     assert plan("other") == {1: "skip", 7: "skip"}
 
 
-POOL = "run string, seq int, model string, model_order int, key string, tier string, outcome string"
+CALLS = "run string, seq int, model string, key string, tier string, outcome string"
 
 
-def test_busy_service_never_reaches_paid_keys(frame):
-    run = keypool.simulate(frame([("r", 0, "m", 0, "k", "free", "503 busy"), ("r", 1, "m", 0, "p", "paid", None)], POOL), keypool.Settings(base=1.0, free_interval=0.0)).first()
-    assert (run["result"], run["calls_paid"], run["clock"]) == ("busy", 0, 3.0)
+def test_runs_of_logged_calls(frame):
+    rows = [("busy", 0, "m", "k", "free", "429 quota"), ("busy", 1, "m", "k", "free", "503 busy")]
+    rows += [("next", 0, "a", "k", "free", "404 NOT_FOUND: model is unavailable"), ("next", 1, "b", "k", "free", ""), ("next", 2, "b", "p", "paid", None)]
+    rows += [("none", 0, "a", "k", "free", "404 file not found"), ("none", 1, "a", "p", "paid", "503")]
+    found = {r["run"]: r for r in keypool.run_results(frame(rows, CALLS)).collect()}
+    assert (found["busy"]["result"], found["busy"]["calls_free"]) == ("busy", 0)
+    assert (found["next"]["result"], found["next"]["model"], found["next"]["key"], found["next"]["bad_models"]) == ("ok", "b", "p", "a")
+    assert (found["next"]["calls_free"], found["next"]["calls_paid"]) == (1, 1)
+    assert (found["none"]["result"], found["none"]["key"], found["none"]["bad_models"]) == ("exhausted", None, "")
+    assert {r["tier"]: r["calls"] for r in keypool.call_counts(frame(rows, CALLS)).collect()} == {"free": 1, "paid": 1}
 
 
-def test_missing_model_gives_way_to_the_next(frame):
-    rows = [("r", 0, "a", 0, "k", "free", "404 NOT_FOUND: model is unavailable"), ("r", 1, "b", 1, "k", "free", None)]
-    run = keypool.simulate(frame(rows, POOL)).first()
-    assert (run["result"], run["model"], run["bad_models"]) == ("ok", "b", "a")
-    rows = [("r", 0, "a", 0, "k", "free", "404 file not found"), ("r", 1, "a", 0, "p", "paid", None)]
-    run = keypool.simulate(frame(rows, POOL)).first()
-    assert (run["result"], run["key"], run["bad_models"]) == ("ok", "p", "")
+def test_trial_order(frame):
+    keys = frame([("GEMINI_API_KEY_2", "paid"), ("GEMINI_API_KEY_FREE_2", "free"), ("GEMINI_API_KEY_FREE_10", "free"), ("GEMINI_API_KEY_10", "paid")], "name string, tier string")
+    assert [r["name"] for r in keypool.trial_order(keys).collect()] == ["GEMINI_API_KEY_FREE_10", "GEMINI_API_KEY_FREE_2", "GEMINI_API_KEY_10", "GEMINI_API_KEY_2"]
 
 
-def test_mixed_503_and_429_in_a_round(frame):
-    rows = [("r", 0, "a", 0, "k1", "free", "503"), ("r", 1, "a", 0, "k2", "free", "429 retry_delay: '5s'"), ("r", 2, "a", 0, "k1", "free", None)]
-    run = keypool.simulate(frame(rows, POOL), keypool.Settings(base=1.0, free_interval=0.0)).first()
-    assert (run["result"], run["key"], run["clock"]) == ("ok", "k1", 1.0)
+def test_clients_give_way(frame):
+    def call(url, client):
+        if url == "gone":
+            raise ValueError("ERROR: Private video")
+        if client != "ios":
+            raise ValueError("try another")
+        return f"{url} by {client}"
+
+    rows = frame([(1, "u", ["default", "ios", "tv"]), (2, "gone", ["default", "ios"]), (3, "u", ["tv"]), (4, "u", [])], "id int, url string, clients array<string>")
+    found = {r["id"]: (r["client"], r["result"], r["tried"]) for r in keypool.with_clients(rows, call, key="id", clock=lambda: 0.0).collect()}
+    assert found == {1: ("ios", "u by ios", 2), 2: (None, None, 1), 3: (None, None, 1), 4: (None, None, 0)}
+
+
+def test_transcription_waits_for_the_upload(frame):
+    def upload(path):
+        return [path, 0]
+
+    def state(handle):
+        handle[1] += 1
+        return "FAILED" if handle[0] == "bad" else "PROCESSING" if handle[1] < 3 else "ACTIVE"
+
+    found = keypool.transcribed(frame([("a",), ("bad",)], "path string"), upload, state, lambda h: f"text of {h[0]} after {h[1]}", sleep=lambda s: None)
+    assert {r["path"]: r["text"] for r in found.collect()} == {"a": "text of a after 3", "bad": None}
 
 
 def test_models(value):
@@ -178,6 +200,20 @@ def test_first_wins_and_numbers(frame):
     assert sorted(r["x"] for r in dedup.first_wins(rows, "k", "n").collect()) == [2, 3, 4]
     assert [(r["n"], r["i"]) for r in dedup.numbered(rows, "n", "i").orderBy("n").collect()] == [(3, 1), (4, 2), (5, 3), (70000, 4)]
     assert dedup.first_wins(rows.limit(0), "k", "n").count() == 0
+    wide = [-(1 << 62), -70_000, -1, 0, 65_536, 1 << 33, (1 << 33) + 1, 1 << 50, (1 << 63) - 1]
+    spread = dedup.numbered(frame([(n,) for n in wide], "n long"), "n", "i")
+    assert [r["i"] for r in spread.orderBy("n").collect()] == list(range(1, len(wide) + 1))
+
+
+def test_captions_by_any_prefix(frame):
+    media = frame([("abc",), ("abcd",), ("x",), ("x",), ("",), (None,)], "media_id string")
+    named = frame([("abc.en.vtt",), ("abcd.vi.srt",), ("x.vi.vtt",), ("x1.en.vtt",), ("q.vtt",)], "name string")
+    assert {r["media_id"]: r["name"] for r in captions.choose_caption(media, named).collect()} == {"abc": "abc.en.vtt", "abcd": "abcd.vi.srt", "x": "x1.en.vtt"}
+
+
+def test_batch_scan(frame):
+    lines = frame([(0, "|1|a|b|c|"), (1, "x"), (2, "| STT | Link |"), (3, "|---|---|"), (4, "|| 12 | ht tp://a | t | 1 |"), (5, "| 08 | b |"), (6, "| -3 | c |"), (7, "")], "pos int, line string")
+    assert [(r["stt"], r["link"], r["third"]) for r in manifest.parse_batch(lines).orderBy("pos").collect()] == [(12, "http://a", " t "), (-3, "c", None)]
 
 
 def test_pages_are_clamped(frame):
