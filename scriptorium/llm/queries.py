@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, html_text, licenses, packing, quality, simhash, token_files, toxicity, vptree
-from .scratch import table
+from .scratch import discard_all, table
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
