@@ -6,6 +6,8 @@ starts and ends, whether a blank line is before it). Transition and feature chan
 turns whose roles are known, with add-one smoothing; the reliability of markers is a parameter. Viterbi
 finds the likeliest states of each transcript, which give turns; ``render`` writes them in one form.
 
+No text is lost: a marker that names a known role is cut from its turn and kept beside it, an unknown name stays in the text.
+
 Defined cases: null, empty and blank transcripts have no turns; a transcript without any marker is
 decoded from its features alone; text before the first turn's marker belongs to that decoding too; repeated
 transcripts and null keys each get their rows; without known turns the chances are even; no
@@ -23,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import bounded, small_batches, stored, tidy
+from .toxicity import held_out
 
 ROLES = ("system", "user", "assistant")
 #: Names by which transcripts call the roles.
@@ -47,14 +50,14 @@ class Model(NamedTuple):
 
 
 def marker(line: str) -> tuple[int, int]:
-    """(role number, 3 for an unknown name, -1 for no marker; where the line's own text starts)"""
+    """(role number, 3 for an unknown name, -1 for no marker; where the line's own text starts). Unknown names belong to the text."""
     m = MARKER.match(line)
     if not m:
         return -1, 0
     name = next(g for g in m.groups() if g).lower()
-    if name not in _ROLE_OF and not m["d"] and not m["a"]:
-        return -1, 0
-    return _ROLE_OF.get(name, 3), m.end()
+    if name not in _ROLE_OF:
+        return (3 if m["d"] or m["a"] else -1), 0
+    return _ROLE_OF[name], m.end()
 
 
 def line_feature(text: str) -> int:
@@ -82,7 +85,7 @@ def fit(turns: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: str
         after[number[x["before"]], number[x["r"]]] += x["c"]
     for x in own.where("n = 0").groupBy("r").agg(F.count(F.lit(1)).alias("c")).collect():
         first[number[x["r"]]] += x["c"]
-    lines = own.select("r", F.posexplode(F.split("t", "\n")).alias("line", "s"))
+    lines = own.select("r", F.posexplode(F.filter(F.split("t", "\n"), lambda s: ~s.rlike(r"(?U)^\s*$"))).alias("line", "s"))
     on = np.ones((3, 2))
     for x in lines.groupBy("r", line_feature_column(F.col("s")).alias("f"), (F.col("line") > 0).alias("later")).agg(F.count(F.lit(1)).alias("c")).collect():
         features[number[x["r"]], x["f"]] += x["c"]
@@ -135,8 +138,8 @@ def viterbi(shown: np.ndarray, first: np.ndarray, step: np.ndarray) -> np.ndarra
     return states
 
 
-def decode(transcript: str | None, model: Model) -> list[tuple[str, str]]:
-    """Turns: role and text."""
+def turns_of(transcript: str | None, model: Model) -> list[tuple[str, str, str]]:
+    """Turns: role, marker and body. Markers and bodies put together, with a line end between turns, are the transcript."""
     every = (transcript or "").split("\n")
     at = [i for i, x in enumerate(every) if x.strip()]
     if not at:
@@ -144,36 +147,42 @@ def decode(transcript: str | None, model: Model) -> list[tuple[str, str]]:
     shown, starts = emissions([every[i] for i in at], model)
     first = np.full(6, -np.inf)
     first[::2] = model.first
-    turns: list[tuple[str, list[str]]] = []
-    for i, before, start, state in zip(at, [-1, *at], starts, viterbi(shown, first, transitions(model)).tolist()):
-        if turns:
-            turns[-1][1].extend([""] * (i - before - 1))  # blank lines belong to the turn before them
+    turns: list[tuple[str, str, list[str]]] = []
+    for i, end, start, state in zip(at, [*at[1:], len(every)], starts, viterbi(shown, first, transitions(model)).tolist()):
         if state % 2 == 0:
-            turns.append((ROLES[state // 2], [every[i][start:]]))
+            before = "" if turns else "\n" * i  # blank lines before all turns go with the first marker
+            turns.append((ROLES[state // 2], before + every[i][:start], [every[i][start:]]))
         else:
-            turns[-1][1].append(every[i])
-    return [(role, "\n".join(own).strip()) for role, own in turns]
+            turns[-1][2].append(every[i])
+        turns[-1][2].extend(every[i + 1 : end])  # blank lines belong to the turn before them
+    return [(role, mark, "\n".join(own)) for role, mark, own in turns]
+
+
+def decode(transcript: str | None, model: Model) -> list[tuple[str, str]]:
+    """Turns: role and text, without white space around it."""
+    return [(role, body.strip()) for role, _, body in turns_of(transcript, model)]
 
 
 def parse(transcripts: DataFrame, model: Model, *, key: str = "conv_id", text: str = "text") -> DataFrame:
-    """key, turn, role, content, n_turns: one row a recovered turn."""
+    """key, turn, role, content, n_turns, marker, body: one row a recovered turn. ``content`` is the body without white space around it."""
     small_batches(transcripts.sparkSession)
     rows = transcripts.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, turn, role, content, total = [], [], [], [], []
+            at, turn, role, marks, bodies, total = [], [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                turns = decode(t, model)
+                turns = turns_of(t, model)
                 at += [i] * len(turns)
                 turn += range(len(turns))
-                role += [r for r, _ in turns]
-                content += [c for _, c in turns]
+                for own, by_turn in zip((role, marks, bodies), zip(*turns)):
+                    own += by_turn
                 total += [len(turns)] * len(turns)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(turn, pa.int64()), pa.array(role, pa.string()), pa.array(content, pa.string()), pa.array(total, pa.int64())], ["k", "turn", "role", "content", "n_turns"])
+            said = [pa.array(x, pa.string()) for x in (role, [b.strip() for b in bodies], marks, bodies)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(turn, pa.int64()), *said[:2], pa.array(total, pa.int64()), *said[2:]], ["k", "turn", "role", "content", "n_turns", "marker", "body"])
 
-    return rows.mapInArrow(read, f"k {kind}, turn long, role string, content string, n_turns long").withColumnRenamed("k", key)
+    return rows.mapInArrow(tidy(read), f"k {kind}, turn long, role string, content string, n_turns long, marker string, body string").withColumnRenamed("k", key)
 
 
 def render(role: Column, content: Column) -> Column:
@@ -183,10 +192,16 @@ def render(role: Column, content: Column) -> Column:
 
 #: Turns of a conversation in one transcript: it bounds what is put together for one decoding.
 TRANSCRIPT_TURNS = 64
+#: Rows of one turn number from which they are transcripts of their own.
+REPEATS = 16
 
 
 def transcripts_of(turns: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Raw transcripts (key, part, text) from turns: five marker styles by the key's hash, and each seventh turn after the first, by hash, without its marker."""
+    """Raw transcripts (key, part, text) from turns: five marker styles by the key's hash, and each seventh turn after the first, by hash, without its marker.
+
+    A transcript has TRANSCRIPT_TURNS turn numbers, and a null number is 0. Rows of a turn number that recurs more than REPEATS times
+    in its conversation are put together apart, TRANSCRIPT_TURNS to a transcript, so none grows without bound.
+    """
     style = F.pmod(F.xxhash64(key), F.lit(5))
     title = F.initcap(F.col(role))
     head = (
@@ -198,13 +213,18 @@ def transcripts_of(turns: DataFrame, *, key: str = "conv_id", turn: str = "turn"
         .otherwise(F.concat(F.lit("**"), title, F.lit("**: ")))
     )
     said = F.concat(F.coalesce(head, F.lit("")), F.coalesce(F.col(text).cast("string"), F.lit("")))
-    part = F.floor(F.coalesce(F.col(turn), F.lit(0)) / TRANSCRIPT_TURNS)
-    grouped = turns.select(F.col(key), part.alias("part"), F.struct(F.col(turn).alias("n"), said.alias("s")).alias("x")).groupBy(key, "part").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return grouped.select(key, "part", F.array_join(F.transform("xs", lambda x: x["s"]), "\n").alias("text"))
+    number = F.coalesce(F.col(turn).cast("long"), F.lit(0))
+    own = turns.select(F.col(key).alias("k"), number.alias("t"), F.struct(F.col(turn).alias("n"), said.alias("s")).alias("x"), F.monotonically_increasing_id().alias("row"))
+    often = stored(own.groupBy("k", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REPEATS).select(F.col("k").alias("k2"), F.col("t").alias("t2"), "n"), "repeated-turns")
+    dealt = own.join(bounded(often), F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2")), "left")
+    piece = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / TRANSCRIPT_TURNS))
+    grouped = dealt.groupBy("k", F.floor(F.col("t") / TRANSCRIPT_TURNS).alias("part"), "t2", piece.alias("piece")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return grouped.select(F.col("k").alias(key), "part", F.array_join(F.transform("xs", lambda x: x["s"]), "\n").alias("text"))
 
 
 def chat_table(turns: DataFrame, *, key: str = "conv_id") -> DataFrame:
-    """``op2``: raw transcripts made of ``turns`` parsed back: key, part, turn, role and the rendered turn."""
+    """``op2``: raw transcripts made of ``turns`` parsed back: key, part, turn, role, the rendered turn, its marker, and whether the model hasn't seen the conversation."""
     made = transcripts_of(turns, key=key).select(F.struct(key, "part").alias("id"), "text")
-    found = parse(made, fit(turns, key=key), key="id")
-    return found.select(F.col(f"id.{key}").alias(key), F.col("id.part").alias("part"), "turn", "role", "n_turns", render(F.col("role"), F.col("content")).alias("rendered"))
+    found = parse(made, fit(turns.where(~held_out(F.col(key))), key=key), key="id")
+    own = F.col(f"id.{key}")
+    return found.select(own.alias(key), F.col("id.part").alias("part"), "turn", "role", "n_turns", render(F.col("role"), F.col("content")).alias("rendered"), "marker", held_out(own).alias("held_out"))
