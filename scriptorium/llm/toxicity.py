@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of its distinct
-words and their beginnings, hashed; a document's score is the noisy-or of its sentences' scores,
-1 - prod(1 - p). The weights are fitted to document labels alone: features that stand in toxic
+words and their beginnings, hashed; a document's score is the noisy-or of its sentences' scores
+beyond that of a quiet sentence q, one without any word that has a weight: 1 - prod((1 - p) / (1 - q)). Quiet sentences so add nothing,
+however many there are. The weights are fitted to document labels alone: features that stand in toxic
 documents significantly more often than chance would have it get a weight, by gradient steps on the
 noisy-or's likelihood; the sentences that carry a document's score then follow.
 
@@ -36,8 +37,10 @@ MAX_TRAIN_DOCS = 12_000
 #: Lengths of the beginnings of words that are features beside the words.
 BEGINNINGS = (4, 5, 6, 7)
 #: Least log-probability (negated) that chance puts a feature into so many toxic documents.
-SIGNIFICANCE = 8.5
+SIGNIFICANCE = 5.0
 STEPS, RATE, PENALTY = 250, 0.15, 2e-5
+#: A toxic document counts so much in a fit; bounds of the log-odds of a quiet sentence.
+TOXIC_WEIGHT, LEAST_BIAS, MOST_BIAS = 4.0, -12.0, -3.0
 THRESHOLD = 0.7
 
 
@@ -70,7 +73,7 @@ def significant(toxic: np.ndarray, all_: np.ndarray, rate: float) -> np.ndarray:
 
 
 def fit_mil(sentences: list[list[np.ndarray]], labels: np.ndarray, n_features: int) -> tuple[float, np.ndarray]:
-    """bias and weights; ``sentences``: of each document, the feature numbers of each of its sentences."""
+    """bias and weights, none below zero; ``sentences``: of each document, the feature numbers of each of its sentences."""
     n_docs, positive = len(sentences), labels > 0
     flat = [s for d in sentences for s in d]
     doc_of = np.repeat(np.arange(n_docs), [len(d) for d in sentences])
@@ -80,17 +83,16 @@ def fit_mil(sentences: list[list[np.ndarray]], labels: np.ndarray, n_features: i
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, STEPS + 1):
         z = b + np.bincount(sentence_of, w[own], minlength=len(flat))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n_docs))
-        some = np.maximum(1 - none, 1e-9)
-        pull = np.where(positive, -none / some, 1.0)[doc_of] * p
-        gradient = np.append(np.bincount(own, pull[sentence_of], minlength=n_features), pull.sum()) / n_docs
+        p, quiet = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-b))
+        none = np.exp(np.minimum(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)) - np.log1p(-quiet), minlength=n_docs), 0))
+        some = np.maximum(1 - none, 1e-6)
+        pull = np.maximum(np.where(positive, -TOXIC_WEIGHT * none / some, 1.0), -1e3)[doc_of]
+        gradient = np.append(np.bincount(own, (pull * p)[sentence_of], minlength=n_features), (pull * (p - quiet)).sum()) / n_docs
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         scale = RATE / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         move = scale * m / (1 - 0.9**step)
-        w -= move[:-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(scale[:-1] * PENALTY, 1.0), 0)
-        b -= move[-1]
+        w = np.maximum(w - move[:-1] - np.minimum(scale[:-1] * PENALTY, 1.0), 0)
+        b = min(max(b - move[-1], LEAST_BIAS), MOST_BIAS)
     return float(b), w
 
 
@@ -186,15 +188,12 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
                         weigh(words := sentence_words(m[0]))
                         if z := sum(map(memo.__getitem__, words)):
                             p = float(1 / (1 + np.exp(-np.clip(z + bias, -500, 500))))
-                            none += np.log1p(-min(p, 1 - 1e-12))
+                            none += np.log1p(-min(p, 1 - 1e-12)) - quiet
                             if p >= least:
                                 own.append({"from": m.start(), "to": m.end(), "score": p})
-                        else:
-                            none += quiet
                 else:
                     n = sum(1 for _ in SENTENCE.finditer(t))
-                    none = n * quiet
-                total.append(float(-np.expm1(none)))
+                total.append(float(-np.expm1(min(none, 0.0))))
                 count.append(n)
                 places.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.float64()), pa.array(count, pa.int64()), pa.array(places, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("score", pa.float64())])))], ["k", "score", "n_sentences", "sentences"])
