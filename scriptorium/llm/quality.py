@@ -30,8 +30,8 @@ DIM = 512
 MAX_TRAIN_DOCS = 8000
 ROUNDS, STEPS, RATE, DECAY = 60, 300, 0.1, 1e-4
 THRESHOLD = 0.5
-#: Labellers are set so that at most one in a hundred good documents gets a bad vote from one.
-LEAST_ON_GOOD = 0.99
+#: Where estimation starts: chances of a good vote on good documents, and on bad ones of a kind that a labeller doesn't look for.
+FIRST_ON_GOOD, FIRST_ON_OTHER = 0.97, 0.95
 SYMBOLS = "#$%&*@^~|<>{}[]=+_\\/"
 NOT_SHAPE = re.compile(r"(.)\1+")
 
@@ -161,31 +161,37 @@ def examine(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     return stored(rows.mapInArrow(tidy(seen), f"k {kind}, votes string, features binary, judged boolean").withColumnRenamed("k", key), "examined")
 
 
-def posteriors(patterns: dict[str, int]) -> dict[str, float]:
-    """Expectation-maximisation: pattern -> probability that its documents are good."""
+def estimate(patterns: dict[str, int]) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
+    """Expectation-maximisation over the counts of vote patterns: pattern -> probability that its documents are good; by class (the
+    first is good) and labeller the chance that a vote, if one is cast, is good; shares of the classes. Two votes as at the
+    start count beside the observed ones."""
     if not patterns:
-        return {}
+        return {}, np.zeros((0, 0)), np.zeros(0)
     listed = sorted(patterns)
     vote = np.array([[(c == "+") - (c == "-") for c in p] for p in listed])
     count = np.array([patterns[p] for p in listed], float)
     up, down = (vote > 0).astype(float), (vote < 0).astype(float)
     n = vote.shape[1]
     # Class 0 is good. Documents are bad in different ways, so each labeller starts a bad class of its own.
-    chance = np.full((n + 1, n), 0.95)  # of a good vote, if one is cast
-    chance[0] = LEAST_ON_GOOD
+    chance = np.full((n + 1, n), FIRST_ON_OTHER)
+    chance[0] = FIRST_ON_GOOD
     chance[np.arange(1, n + 1), np.arange(n)] = 0.1
-    prior = np.append(0.8, np.full(n, 0.2 / n))
+    prior, first = np.append(0.8, np.full(n, 0.2 / n)), chance.copy()
     for _ in range(ROUNDS):
         joint = np.log(prior) + (up[:, None, :] * np.log(chance)).sum(axis=2) + (down[:, None, :] * np.log(1 - chance)).sum(axis=2)
         q = np.exp(joint - joint.max(axis=1, keepdims=True))
         q /= q.sum(axis=1, keepdims=True)
         mass = count[:, None] * q
         ups, downs = (mass[:, :, None] * up[:, None, :]).sum(axis=0), (mass[:, :, None] * down[:, None, :]).sum(axis=0)
-        chance = np.clip((ups + 2 * chance) / (ups + downs + 2), 0.01, 0.995)
-        chance[0] = np.maximum(chance[0], LEAST_ON_GOOD)
+        chance = np.clip((ups + 2 * first) / (ups + downs + 2), 0.01, 0.999)
         prior = np.maximum(mass.sum(axis=0), 0.5)
         prior /= prior.sum()
-    return dict(zip(listed, q[:, 0].tolist()))
+    return dict(zip(listed, q[:, 0].tolist())), chance, prior
+
+
+def posteriors(patterns: dict[str, int]) -> dict[str, float]:
+    """pattern -> probability that its documents are good."""
+    return estimate(patterns)[0]
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -31,6 +32,29 @@ def test_offending_sentences(spark):
     assert rows[1]["score"] > 0.9 > rows[2]["score"] and rows[3]["score"] == 0 and rows[4]["score"] > 0.9
 
 
+def test_long_quiet_texts_score_nothing(spark):
+    weights = {b: 12.0 for b in toxicity.buckets("vile")[:1]}
+    docs = spark.createDataFrame([(1, "All is well here. " * 30_000), (2, "All is well here. " * 30_000 + "Vile.")], "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.Model(-3.0, weights)).collect()}
+    assert scores[1] == 0 and scores[2] > 0.9
+
+
+def test_scores_against_the_plain_formula(documents, read):
+    model = toxicity.fit(documents, read("labels"))
+    quiet = 1 / (1 + np.exp(-model.bias))
+
+    def plain(text):
+        none = 1.0
+        for s in re.findall(r"[^.!?\n]*\w[^.!?\n]*", text or ""):
+            said = {w.strip(toxicity.EDGES) for w in s.lower().split()} - {""}
+            z = sum(model.weights.get(b, 0.0) for w in said for b in toxicity.buckets(w))
+            none *= (1 - min(1 / (1 + np.exp(-(z + model.bias))), 1 - 1e-12)) / (1 - quiet) if z else 1
+        return 1 - none
+
+    rows = toxicity.score(documents, model).join(documents.select("doc_id", "text"), "doc_id").collect()
+    assert len(rows) == documents.count() and max(abs(r["score"] - plain(r["text"])) for r in rows) < 1e-9
+
+
 def test_noisy_or_gradient():
     rng = np.random.default_rng(0)
     sentences = [[rng.integers(1, 6, 4) for _ in range(3)] for _ in range(400)]
@@ -77,6 +101,43 @@ def test_em_recovers_accuracies():
     assert post["+" * n] > 0.95
     assert np.mean([(post[p] > 0.5) == (np.mean(t) > 0.5) for p, t in truth.items() if len(t) > 20]) == 1
     assert quality.posteriors({}) == {}
+    good = quality.estimate(patterns)[1][0]
+    assert (abs(good - 0.997) < 0.015).all()  # estimated, not set
+
+
+def test_votes_and_scores_against_the_plain_way(documents):
+    table = {r["doc_id"]: r["text"] for r in documents.collect()}
+    examined = quality.examine(documents)
+    good, weights = quality.fit(examined)
+    seen = {r["doc_id"]: r for r in examined.collect()}
+    for r in quality.assess(documents).collect():
+        text = table[r["doc_id"]]
+        words = (text or "").split()
+        if not words:
+            assert not r["accepted"] and r["score"] == 0
+            continue
+        stats = quality.measure(text, words)
+        assert stats.symbols == sum(c in quality.SYMBOLS for c in text) / len(text)
+        assert stats.distinct == len(set(words)) / len(words) and stats.mean_length == sum(map(len, words)) / len(words)
+        assert r["votes"] == "".join("0" if stats.words < least else {1: "+", 0: "0", -1: "-"}[f(stats)] for least, f in quality.LABELLERS.values())
+        assert r["posterior"] == good[r["votes"]]
+        x = np.frombuffer(seen[r["doc_id"]]["features"], np.uint8) / 255.0
+        assert abs(r["score"] - 1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1])))) < 1e-6 and r["accepted"] == (r["score"] >= 0.5)
+
+
+def test_estimation_adds_to_plain_votes():
+    rng = np.random.default_rng(4)
+    n, patterns, truth = len(quality.LABELLERS), {}, {}
+    for _ in range(6000):
+        good, junk = rng.random() < 0.8, rng.integers(n)
+        # The first labeller errs on a tenth of good documents, the others hardly ever.
+        wrong = rng.random(n) < np.append(0.1, np.full(n - 1, 0.002))
+        p = "".join("-" if (w if good else k == junk or w) else "+" for k, w in enumerate(wrong))
+        patterns[p] = patterns.get(p, 0) + 1
+        truth.setdefault(p, []).append(good)
+    post = quality.posteriors(patterns)
+    right = lambda accepts: sum(accepts(p) == t for p, own in truth.items() for t in own) / 6000
+    assert right(lambda p: post[p] >= 0.5) > max(right(lambda p: "-" not in p), right(lambda p: p.count("-") < p.count("+"))) + 0.02
 
 
 def test_quality_of_awkward_rows(awkward):
@@ -199,6 +260,20 @@ def test_transcripts_are_parsed(read):
     assert chat.decode(None, model) == [] and chat.decode(" \n", model) == []
 
 
+def test_no_text_is_lost(read):
+    model = chat.fit(read("conversations"))
+    assert chat.decode("Note: buy milk", model)[0][1] == "Note: buy milk" and chat.decode("https: //x", model)[0][1] == "https: //x"
+    for text in ("\n\nUser: hi\nthere\n\n\nAssistant: yes \n\n", "Note: a\n[USER] b\n  c", "x", "AI: \nBob: said"):
+        assert "\n".join(mark + body for _, mark, body in chat.turns_of(text, model)) == text
+
+
+def test_a_repeated_turn_is_cut(spark):
+    rows = [(1, 0, "user", f"line {i}") for i in range(200)] + [(1, 1, "assistant", "b"), (1, None, "user", "c"), (2, 0, "user", "d")]
+    made = chat.transcripts_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sum(r["text"].count("line ") for r in made) == 200 and max(r["text"].count("\n") for r in made) < 2 * 64
+    assert any("b" in r["text"] and "line" not in r["text"] for r in made)
+
+
 def test_most_roles_are_recovered(read):
     turns = read("conversations")
     truth, got = {}, {}
