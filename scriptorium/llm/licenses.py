@@ -51,6 +51,8 @@ FIXED = {
     "mpl-copy-s": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
     "mpl-1.1": "the contents of this file are subject to the mozilla public license version 1 1 the license",
     "gnu-purpose": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "epl-1.0": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
     "cc0": "this work is dedicated to the public domain",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
@@ -58,10 +60,10 @@ CC_TERMS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
 CC_VERSIONS = ("2 0", "2 5", "3 0", "4 0")
 #: What a GNU notice calls its work.
 WORKS = ("program", "library", "file", "software")
-#: How the third clause of BSD-3-Clause begins; after "Inc." only its rest is a sentence.
-HOLDERS = ("copyright holder", "copyright holders", "author", "university", "organization", "company")
+#: The third clause of BSD-3-Clause names a holder, which is put aside.
+HOLDER, ANY_HOLDER = "^neither the name of .* nor the names of", "neither the name of a holder nor the names of"
 GNU = {"gpl": "general public license", "lgpl": "lesser general public license", "agpl": "affero general public license"}
-SPDX = ("mit", "isc", "apache 2 0", "bsd 2 clause", "bsd 3 clause", "mpl 2 0", "gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0 only", "gpl 3 0 or later", "lgpl 3 0 only", "agpl 3 0 only", "cc0 1 0", "cc by 4 0", "cc by sa 4 0", "unlicense")
+SPDX = ("mit", "isc", "apache 2 0", "bsd 2 clause", "bsd 3 clause", "mpl 2 0", "gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0 only", "gpl 3 0 or later", "lgpl 3 0 only", "agpl 3 0 only", "epl 1 0", "epl 2 0", "cc0 1 0", "cc by 4 0", "cc by sa 4 0", "unlicense")
 
 
 def _known() -> tuple[dict[str, str], dict[str, list[str]]]:
@@ -105,8 +107,9 @@ def _known() -> tuple[dict[str, str], dict[str, list[str]]]:
         known[f"spdx-{s}"] = f"spdx license identifier {s}"
         rules[f"SPDX:{s.replace(' ', '-')}/0"] = [f"spdx-{s}"]
     endorsed = "the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
-    for h in ("", *HOLDERS):
-        known[f"bsd-names-{h}"] = f"neither the name of the {h} nor {endorsed}" if h else f"nor {endorsed}"
+    # After "Inc." only the clause's rest is a sentence.
+    for h, begins in (("whole", "neither the name of a holder nor"), ("rest", "nor")):
+        known[f"bsd-names-{h}"] = f"{begins} {endorsed}"
         rules[f"BSD-3-Clause/full/{h}"] = ["bsd-grant", "bsd-source", "bsd-binary", f"bsd-names-{h}", "bsd-warranty"]
     rules |= {
         "MIT/name": ["mit-name"],
@@ -121,6 +124,8 @@ def _known() -> tuple[dict[str, str], dict[str, list[str]]]:
         "MPL-2.0/notice": ["mpl-v", "mpl-copy"],
         "MPL-2.0/notice-s": ["mpl-v", "mpl-copy-s"],
         "MPL-1.1/notice": ["mpl-1.1"],
+        "EPL-1.0/notice": ["epl-1.0"],
+        "EPL-2.0/notice": ["epl-2.0"],
         "CC0-1.0/dedication": ["cc0"],
         "Unlicense/full": ["unlicense"],
         "Proprietary/reserved": ["all-rights"],
@@ -134,7 +139,7 @@ NUMBER = {name: i + 1 for i, name in enumerate(NAMES)}
 
 
 def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ")), HOLDER, ANY_HOLDER)
 
 
 def rule_pattern(names: list[str]) -> str:
@@ -192,7 +197,7 @@ d AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS t FROM doc
 p AS (SELECT n, t, unnest(list_distinct(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '[.!?;:]+\s+|
 \s*
 ')))) AS piece FROM d),
-f AS (SELECT n, id, min(instr(t, piece)) AS place FROM p JOIN k ON sentence = trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')) GROUP BY n, id),
+f AS (SELECT n, id, min(instr(t, piece)) AS place FROM p JOIN k ON sentence = regexp_replace(trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')), '{HOLDER}', '{ANY_HOLDER}') GROUP BY n, id),
 s AS (SELECT n, count(*) AS n_sentences, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place, id) AS ids, ' ' || string_agg(CAST(id AS VARCHAR), ' ' ORDER BY place, id) || ' ' AS said FROM f GROUP BY n),
 h AS (SELECT n, rule, licence, larger FROM s JOIN r ON regexp_matches(said, pattern)),
 g AS (SELECT n, list(rule) AS rules FROM h GROUP BY n),

@@ -1,4 +1,6 @@
+import html
 import re
+import time
 
 import pytest
 
@@ -131,6 +133,9 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
 AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
 IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
 DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/."""
 THIRD = """
 3. Neither the name of {} nor the names of its
    contributors may be used to endorse or promote products derived from
@@ -151,6 +156,10 @@ def test_standard_notices(spark):
         (BSD.format(third=""), ["BSD-2-Clause"]),
         (BSD.format(third=THIRD.format("the copyright holder")), ["BSD-3-Clause"]),
         (BSD.format(third=THIRD.format("Example Inc.")), ["BSD-3-Clause"]),
+        (BSD.format(third=THIRD.format("the Regents of Some University, its chair and 3 others")), ["BSD-3-Clause"]),
+        (EPL, ["EPL-2.0"]),
+        ("All rights\nreserved.", ["Proprietary"]),
+        ("This work is dedicated to the\npublic  domain.", ["CC0-1.0"]),
     ]
     commented = [("/*\n" + "\n".join(f" * {x}".rstrip() for x in text.split("\n")) + "\n */\nint main;", want) for text, want in (cases[0], cases[6])]
     commented.append(("\n".join(f"# {x}" for x in "redistribution and use in source and binary forms with or without modification are permitted provided\nthat the following conditions are met".split("\n")) + ":\n", []))
@@ -160,6 +169,56 @@ def test_standard_notices(spark):
     assert len(got[-1]["sentence_ids"]) == 1
 
 
+def test_query_and_sql_agree_on_wrapped_texts(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    whole = [APACHE, MPL, EPL, BSD.format(third=THIRD.format("Some Holder")), GPL.format(work="program", kind="", a=";", b=";", version=LATER.format(2))]
+    texts = whole + [t.replace(" ", "  ") for t in whole] + [t.replace("\n", " ") for t in whole] + ["# " + t.replace("\n", "\n# ") for t in whole]
+    texts += ["All rights\nreserved.", "dedicated to the\npublic  domain.", "This work is dedicated to the\npublic  domain.", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = sorted(map(str, db.execute(f"SELECT doc_id, n_sentences, sentence_ids, licences FROM ({licenses.oracle()})").fetchall()))
+    got = sorted(str(tuple(r)) for r in licenses.license_table(docs).select("doc_id", "n_sentences", "sentence_ids", "licences").collect())
+    assert got == want
+
+
+def test_template_counts_against_brute_force(spark, read):
+    """Every row of ``pages``: the article as its element has it, and subtrees counted page by page."""
+    pages = read("pages")
+    found = {r["page_id"]: r for r in html_text.main_text(pages).collect()}
+    host = lambda u: re.match(r"\w+://([^/]*)", u)[1]
+    seen, articles, own = {}, {}, {}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
+        parts = [re.sub("<br>", " ", re.sub(r"</?b>", "", x)) for x in re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", inner)]
+        parts = [" ".join(html.unescape(x).split()) for x in parts]
+        assert found[r["page_id"]]["text"] == "\n".join(x for x in parts if x)
+        _, nodes, article = own[r["page_id"]] = html_text.read_page(r["html"])
+        articles.setdefault(host(r["url"]), set()).add(article)
+        for subtree, *_ in nodes:
+            seen.setdefault((host(r["url"]), subtree), set()).add(article)
+    for r in pages.collect():
+        at, gone = host(r["url"]), set()
+        for subtree, start, end, easy in own[r["page_id"]][1]:
+            n, of = len(seen[at, subtree]), len(articles[at])
+            if n >= 3 and n >= 0.2 * of or easy and n >= 2 and n >= 0.01 * of:
+                gone.update(range(start, end))
+        assert found[r["page_id"]]["n_template"] == len(gone)
+    assert sum(r["n_template"] for r in found.values()) > 0
+
+
+def test_hostile_pages():
+    for page in ("<a " * 160_000 + "'", "<div>x" * 80_000, "<div>" * 50_000 + "</span>" * 30_000, "<a b='" * 60_000, "<script>" * 60_000, "<!--" * 100_000):
+        began = time.process_time()
+        html_text.read_page(page)
+        assert time.process_time() - began < 30
+    assert html_text.extract("<p title='x>Hello world") == ["Hello world"]
+    assert html_text.extract('<body><form id="aspnetForm"><article><p>a</p></article></form>') == ["a"]
+    for kept in ('id="discussion"', 'class="share-price"', 'class="social-history"', 'class="ad-hoc"'):
+        assert html_text.extract(f"<article><section {kept}><p>t</p></section></article>") == ["t"]
+
+
 def test_licences_of_awkward_rows(awkward):
     assert licenses.license_table(awkward).where("n_sentences = 0").count() == awkward.count()
 
