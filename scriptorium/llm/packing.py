@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import bounded, small_batches, stored, tidy
+from .scratch import MEMO_WORDS, bounded, small_batches, stored, tidy
 from .tokens import crc32_u32, default_tokenizer, encoder
 
 CAPACITY = 2048
@@ -167,9 +167,13 @@ def _first_fit(sizes: np.ndarray, left: np.ndarray, room: int) -> list[Pattern]:
     return [Pattern(1, items) for _, items in open_]
 
 
-def token_pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, grain: int = GRAIN, with_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, grain: int = GRAIN, with_ids: bool = True, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Encode and cut: key, start, length, doc_tokens, ids_crc32, ids (little-endian unsigned 32-bit, if wanted), and
-    size_class, part and part_rank, the piece's place among its class in its task."""
+    size_class, part and part_rank, the piece's place among its class in its task.
+
+    ``memo_words`` bounds the words that a worker remembers; under MEMO_WORDS it forgets them after each task, for workers that
+    have other stages' work to do. It changes speed and memory, never a result.
+    """
     small_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
@@ -178,7 +182,7 @@ def token_pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", to
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, seen = TaskContext.get().partitionId(), encoder(tokenizer, end_id), {}
+        part, enc, seen = TaskContext.get().partitionId(), encoder(tokenizer, end_id, memo_words), {}
         for batch in batches:
             row, start, length, total, crc, ids, size, rank = [], [], [], [], [], [], [], []
             for i, packed in enumerate(enc.encode(batch.column(1).to_pylist())):
@@ -201,7 +205,8 @@ def token_pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", to
             columns = [batch.column(0).take(pa.array(row, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, total, crc)), pa.array(size, pa.int32()), pa.array(np.full(len(row), part, np.int32)), pa.array(rank, pa.int64())]
             names = ["k", "start", "length", "doc_tokens", "ids_crc32", "size_class", "part", "part_rank"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names + ["ids"] * with_ids)
-        enc.forget()
+        if memo_words < MEMO_WORDS:
+            enc.forget()
 
     made = rows.mapInArrow(tidy(cut), f"k {kind}, start long, length long, doc_tokens long, ids_crc32 long, size_class int, part int, part_rank long" + ", ids binary" * with_ids)
     # Written once: ranks refer to the tasks that made them.

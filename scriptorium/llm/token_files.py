@@ -132,7 +132,6 @@ def write(docs: DataFrame, path: str | None = None, *, key: str = "doc_id", text
                 n = int(length.sum())
                 out.write(block := _index_block(k, null, length))
                 out.write(struct.pack(FOOTER, MAGIC, enc.dtype.itemsize, len(k), n, len(block)))
-        enc.forget()
         if not keys:
             filesystem.delete_file(draft)
             return

@@ -15,6 +15,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .scratch import MEMO_WORDS
+
 #: Python's str.split() breaks at these, the tokenizer's white-space class does not.
 _PYTHON_ONLY_SPACES = "\x1c\x1d\x1e\x1f"
 _TRAILING = frozenset(".,;:!?")
@@ -32,11 +34,11 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Encode texts to little-endian ids (two bytes each if the vocabulary allows, else four).
 
-    Null and empty texts give only the end id. A word is remembered once it is met in a second batch; ``max_words``
-    bounds the memo, which learns no more when full. That changes the speed and never the ids.
+    Null and empty texts give only the end id. ``max_words`` bounds the memo of words,
+    which learns no more when full. That changes the speed and never the ids.
     """
 
-    def __init__(self, path: str | None = None, end_id: int = 1, max_words: int = 200_000):
+    def __init__(self, path: str | None = None, end_id: int = 1, max_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self._lib = Tokenizer.from_file(path or default_tokenizer())
@@ -45,7 +47,6 @@ class WordEncoder:
         self._end = np.array([end_id], self.dtype).tobytes()
         self._max = max_words
         self._memo: dict[str, bytes] = {}
-        self._met = bytearray(1 << 20)  # by hash: words met in an earlier batch
         self._ends_word = np.zeros(size, bool)
         for token, i in self._lib.get_vocab(with_added_tokens=False).items():
             self._ends_word[i] = token.endswith("</w>")
@@ -67,18 +68,14 @@ class WordEncoder:
         except UnicodeEncodeError:
             return text.split()
 
-    def _learned(self, words: Iterable[str]) -> dict[str, bytes]:
+    def _learned(self, words: set[str]) -> dict[str, bytes]:
         """Ids of ``words``, none of which is in the memo, and of what they are without a punctuation mark."""
-        memo, new, whole, odd, tailed = self._memo, {}, set(), [], []
-        for w in words:
-            stem = w[:-1] if w[-1] in _TRAILING else w
-            if stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ"):
-                if stem is not w:
-                    tailed.append(w)
-                if stem not in memo:
-                    whole.add(stem)
-            else:
-                odd.append(w)
+        memo, new = self._memo, {}
+        whole = {w for w in words if w.isalpha() and (w.isascii() or max(w) <= "ÿ")}
+        rest = words - whole
+        tailed = [w for w in rest if w[-1] in _TRAILING and (stem := w[:-1]).isalpha() and (stem.isascii() or max(stem) <= "ÿ")]
+        odd = list(rest.difference(tailed))
+        whole.update(stem for w in tailed if (stem := w[:-1]) not in memo)
         every = list(whole)
         for a in range(0, len(every), LEARN_WORDS):
             listed = every[a : a + LEARN_WORDS]
@@ -110,20 +107,15 @@ class WordEncoder:
             if p:
                 missing.update(p)
         missing.difference_update(memo)
-        new, last, room = self._learned(missing), len(self._met) - 1, self._max - len(memo)
+        new, before = self._learned(missing), len(memo)
         memo.update(new)
         get = memo.__getitem__
         out = [
             b"".join(map(get, p)) + self._end if p is not None else self._ids(t or "") + self._end
             for t, p in zip(texts, parts)
         ]
-        for w in new:
-            at = hash(w) & last
-            if not self._met[at] or room <= 0:
-                self._met[at] = 1
-                del memo[w]
-            else:
-                room -= 1
+        for w in list(new)[max(0, self._max - before) :]:
+            del memo[w]
         return out
 
     def forget(self) -> None:
@@ -143,10 +135,10 @@ def crc32_u32(ids: bytes, dtype: np.dtype) -> int:
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str | None, end_id: int) -> WordEncoder:
-    """The worker process's encoder: its vocabulary outlives a task, its memo should not (``forget``)."""
-    key = (path, end_id)
+def encoder(path: str | None, end_id: int, max_words: int = MEMO_WORDS) -> WordEncoder:
+    """The worker process's one encoder, which outlives a task: some 40 MB for the vocabulary and 200 bytes a word of its memo."""
+    key = (path, end_id, max_words)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(path, end_id)
+        _ENCODERS[key] = WordEncoder(path, end_id, max_words)
     return _ENCODERS[key]
