@@ -31,7 +31,10 @@ MAX_TRAIN_DOCS = 8000
 ROUNDS, STEPS, RATE, DECAY = 60, 300, 0.1, 1e-4
 THRESHOLD = 0.5
 #: Where estimation starts: chances of a good vote on good documents, and on bad ones of a kind that a labeller doesn't look for.
-FIRST_ON_GOOD, FIRST_ON_OTHER = 0.97, 0.95
+FIRST_ON_GOOD, FIRST_ON_OTHER = 0.99, 0.95
+#: What the start weighs against the votes on good documents, as a share of all documents; elsewhere it weighs two votes. With less, the good
+#: class takes in the kind of bad documents that only one labeller sees.
+START_SHARE = 0.1
 SYMBOLS = "#$%&*@^~|<>{}[]=+_\\/"
 NOT_SHAPE = re.compile(r"(.)\1+")
 
@@ -163,8 +166,7 @@ def examine(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
 
 def estimate(patterns: dict[str, int]) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
     """Expectation-maximisation over the counts of vote patterns: pattern -> probability that its documents are good; by class (the
-    first is good) and labeller the chance that a vote, if one is cast, is good; shares of the classes. Two votes as at the
-    start count beside the observed ones."""
+    first is good) and labeller the chance that a vote, if one is cast, is good; shares of the classes."""
     if not patterns:
         return {}, np.zeros((0, 0)), np.zeros(0)
     listed = sorted(patterns)
@@ -177,13 +179,14 @@ def estimate(patterns: dict[str, int]) -> tuple[dict[str, float], np.ndarray, np
     chance[0] = FIRST_ON_GOOD
     chance[np.arange(1, n + 1), np.arange(n)] = 0.1
     prior, first = np.append(0.8, np.full(n, 0.2 / n)), chance.copy()
+    weight = np.append(START_SHARE * count.sum(), np.full(n, 2.0))[:, None]
     for _ in range(ROUNDS):
         joint = np.log(prior) + (up[:, None, :] * np.log(chance)).sum(axis=2) + (down[:, None, :] * np.log(1 - chance)).sum(axis=2)
         q = np.exp(joint - joint.max(axis=1, keepdims=True))
         q /= q.sum(axis=1, keepdims=True)
         mass = count[:, None] * q
         ups, downs = (mass[:, :, None] * up[:, None, :]).sum(axis=0), (mass[:, :, None] * down[:, None, :]).sum(axis=0)
-        chance = np.clip((ups + 2 * first) / (ups + downs + 2), 0.01, 0.999)
+        chance = np.clip((ups + weight * first) / (ups + downs + weight), 0.01, 0.999)
         prior = np.maximum(mass.sum(axis=0), 0.5)
         prior /= prior.sum()
     return dict(zip(listed, q[:, 0].tolist())), chance, prior

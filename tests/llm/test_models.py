@@ -125,19 +125,14 @@ def test_votes_and_scores_against_the_plain_way(documents):
         assert abs(r["score"] - 1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1])))) < 1e-6 and r["accepted"] == (r["score"] >= 0.5)
 
 
-def test_estimation_adds_to_plain_votes():
-    rng = np.random.default_rng(4)
-    n, patterns, truth = len(quality.LABELLERS), {}, {}
-    for _ in range(6000):
-        good, junk = rng.random() < 0.8, rng.integers(n)
-        # The first labeller errs on a tenth of good documents, the others hardly ever.
-        wrong = rng.random(n) < np.append(0.1, np.full(n - 1, 0.002))
-        p = "".join("-" if (w if good else k == junk or w) else "+" for k, w in enumerate(wrong))
-        patterns[p] = patterns.get(p, 0) + 1
-        truth.setdefault(p, []).append(good)
-    post = quality.posteriors(patterns)
-    right = lambda accepts: sum(accepts(p) == t for p, own in truth.items() for t in own) / 6000
-    assert right(lambda p: post[p] >= 0.5) > max(right(lambda p: "-" not in p), right(lambda p: p.count("-") < p.count("+"))) + 0.02
+def test_estimation_against_plain_votes(spark):
+    """On labelled documents the posteriors keep no fewer good ones than votes do, and no more bad ones."""
+    big = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.assess(docs).join(labels, "doc_id").collect()
+    for y, better in ((1, lambda a, b: a >= b), (0, lambda a, b: a <= b)):
+        own = [r for r in rows if r["quality"] == y]
+        assert better(sum(r["posterior"] >= 0.5 for r in own), sum("-" not in r["votes"] for r in own))
 
 
 def test_quality_of_awkward_rows(awkward):
