@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import bounded, numbered, stored
+from .scratch import alone, bounded, stored, text_id
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -133,11 +133,11 @@ def contamination_table(docs: DataFrame, tests: DataFrame, **options) -> DataFra
     return found.select(options.get("key", "doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, tests: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, tests: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The rows without any hit, all columns. Each row is judged by its own text, whatever its key."""
-    rows = numbered(docs)
-    hit = stored(contamination(rows, tests, key="_row", **options).where("n_hit > 0").select("_row"), "contaminated")
-    return rows.join(bounded(hit), "_row", "left_anti").select(docs.columns)
+    rows = docs.select(text_id(F.col(text)).alias("_said"), F.col(text).alias("_text"))
+    hit = alone(docs.sparkSession, lambda: contamination(rows, tests, key="_said", text="_text", **options).where("n_hit > 0").select("_said").distinct(), "contaminated")
+    return docs.join(bounded(hit), text_id(docs[text]) == hit["_said"], "left_anti")
 
 
 ORACLE = rf"""

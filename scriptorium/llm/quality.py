@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import MEMO_WORDS, bounded, hashed_sample, numbered, small_batches, stored, tidy
+from .scratch import MEMO_WORDS, discard, hashed_sample, small_batches, stored, tidy
 
 DIM = 512
 MAX_TRAIN_DOCS = 8000
@@ -141,6 +141,33 @@ def features(stats: Stats | None, words: list[str], memo: dict[str, int]) -> byt
     return np.minimum(out, 255).astype(np.uint8).tobytes()
 
 
+def _reader():
+    """Of texts their votes, features, and whether there is any word; it remembers words."""
+    memo: dict[str, int] = {}
+
+    def read(texts: list[str | None]) -> tuple[list[str], list[bytes], list[bool]]:
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        voted, found, judged = [], [], []
+        for t in texts:
+            words = (t or "").split()
+            stats = measure(t, words) if words else None
+            voted.append(votes(stats))
+            found.append(features(stats, words, memo))
+            judged.append(bool(words))
+        return voted, found, judged
+
+    return read
+
+
+def _scores(found: list[bytes], judged: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The scorer's probabilities; zero without words."""
+    x = np.frombuffer(b"".join(found), np.uint8).reshape(-1, DIM)
+    own, bias = weights[:-1] / 255.0, weights[-1]
+    z = np.array([(row * own).sum() for row in x]) + bias if len(x) else np.zeros(0)
+    return np.where(judged, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+
+
 def examine(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, votes, features, judged (whether there is any word), stored."""
     small_batches(docs.sparkSession)
@@ -148,17 +175,9 @@ def examine(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     kind = rows.schema["k"].dataType.simpleString()
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        read = _reader()
         for batch in batches:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            voted, found, judged = [], [], []
-            for t in batch.column(1).to_pylist():
-                words = (t or "").split()
-                stats = measure(t, words) if words else None
-                voted.append(votes(stats))
-                found.append(features(stats, words, memo))
-                judged.append(bool(words))
+            voted, found, judged = read(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(voted), pa.array(found, pa.binary()), pa.array(judged)], ["k", "votes", "features", "judged"])
 
     return stored(rows.mapInArrow(tidy(seen), f"k {kind}, votes string, features binary, judged boolean").withColumnRenamed("k", key), "examined")
@@ -221,18 +240,15 @@ def fit(examined: DataFrame, *, key: str = "doc_id", max_docs: int = MAX_TRAIN_D
     return good, fit_linear(x, np.array([good[r["votes"]] for r in sample]))
 
 
-def assess(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, max_docs: int = MAX_TRAIN_DOCS, sample_key: str | None = None) -> DataFrame:
+def assess(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """key, votes, posterior (of the votes), score (of the scorer), accepted."""
     examined = examine(docs, key=key, text=text)
-    good, weights = fit(examined, key=sample_key or key, max_docs=max_docs)
-    own, bias = weights[:-1] / 255.0, weights[-1]
+    good, weights = fit(examined, key=key, max_docs=max_docs)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, DIM)
             judged = batch.column(3).to_numpy(zero_copy_only=False)
-            z = np.array([(row * own).sum() for row in x]) + bias if len(x) else np.zeros(0)
-            p = np.where(judged, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+            p = _scores(batch.column(2).to_pylist(), judged, weights)
             post = [good.get(v, 0.0) if j else 0.0 for v, j in zip(batch.column(1).to_pylist(), judged)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(post, pa.float64()), pa.array(p), pa.array(judged & (p >= threshold))], ["k", "votes", "posterior", "score", "accepted"])
 
@@ -240,9 +256,20 @@ def assess(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshol
     return examined.select(F.col(key).alias("k"), "votes", "features", "judged").mapInArrow(tidy(scored), f"k {kind}, votes string, posterior double, score double, accepted boolean").withColumnRenamed("k", key)
 
 
-def clean(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+def clean(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """The accepted rows, all columns. Each row is judged by its own text, whatever its key."""
-    rows = numbered(docs)
-    judged = assess(rows.withColumn("_id", F.struct(F.col(key).alias("key"), "_row")), key="_id", sample_key="_id.key", **options)
-    rejected = judged.where(~F.col("accepted")).select("_id._row")
-    return rows.join(bounded(stored(rejected, "rejected")), "_row", "left_anti").select(docs.columns)
+    examined = examine(docs, key=key, text=text)
+    weights = fit(examined, key=key, max_docs=max_docs)[1]
+    discard(examined)
+
+    def accepted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def judged(texts):
+            read = _reader()
+            for own in texts:
+                _, found, any_word = read(own.to_pylist())
+                any_word = np.array(any_word, bool)
+                yield pa.array(any_word & (_scores(found, any_word, weights) >= threshold), pa.bool_())
+
+        yield from tidy(judged)(texts)
+
+    return docs.where(F.arrow_udf(accepted, "boolean")(F.col(text).cast("string")))

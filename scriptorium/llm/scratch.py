@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: texts can be long, and a worker holds one batch at a time.
@@ -79,6 +79,23 @@ def discard_all(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, stored; the tables that were stored on the way to it are deleted."""
+    written = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before = set(written)
+    out = stored(make(), name)
+    for path in [p for p in written if p not in before and p != out._stored_at]:
+        written.remove(path)
+        _delete(spark, path)
+    return out
+
+
+def text_id(text: Column) -> Column:
+    """128 bits of the text's SHA-256, empty for null: by it rows are found again without a stored copy of them."""
+    digest = F.unhex(F.left(F.sha2(text.cast("string").cast("binary"), 256), F.lit(32)))
+    return F.coalesce(digest, F.lit(b""))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` and _row, a number of the row: written once, so that it stays the row's."""
     return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")

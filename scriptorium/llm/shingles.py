@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bounded, discard, stored, tidy
+from .scratch import bounded, discard, stored, text_id, tidy
 
 HASH_SEED = 42
 #: Jaccard similarity from which two texts are near-duplicates, as numerator and denominator.
@@ -87,11 +87,14 @@ def _sets(rows: DataFrame, text: str, words: int) -> DataFrame:
     return rows.select("_row", F.col(text).cast("string").alias("t")).mapInArrow(tidy(seen), "_row long, s array<long>")
 
 
-def similar(pairs: DataFrame, table: DataFrame, *, text: str, words: int) -> DataFrame:
-    """The ``pairs`` (a, b: values of _row in ``table``) whose whole shingle sets are similar, stored."""
+def similar(pairs: DataFrame, classes: DataFrame, table: DataFrame, *, text: str, words: int) -> DataFrame:
+    """The ``pairs`` (a, b: ids of ``classes``) whose whole shingle sets are similar, stored. ``classes``: id, said (the ``text_id`` of
+    one of the class's texts); the texts are read again from ``table``, each once."""
     pairs = stored(pairs, "shingle-pairs")
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "shingle-asked")
-    sets = stored(_sets(table.join(bounded(asked), "_row", "left_semi"), text, words), "shingle-sets")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = stored(classes.select("id", "said").join(bounded(named), "id").select(F.col("id").alias("_row"), "said"), "shingle-asked")
+    texts = table.select(text_id(F.col(text)).alias("said"), F.col(text).cast("string").alias("t")).join(bounded(asked), "said")
+    sets = stored(_sets(texts.groupBy("_row").agg(F.first("t").alias("t")), "t", words), "shingle-sets")
     both = pairs.join(sets.select(F.col("_row").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("_row").alias("b"), F.col("s").alias("s_b")), "b")
     shared: Column = F.size(F.array_intersect("s_a", "s_b"))
     links = stored(both.where(enough(shared, F.size("s_a"), F.size("s_b"))).select("a", "b"), "links")

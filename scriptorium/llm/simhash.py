@@ -28,11 +28,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bounded, numbered, small_batches, stored, tidy
+from .scratch import alone, bounded, discard, numbered, small_batches, stored, text_id, tidy
 from .shingles import HASH_SEED, enough, frequent, prefix, shingles, similar
 
 BITS = 64
@@ -193,36 +193,31 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return marked.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-def _first_of_each(rows: DataFrame, keyed: DataFrame, group: str) -> DataFrame:
-    """``rows`` without those that are not the first of their group: the least key (null keys last), of such rows the first. ``keyed``: _row, k, ``group``."""
-    best = keyed.groupBy(group).agg(F.min(F.struct(F.col("k").isNull(), "k", "_row"))["_row"].alias("best"))
-    gone = stored(keyed.join(best, group).where("_row <> best").select("_row"), "gone")
-    return rows.join(bounded(gone), "_row", "left_anti")
-
-
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Of each component of linked fingerprints one row, with all its columns: the one with the least key (null keys last), of such rows the first."""
     rows = numbered(docs)
     found = near_duplicates(rows, key="_row", text=text, **options).select("_row", "component_id")
     keyed = stored(found.join(rows.select("_row", F.col(key).alias("k")), "_row"), "near-duplicates")
-    return _first_of_each(rows, keyed, "component_id").select(docs.columns)
+    best = keyed.groupBy("component_id").agg(F.min(F.struct(F.col("k").isNull(), "k", "_row"))["_row"].alias("best"))
+    gone = stored(keyed.join(best, "component_id").where("_row <> best").select("_row"), "gone")
+    return rows.join(bounded(gone), "_row", "left_anti").select(docs.columns)
 
 
-def _marked(table: DataFrame, text: str, words: int) -> DataFrame:
-    """_row, same (digest of the different shingles), n (how many there are), fp (their fingerprint), prefix; stored."""
+def _marked(rows: DataFrame, words: int) -> DataFrame:
+    """rows: _row, k, said, t -> _row, k, said, same (digest of the different shingles), n (how many there are), fp (their fingerprint), prefix; stored."""
     import xxhash
 
-    known, often = frequent(table, text, words)
+    known, often = frequent(rows, "t", words)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, words) for t in batch.column(3).to_pylist()]
             fps = np.array([majority(s.view(np.uint64)) for s in sets], np.uint64)
             columns = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([prefix(s, known, often) for s in sets], pa.list_(pa.int64()))], ["_row", "same", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array([prefix(s, known, often) for s in sets], pa.list_(pa.int64()))], ["_row", "k", "said", "same", "n", "fp", "prefix"])
 
-    rows = table.select("_row", F.col(text).cast("string").alias("t"))
-    return stored(rows.mapInArrow(tidy(seen), "_row long, same binary, n int, fp long, prefix array<long>"), "shingle-prefixes")
+    kind = rows.schema["k"].dataType.simpleString()
+    return stored(rows.select("_row", "k", "said", "t").mapInArrow(tidy(seen), f"_row long, k {kind}, said binary, same binary, n int, fp long, prefix array<long>"), "shingle-prefixes")
 
 
 def _close_pairs(groups: DataFrame) -> DataFrame:
@@ -256,16 +251,21 @@ def _close_pairs(groups: DataFrame) -> DataFrame:
 
 def similar_rows(table: DataFrame, *, text: str = "text", words: int = 5, group_rows: int = GROUP_ROWS) -> DataFrame:
     """_row, root (the same for rows that similarity of ``LEAST`` or more links, directly or over others); ``table`` from ``numbered``."""
+    return _similar(table, F.col("_row"), F.lit(0), text, words, group_rows).select("_row", "root")
+
+
+def _similar(table: DataFrame, row: Column, key: Column, text: str, words: int, group_rows: int) -> DataFrame:
+    """_row, k (the key), said (``text_id``), root."""
     small_batches(table.sparkSession)
-    marked = _marked(table, text, words)
-    classes = stored(marked.groupBy("same").agg(F.min("_row").alias("id")), "shingle-classes")
+    marked = _marked(table.select(row.alias("_row"), key.alias("k"), text_id(F.col(text)).alias("said"), F.col(text).cast("string").alias("t")), words)
+    classes = stored(marked.groupBy("same").agg(F.min(F.struct("_row", "said")).alias("first")).select("same", F.col("first._row").alias("id"), "first.said"), "shingle-classes")
     own = marked.withColumnRenamed("_row", "id").join(bounded(classes.select("id")), "id", "left_semi")
     postings = own.select("id", "n", "fp", F.explode("prefix").alias("s"))
     met = stored(postings.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1"), "shingle-meetings")
     postings = stored(postings.join(bounded(met), "s"), "shingle-postings")
     # One comparison a row: with the first of the rows that it meets.
     near_first = postings.where("id <> first").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
-    sure = similar(near_first, table, text=text, words=words)
+    sure = similar(near_first, classes, table, text=text, words=words)
     roots = stored(components(sure).withColumnRenamed("node", "id"), "roots")
     rooted = postings.join(bounded(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Large groups meet in blocks: every block against itself and every other.
@@ -273,17 +273,36 @@ def similar_rows(table: DataFrame, *, text: str = "text", words: int = 5, group_
     dealt = rooted.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side")
     groups = dealt.groupBy("s", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(F.struct("id", "fp", "n", "root", side)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most"))
-    more = similar(_close_pairs(groups.where("least < most")).distinct(), table, text=text, words=words)
+    more = similar(_close_pairs(groups.where("least < most")).distinct(), classes, table, text=text, words=words)
+    for made in (met, postings, roots):
+        discard(made)
     linked = components(stored(sure.union(more), "links")).withColumnRenamed("node", "id")
     named = classes.select("same", "id").join(linked, "id", "left").select("same", F.coalesce("root", "id").alias("root"))
-    return marked.select("_row", "same").join(named, "same").select("_row", "root")
+    return marked.select("_row", "k", "said", "same").join(named, "same").select("_row", "k", "said", "root")
 
 
-def keep_dissimilar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Of each component of similar texts one row, with all its columns, chosen as ``keep_one`` does."""
-    rows = numbered(docs)
-    keyed = stored(similar_rows(rows, text=text, **options).join(rows.select("_row", F.col(key).alias("k")), "_row"), "near-duplicates")
-    return _first_of_each(rows, keyed, "root").select(docs.columns)
+def keep_dissimilar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Of each component of similar texts one row, with all its columns, chosen as ``keep_one`` does; of rows that share key and text, any one.
+
+    Rows go by their key and text, so no copy of ``docs`` is stored.
+    """
+
+    def judged() -> DataFrame:
+        keyed = stored(_similar(docs, F.monotonically_increasing_id(), F.col(key), text, words, group_rows), "near-duplicates")
+        best = keyed.groupBy("root").agg(F.min(F.struct(F.col("k").isNull(), "k", "_row", "said")).alias("best"))
+        repeat = F.col("k").eqNullSafe(F.col("best.k")) & (F.col("said") == F.col("best.said"))
+        return keyed.join(best, "root").where("_row <> best._row").select("k", "said", repeat.alias("repeat")).distinct()
+
+    others = alone(docs.sparkSession, judged, "others")
+    gone, repeats = others.where("not repeat"), others.where("repeat")
+    own = text_id(docs[text])
+    kept = docs.join(bounded(gone), (own == gone["said"]) & docs[key].eqNullSafe(gone["k"]), "left_anti")
+    if not repeats.take(1):
+        return kept
+    same = (own == repeats["said"]) & docs[key].eqNullSafe(repeats["k"])
+    mark = "said" + "_" * max(map(len, docs.columns))  # no column's name
+    once = kept.join(bounded(repeats), same, "left_semi").withColumn(mark, text_id(F.col(text))).dropDuplicates([key, mark]).drop(mark)
+    return kept.join(bounded(repeats), same, "left_anti").union(once)
 
 
 def hex16(fp) -> F.Column:

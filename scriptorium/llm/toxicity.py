@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import MEMO_WORDS, bounded, hashed_sample, numbered, small_batches, stored, tidy
+from .scratch import MEMO_WORDS, bounded, discard, hashed_sample, small_batches, stored, tidy
 
 SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”‘’…"
@@ -109,6 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     sample = stored(hashed_sample(labelled, max_docs, key, "y", "t").select("y", "t"), "labelled")
     n, toxic = sample.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not toxic or toxic == n:
+        discard(sample)
         return Model(-12.0, {})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,52 +151,63 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(sizes, pa.binary()), pa.array(found, pa.binary())], ["y", "sizes", "own"])
 
     taken = sample.mapInArrow(tidy(hashed), "y int, sizes binary, own binary").collect()
+    discard(sample)
     taken.sort(key=lambda r: (bytes(r["sizes"]), bytes(r["own"]), r["y"]))  # the fit doesn't depend on the order of tasks
     sentences = [np.split(np.frombuffer(r["own"], "<u4"), np.cumsum(np.frombuffer(r["sizes"], "<u4"))[:-1].astype(int)) if r["sizes"] else [] for r in taken]
     bias, weights = fit_mil(sentences, np.array([r["y"] for r in taken]), len(number))
     return Model(bias, {b: float(weights[i]) for b, i in number.items() if weights[i]})
 
 
+def _scorer(model: Model, least: float):
+    """Of texts their scores, numbers of sentences and sentences of at least ``least``; it remembers words."""
+    bias, weights = model
+    memo: dict[str, float] = {}
+    quiet = np.log1p(-1 / (1 + np.exp(-bias)))
+
+    def weigh(words: set[str]) -> None:
+        for w in words:
+            if w not in memo:
+                memo[w] = sum(weights.get(b, 0.0) for b in buckets(s)) if (s := w.strip(EDGES)) else 0.0
+
+    def judge(texts: list[str | None]) -> tuple[list[float], list[int], list[list[dict]]]:
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        total, count, places = [], [], []
+        for t in texts:
+            t = t or ""
+            words = set(t.lower().split())
+            weigh(words)
+            own, none, n = [], 0.0, 0
+            # Without weights, and without a sentence that ends inside a word, all sentences are quiet.
+            if any(map(memo.__getitem__, words)) or any("." in w[:-1] or "!" in w[:-1] or "?" in w[:-1] for w in words):
+                for m in SENTENCE.finditer(t):
+                    n += 1
+                    weigh(words := sentence_words(m[0]))
+                    if z := sum(map(memo.__getitem__, words)):
+                        p = float(1 / (1 + np.exp(-np.clip(z + bias, -500, 500))))
+                        none += np.log1p(-min(p, 1 - 1e-12)) - quiet
+                        if p >= least:
+                            own.append({"from": m.start(), "to": m.end(), "score": p})
+            else:
+                n = sum(1 for _ in SENTENCE.finditer(t))
+            total.append(float(-np.expm1(min(none, 0.0))))
+            count.append(n)
+            places.append(own)
+        return total, count, places
+
+    return judge
+
+
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """key, score, n_sentences, and sentences: array of from, to (code points), score for those of at least ``least``."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    bias, weights = model
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, float] = {}
-        quiet = np.log1p(-1 / (1 + np.exp(-bias)))
-
-        def weigh(words: set[str]) -> None:
-            for w in words:
-                if w not in memo:
-                    memo[w] = sum(weights.get(b, 0.0) for b in buckets(s)) if (s := w.strip(EDGES)) else 0.0
-
+        judge = _scorer(model, least)
         for batch in batches:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            total, count, places = [], [], []
-            for t in batch.column(1).to_pylist():
-                t = t or ""
-                words = set(t.lower().split())
-                weigh(words)
-                own, none, n = [], 0.0, 0
-                # Without weights, and without a sentence that ends inside a word, all sentences are quiet.
-                if any(map(memo.__getitem__, words)) or any("." in w[:-1] or "!" in w[:-1] or "?" in w[:-1] for w in words):
-                    for m in SENTENCE.finditer(t):
-                        n += 1
-                        weigh(words := sentence_words(m[0]))
-                        if z := sum(map(memo.__getitem__, words)):
-                            p = float(1 / (1 + np.exp(-np.clip(z + bias, -500, 500))))
-                            none += np.log1p(-min(p, 1 - 1e-12)) - quiet
-                            if p >= least:
-                                own.append({"from": m.start(), "to": m.end(), "score": p})
-                else:
-                    n = sum(1 for _ in SENTENCE.finditer(t))
-                total.append(float(-np.expm1(min(none, 0.0))))
-                count.append(n)
-                places.append(own)
+            total, count, places = judge(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.float64()), pa.array(count, pa.int64()), pa.array(places, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("score", pa.float64())])))], ["k", "score", "n_sentences", "sentences"])
 
     return rows.mapInArrow(tidy(scored), f"k {kind}, score double, n_sentences long, sentences array<struct<from:int,to:int,score:double>>").withColumnRenamed("k", key)
@@ -207,8 +219,16 @@ def toxicity_table(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", *
     return found.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("sentences").alias("n_offending"))
 
 
-def clean(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", threshold: float = THRESHOLD, **options) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows that score under ``threshold``, all columns. Each row is judged by its own text, whatever its key."""
-    rows = numbered(docs)
-    toxic = score(rows, fit(rows, labels, key=key, **options), key="_row").where(F.col("score") >= threshold)
-    return rows.join(bounded(stored(toxic.select("_row"), "toxic")), "_row", "left_anti").select(docs.columns)
+    model = fit(docs, labels, key=key, text=text, **options)
+
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def judged(texts):
+            judge = _scorer(model, 1.0)
+            for own in texts:
+                yield pa.array(judge(own.to_pylist())[0], pa.float64())
+
+        yield from tidy(judged)(texts)
+
+    return docs.where(F.arrow_udf(scored, "double")(F.col(text).cast("string")) < threshold)
