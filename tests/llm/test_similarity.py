@@ -80,3 +80,34 @@ def test_pivots_leave_similar_sets():
         a, b = (np.array([simhash.majority(v)], np.uint64) for v in (x, y))
         lost += int(np.bitwise_count(a ^ b)[0]) > simhash.WIDE
     assert lost == 0
+
+
+def test_rows_that_repeat_key_and_text_keep_one(spark):
+    text = "one two three four five six seven"
+    rows = [(7, text, "a", 1), (7, text, "b", 2), (8, text, "c", 3), (None, text, "d", 4), (None, None, "e", 5), (None, None, "f", 6), (9, "", "g", 7), (9, None, "h", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, said string, k int").coalesce(1)
+    kept = simhash.keep_dissimilar(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["k"] in (1, 2)) for r in kept.collect()) == [(7, True), (9, False)]
+    lone = simhash.keep_dissimilar(docs.where("doc_id is null and text is null"))
+    assert [r["doc_id"] for r in lone.collect()] == [None]
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    from scriptorium.llm import scratch
+
+    made = []
+
+    def make():
+        made.append(scratch.stored(spark.range(3), "way"))
+        return made[0].where("id > 0")
+
+    assert scratch.alone(spark, make, "kept").count() == 2
+    assert made[0]._stored_at not in scratch._WRITTEN[spark.sparkContext.applicationId]
+
+
+def test_text_ids_tell_null_from_empty(spark):
+    from scriptorium.llm.scratch import text_id
+
+    ids = [bytes(r[0]) for r in spark.createDataFrame([("",), (None,), ("a",), ("a",)], "t string").select(text_id(shingles.F.col("t"))).collect()]
+    assert ids[1] == b"" and len(ids[0]) == len(ids[2]) == 16 and ids[2] == ids[3] != ids[0]
