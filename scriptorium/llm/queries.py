@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, licenses, packing, quality, simhash, token_files, toxicity, vptree
+from . import chat, decontaminate, divergence, html_text, licenses, mixing, packing, quality, repair, simhash, token_files, toxicity, vptree
 from .scratch import discard_all, table
 
 
@@ -61,6 +61,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_table(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources mixed to target weights by Pareto order sampling."""
+    return mixing.mix_table(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of each source's term shares from the other sources' and its language's."""
+    return divergence.divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged, and repaired by the cheapest edits."""
+    return repair.repair_table(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -73,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neighbours": op8_neighbours,
         "op9_toxicity": op9_toxicity,
         "op10_licenses": op10_licenses,
+        "op11_mixing": op11_mixing,
+        "op12_divergence": op12_divergence,
+        "op13_repair": op13_repair,
     }
 
 
@@ -80,4 +98,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_decontamination": decontaminate.ORACLE,
         "op10_licenses": licenses.oracle(),
+        "op11_mixing": mixing.ORACLE,
+        "op12_divergence": divergence.ORACLE,
+        "op13_repair": repair.ORACLE,
     }
