@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .scratch import bounded, stored
 
-#: Letters, as runs: all characters but ASCII that is no letter.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are runs of letters, which are all characters but ASCII that is no letter; this is what lies between them.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents of a language that a term must be in, what is added to each count, parts that a whole has, and terms listed for a group.
 LEAST_DOCS, ADDED, WHOLE, TOP = 30, 5, 1_000_000_000, 50
@@ -26,13 +26,13 @@ def lowered(text: Column) -> Column:
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that have it) of lang, source, text without nulls.
 
-    A document's terms are sorted before they are exploded, so the first of each is known from its neighbour, and one
+    Texts are cut at what lies between terms. A document's terms are sorted before they are exploded, so the first of each is known from its neighbour, and one
     aggregation, combined before the shuffle, counts occurrences and documents.
     """
-    found = docs.select("lang", "source", F.sort_array(F.regexp_extract_all(lowered(F.col("text")), F.lit(TERM), F.lit(0))).alias("terms"))
-    each = found.select("lang", "source", "terms", F.posexplode("terms").alias("at", "term"))
-    new = (F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term"))
-    return each.select("lang", "source", "term", new.cast("long").alias("new")).groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("docs"))
+    found = docs.select("lang", "source", F.sort_array(F.split(lowered(F.col("text")), BETWEEN)).alias("terms"))
+    marked = F.transform("terms", lambda term, at: F.struct(term.alias("term"), ((at == 0) | (F.get("terms", at - 1) != term)).alias("new")))
+    each = found.select("lang", "source", F.explode(marked).alias("e")).select("lang", "source", "e.term", "e.new").where("term <> ''")
+    return each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if("new").alias("docs"))
 
 
 def share(n: str, total: str, terms: str, added: int, whole: int) -> Column:
