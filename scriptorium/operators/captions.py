@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import let, replace_spaces, strip
-from .dedup import first_wins
 
 # Lines that are headers, and the mark of a cue's times.
 HEADERS = ("WEBVTT", "Language:", "Kind:")
@@ -46,13 +45,15 @@ def caption_text(text: Column) -> Column:
 
 
 def choose_caption(media: DataFrame, files: DataFrame, *, media_id: str = "media_id", name: str = "name") -> DataFrame:
-    """media_id, name: the caption file whose name starts with the id; ``.vtt`` before ``.srt``, then ``en`` before others, then by name.
+    """media_id, name: the caption file whose name starts with the id; ``.vtt`` before ``.srt`` in any case, then ``en`` before others, then by name.
 
-    Each name goes by all its prefixes, and the join is on the whole id by equality: a name meets no other ids.
+    A name goes by its prefixes of lengths that ids have, and of each prefix only the best file counts. That is settled before the
+    shuffle, a row a task, so a beginning that all names share is no hot key; ids then meet prefixes one to one.
     """
-    listed = files.select(name, F.lower(F.regexp_extract(name, r"\.(vtt|srt)$", 1)).alias("_kind")).where("_kind <> ''")
-    prefixes = F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.left(F.col(name), n))
-    keyed = media.select(media_id).where(F.col(media_id) != "").distinct()
-    met = keyed.join(listed.withColumn(media_id, F.explode(prefixes)), media_id)
-    ranked = met.withColumn("_order", F.struct((F.col("_kind") != "vtt").alias("a"), (~F.contains(F.col(name), F.lit(".en."))).alias("b"), F.col(name).alias("c")))
-    return first_wins(ranked, media_id, "_order").select(media_id, name)
+    ids = media.select(F.col(media_id).alias("_id")).where(F.col("_id") != "").distinct()
+    lengths = ids.agg(F.sort_array(F.collect_set(F.length("_id"))).alias("_lengths"))
+    listed = files.select(F.col(name).alias("_name"), F.lower(F.regexp_extract(name, r"(?i)\.(vtt|srt)$", 1)).alias("_kind")).where("_kind <> ''").crossJoin(F.broadcast(lengths))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_name"))
+    prefixes = listed.select("_name", F.struct((F.col("_kind") != "vtt").alias("a"), (~F.contains("_name", F.lit(".en."))).alias("b"), F.col("_name").alias("c")).alias("_order"), F.explode(F.transform(fitting, lambda n: F.left("_name", n))).alias("_id"))
+    best = prefixes.groupBy("_id").agg(F.min_by("_name", "_order").alias(name))
+    return ids.join(best, "_id").select(F.col("_id").alias(media_id), name)

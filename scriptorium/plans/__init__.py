@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import links, texts
+from . import flows, links, texts
 
-_PARTS = (links, texts)
+_PARTS = (links, texts, flows)
 
 
 def queries() -> dict:

@@ -6,13 +6,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import config_key
 from ..functions.urls import strip
 from ..operators import manifest as M
+from ..operators.tables import bounded, written
 
 VIDEO_KINDS = ("mp4", "mkv", "avi", "mov", "webm", "flv")
 AUDIO_KINDS = ("mp3", "wav", "m4a", "aac", "ogg", "flac")
@@ -36,9 +37,25 @@ def lines(files: DataFrame, text: str = "text") -> DataFrame:
     return files.select(*rest, F.posexplode(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")).alias("pos", "line"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, pos, n, line: the place of each line in its file, and in all files of ``path`` by their names, from 0.
+
+    Files of any size are read by ranges of bytes in as many tasks as they have splits. Lines are stored once with a number that grows within a split;
+    lines are counted a split, and the counts of the splits before a line's own are added to its place there. No file, and no text, goes
+    through one task: what meets in one is a row a split. A line ends with LF, CR LF or CR.
+    """
+    split = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    own = written(spark.read.text(path).select(split.alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")), "lines")
+    counts = own.groupBy("split").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = lambda *by: F.sum("_n").over(Window.partitionBy(*by).orderBy("split")) - F.col("_n")
+    places = written(counts.select("split", "_first", before("split.path").alias("_pos"), before(F.lit(0)).alias("_all")), "splits")
+    inner = F.col("at") - F.col("_first")
+    return own.join(bounded(places), "split").select("split.path", (F.col("_pos") + inner).alias("pos"), (F.col("_all") + inner).alias("n"), "line")
+
+
 def link_list(spark: SparkSession, path: str) -> DataFrame:
-    """path, pos, item: trimmed lines that aren't blank, in order."""
-    return items(whole_files(spark, path)).select("path", "pos", "item")
+    """path, pos, n, item: trimmed lines that aren't blank, with their places as ``numbered_lines`` gives them."""
+    return numbered_lines(spark, path).select("path", "pos", "n", strip(F.col("line")).alias("item")).where("item <> ''")
 
 
 def items(files: DataFrame, text: str = "text") -> DataFrame:
@@ -47,7 +64,8 @@ def items(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return M.parse(lines(whole_files(spark, path)))
+    """Rows of a manifest file, or of the parts of one in a folder; pos counts lines over all parts."""
+    return M.parse(numbered_lines(spark, path), pos="n")
 
 
 def config(config_lines: DataFrame, environment: DataFrame | None = None) -> DataFrame:
@@ -132,10 +150,18 @@ def write_links(links: DataFrame, path: str, *, url: str = "url", order: str = "
     links.repartitionByRange(order).sortWithinPartitions(order).select(url).write.mode("overwrite").text(path)
 
 
-def _filesystem(folder: str):
+#: Schemes of Spark's readers that the Arrow file systems know by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "wasbs": "abfs", "abfss": "abfs"}
+
+
+def filesystem(folder: str):
+    """The Arrow file system of a folder that Spark names, and the folder's path there."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    scheme, mark, rest = folder.partition("://")
+    if mark:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    return fs.FileSystem.from_uri(f"file://{folder.removeprefix('file:')}") if folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
 def write_documents(docs: DataFrame, folder: str, *, kind: str = "raw", stem: str = "stem", text: str = "text", overwrite: bool = False) -> int:
@@ -148,18 +174,18 @@ def write_documents(docs: DataFrame, folder: str, *, kind: str = "raw", stem: st
     own = docs.where(F.col(stem).isNotNull()).groupBy(F.col(stem).alias("stem")).agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("text"))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, at = _filesystem(folder)
-        filesystem.create_dir(at, recursive=True)
+        store, at = filesystem(folder)
+        store.create_dir(at, recursive=True)
         for batch in batches:
             n = 0
             for name, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 path = f"{at}/{name}_{kind}.md"
-                if not overwrite and filesystem.get_file_info(path).type.name != "NotFound":
+                if not overwrite and store.get_file_info(path).type.name != "NotFound":
                     continue
                 draft = f"{at}/.{uuid.uuid4().hex}"
-                with filesystem.open_output_stream(draft) as out:
+                with store.open_output_stream(draft) as out:
                     out.write(said.encode())
-                filesystem.move(draft, path)
+                store.move(draft, path)
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
