@@ -24,15 +24,17 @@ def lowered(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents that have it) of lang, source, text without nulls.
+    """g, term, n (occurrences), docs (documents that have it) of g (a group's number) and text, without nulls.
 
-    Texts are cut at what lies between terms. A document's terms are sorted before they are exploded, so the first of each is known from its neighbour, and one
-    aggregation, combined before the shuffle, counts occurrences and documents.
+    Texts are cut at what lies between terms. A document's terms are sorted before they are exploded, so that equal ones are one row with
+    their number, and one aggregation, combined before the shuffle, counts occurrences and documents.
     """
-    found = docs.select("lang", "source", F.sort_array(F.split(lowered(F.col("text")), BETWEEN)).alias("terms"))
-    marked = F.transform("terms", lambda term, at: F.struct(term.alias("term"), ((at == 0) | (F.get("terms", at - 1) != term)).alias("new")))
-    each = found.select("lang", "source", F.explode(marked).alias("e")).select("lang", "source", "e.term", "e.new").where("term <> ''")
-    return each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if("new").alias("docs"))
+    found = docs.select("g", F.sort_array(F.split(lowered(F.col("text")), BETWEEN)).alias("terms"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda at: (at == 0) | (F.get("terms", at - 1) != F.get("terms", at)))
+    ends = lambda starts: F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size("terms")))
+    cut = found.select("g", "terms", starts.alias("starts"))
+    runs = cut.select("g", F.explode(F.zip_with("starts", ends(F.col("starts")), lambda at, end: F.struct(F.get("terms", at).alias("term"), (end - at).alias("n")))).alias("e"))
+    return runs.select("g", "e.term", "e.n").where("term <> ''").groupBy("g", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 def share(n: str, total: str, terms: str, added: int, whole: int) -> Column:
@@ -51,26 +53,28 @@ def divergence(docs: DataFrame, *, text: str = "text", lang: str = "lang", sourc
     lang of one source has no pairs. An empty table gives no rows. Further columns don't count.
     """
     own = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))))
-    groups = stored(own.select("lang", "source").distinct(), "groups")
-    counts = stored(term_counts(own), "term-counts")
-    kept = stored(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= least_docs), "kept-terms")
-
-    filled = kept.select("lang", "term").join(bounded(groups), "lang").join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
-    dense = stored(filled.select("lang", "source", "term", F.coalesce("n", F.lit(0).cast("long")).alias("n")), "dense-counts")
-    totals = dense.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms"))
-    p = dense.join(bounded(stored(totals, "group-totals")), ["lang", "source"]).select("lang", "source", "term", "n", share("n", "total", "terms", added, whole).alias("p"))
-    of_lang = kept.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms"))
-    q = kept.join(bounded(stored(of_lang, "lang-totals")), "lang").select("lang", "term", share("n", "total", "terms", added, whole).alias("q"))
+    # Groups and kept terms go by numbers from here on; they are written once, so that these stay theirs.
+    groups = stored(own.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()), "groups")
+    counts = stored(term_counts(own.join(bounded(groups), ["lang", "source"]).select("g", "text")), "term-counts").join(bounded(groups.select("g", "lang")), "g")
+    frequent = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= least_docs)
+    kept = stored(frequent.withColumn("t", F.monotonically_increasing_id()), "kept-terms")
+
+    filled = kept.select("lang", "t").join(bounded(groups.select("lang", "g")), "lang").select("g", "t")
+    some = counts.select("g", "lang", "term", "n").join(bounded(kept.select("lang", "term", "t")), ["lang", "term"]).select("g", "t", "n")
+    dense = stored(filled.join(some, ["g", "t"], "left").select("g", "t", F.coalesce("n", F.lit(0).cast("long")).alias("n")), "dense-counts")
+    totals = stored(dense.groupBy("g").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms")), "group-totals")
+    p = dense.join(bounded(totals), "g").select("g", "t", "n", share("n", "total", "terms", added, whole).alias("p"))
+    of_lang = stored(kept.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms")), "lang-totals")
+    q = stored(kept.join(bounded(of_lang), "lang").select("t", "term", share("n", "total", "terms", added, whole).alias("q")), "lang-shares")
 
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
-    over = p.where("n > 0").join(q, ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
-
-    # A difference is the same both ways: each pair of sources meets once a term, the smaller name first.
-    left, right = p.select("lang", "term", "source", "p"), p.select("lang", "term", F.col("source").alias("other"), F.col("p").alias("q"))
-    sums = left.join(right, ["lang", "term"]).where("source < other").groupBy("lang", "source", "other").agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("value"))
-    pairs = groups.join(bounded(groups.select("lang", F.col("source").alias("other"))), "lang").where("source <> other")
-    named = pairs.select("lang", "source", "other", F.least("source", "other").alias("_a"), F.greatest("source", "other").alias("_b"))
-    met = named.join(sums.select("lang", F.col("source").alias("_a"), F.col("other").alias("_b"), "value"), ["lang", "_a", "_b"], "left")
+    over = p.where("n > 0").join(bounded(q), "t").where("p > q").join(bounded(groups), "g").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+
+    # A difference is the same both ways: each pair of sources meets once a term, the smaller number first.
+    left, right = p.select("t", F.col("g").alias("a"), "p"), p.select("t", F.col("g").alias("b"), F.col("p").alias("q"))
+    sums = left.join(right, "t").where("a < b").groupBy("a", "b").agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("value"))
+    pairs = groups.join(bounded(groups.select("lang", F.col("source").alias("other"), F.col("g").alias("h"))), "lang").where("g <> h")
+    met = pairs.withColumn("a", F.least("g", "h")).withColumn("b", F.greatest("g", "h")).join(sums, ["a", "b"], "left")
     apart = met.select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), F.coalesce("value", F.lit(0).cast("long")).alias("value"))
     return ranked(apart).unionByName(ranked(over).where(F.col("rank") <= top))
 
