@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .scratch import MEMO_WORDS, bounded, discard, hashed_sample, small_batches, stored, tidy
 
-SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
+#: What lies between ends of sentences; it is a sentence if it has a word character. Each is looked for once, so a text costs its length.
+PIECE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"\w")
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”‘’…"
 BUCKETS = 1 << 20
 #: Labelled documents that a fit takes at most.
@@ -60,6 +61,10 @@ def buckets(word: str) -> list[int]:
     return own + [raw(f"{word[:k]}*".encode("utf-8", "surrogatepass")) % BUCKETS for k in BEGINNINGS if len(word) > k]
 
 
+def sentences_of(text: str) -> Iterator[re.Match]:
+    return (m for m in PIECE.finditer(text) if WORD.search(text, m.start(), m.end()))
+
+
 def sentence_words(sentence: str) -> set[str]:
     return {s for w in sentence.lower().split() if (s := w.strip(EDGES))}
 
@@ -116,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         both = np.zeros((2, BUCKETS), np.int32)
         for batch in batches:
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {b for s in SENTENCE.findall(t or "") for w in sentence_words(s) for b in buckets(w)}
+                own = {b for s in sentences_of(t or "") for w in sentence_words(s[0]) for b in buckets(w)}
                 at = np.fromiter(own, np.int64, len(own))
                 both[0, at] += y
                 both[1, at] += 1
@@ -139,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             sizes, found = [], []
             for t in batch.column(1).to_pylist():
                 own, count = [], []
-                for s in SENTENCE.findall(t or ""):
-                    for w in (words := sentence_words(s)):
+                for s in sentences_of(t or ""):
+                    for w in (words := sentence_words(s[0])):
                         if w not in memo:
                             memo[w] = [number[b] for b in buckets(w) if b in number]
                     features = [i for w in words for i in memo[w]]
@@ -180,7 +185,7 @@ def _scorer(model: Model, least: float):
             own, none, n = [], 0.0, 0
             # Without weights, and without a sentence that ends inside a word, all sentences are quiet.
             if any(map(memo.__getitem__, words)) or any("." in w[:-1] or "!" in w[:-1] or "?" in w[:-1] for w in words):
-                for m in SENTENCE.finditer(t):
+                for m in sentences_of(t):
                     n += 1
                     weigh(words := sentence_words(m[0]))
                     if z := sum(map(memo.__getitem__, words)):
@@ -189,8 +194,8 @@ def _scorer(model: Model, least: float):
                         if p >= least:
                             own.append({"from": m.start(), "to": m.end(), "score": p})
             else:
-                n = sum(1 for _ in SENTENCE.finditer(t))
-            total.append(float(-np.expm1(min(none, 0.0))))
+                n = sum(1 for _ in sentences_of(t))
+            total.append(float(-np.expm1(min(none, 0.0))) + 0.0)  # no negative zero
             count.append(n)
             places.append(own)
         return total, count, places

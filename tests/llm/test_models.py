@@ -287,3 +287,20 @@ def test_awkward_turns(spark):
     found = chat.chat_table(df).collect()
     assert {r["conv_id"] for r in found} == {None, 1, 2, 3}
     assert chat.chat_table(df.limit(0)).count() == 0
+
+
+def test_texts_without_words_cost_their_length():
+    import re
+    import time
+
+    from scriptorium.llm import toxicity
+
+    judge = toxicity._scorer(toxicity.Model(-5.0, {b: 9.0 for b in toxicity.buckets("bad")}), 0.5)
+    for junk in (" ", "\t", "# ", "…", "-", ".", "?! ", "\n"):
+        began = time.time()
+        text = junk * (1_000_000 // len(junk))
+        scores, counts, _ = judge([text, text + " bad", f"bad.{text}"])
+        assert time.time() - began < 3 and counts[0] == 0 and str(scores[0]) == "0.0" and min(scores[1:]) > 0.9, junk
+    old = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
+    for text in ("A b. C!? d\n\ne.f ", "... x", "", "no end", " .a. . "):
+        assert [m.span() for m in old.finditer(text)] == [m.span() for m in toxicity.sentences_of(text)]
