@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
+#: Bits below the partition's number in Spark's monotonically increasing ids.
+_RANGE_BITS = 33
+
 
 def first_wins(df: DataFrame, key: str, order: str | list[str]) -> DataFrame:
     """The first row of each key by ``order``, all columns. Rows with a null key are one key.
@@ -34,6 +39,18 @@ def numbered(df: DataFrame, order: str, name: str = "n") -> DataFrame:
     return own.join(shift, "_cell").withColumn(name, F.col("_rank") + F.col("_before")).drop("_cell", "_rank", "_before")
 
 
+def ranked(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
+    """Ordinals from 1 over all rows by columns of any kind, nulls first; rows alike in them in any order.
+
+    Rows are sorted by ranges and stored with a number that grows within a range; a range's rows before come from a count a range.
+    """
+    own = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_range", F.shiftright("_at", _RANGE_BITS))
+    counts = own.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inner = F.col("_at").bitwiseAND(F.lit((1 << _RANGE_BITS) - 1))
+    return own.join(F.broadcast(before), "_range").withColumn(name, inner + F.col("_before") + 1).drop("_at", "_range", "_before")
+
+
 def page(df: DataFrame, n: str, number: int, size: int = 20) -> DataFrame:
     """Rows of page ``number`` (from 0), clamped to the pages that exist. ``n`` has ordinals from 1."""
     last = F.greatest(F.lit(0), F.ceil(F.max(n) / size) - 1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import errors as E
 from ..functions.urls import strip
-from .dedup import first_wins
+from .dedup import first_wins, ranked
 
 
 def usable_keys(names: DataFrame, *, no_free: bool = False) -> DataFrame:
@@ -31,6 +31,11 @@ def trial_order(keys: DataFrame) -> DataFrame:
     return keys.orderBy("tier", "name")
 
 
+def trial_places(keys: DataFrame) -> DataFrame:
+    """``keys`` with place, from 1, in trial order: what a table can tell of an order."""
+    return ranked(keys, "tier", "name", name="place")
+
+
 def models(primary: Column, fallbacks: Column) -> Column:
     """Trimmed, first of equals, in order; a bad name or none at all is an error."""
     listed = F.filter(F.transform(F.concat(F.array(F.coalesce(primary, F.lit(""))), F.split(F.coalesce(fallbacks, F.lit("")), ",")), strip), lambda m: m != "")
@@ -41,11 +46,11 @@ def models(primary: Column, fallbacks: Column) -> Column:
 def trial_plan(model_list: DataFrame, keys: DataFrame, attempts: int) -> DataFrame:
     """model, attempt, key, tier in the order in which a run would try them: free keys in each attempt, paid keys once.
 
-    Three settings cross: a few models, keys and attempts, whatever the data.
+    Keys stay where they are; what goes to all of them are the models and attempts, which are settings.
     """
     rounds = keys.sparkSession.range(attempts).select(F.col("id").cast("int").alias("attempt"))
-    free = model_list.crossJoin(rounds).crossJoin(F.broadcast(keys.where("tier = 'free'")))
-    paid = model_list.withColumn("attempt", F.lit(attempts)).crossJoin(F.broadcast(keys.where("tier = 'paid'")))
+    free = keys.where("tier = 'free'").crossJoin(F.broadcast(model_list.crossJoin(rounds))).select(*model_list.columns, "attempt", *keys.columns)
+    paid = keys.where("tier = 'paid'").crossJoin(F.broadcast(model_list.withColumn("attempt", F.lit(attempts)))).select(*model_list.columns, "attempt", *keys.columns)
     return free.unionByName(paid)
 
 
@@ -93,11 +98,27 @@ def first_client(trials: DataFrame, key: str) -> DataFrame:
     return joined.groupBy(key).agg(F.min_by(F.when(F.col("message").isNull(), F.col("client")), F.when(F.col("message").isNull(), F.col("n"))).alias("client"), F.count(F.lit(1)).alias("tried"))
 
 
-def with_service(rows: DataFrame, work, schema: str, setup=None) -> DataFrame:
-    """Apply ``work(service, batch)`` to pandas batches; ``setup()`` makes one service a task. The call itself is the caller's."""
+#: Services of this worker process, by the name they are shared under.
+_SHARED: dict[str, object] = {}
+
+
+def _made(setup: Callable | None, shared: str | None):
+    if not shared:
+        return setup() if setup else None
+    if shared not in _SHARED:
+        _SHARED[shared] = setup()
+    return _SHARED[shared]
+
+
+def with_service(rows: DataFrame, work, schema: str, setup=None, *, shared: str | None = None) -> DataFrame:
+    """Apply ``work(service, batch)`` to pandas batches; ``setup()`` makes one service a task. The call itself is the caller's.
+
+    Under a ``shared`` name a worker process makes one service and keeps it, for all tasks and all operators that use the name: a pool that
+    transcribes and refines knows in the one step what it learned in the other.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        service = setup() if setup else None
+        service = _made(setup, shared)
         for batch in batches:
             yield work(service, batch)
 

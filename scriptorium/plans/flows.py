@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import keytable, renames, scans, tables
+from ..operators import keypool, keytable, renames, scans, tables
 from ..sources import files
 from ..streaming import ledger, rests
 from . import links
-from .texts import MESSAGE
+from .texts import MESSAGE, _docs, f6_usable_keys
+from .texts import ORACLE as TEXTS
 
 # Links of every kind, some of them missing.
 LINK = f"CASE WHEN page_id % 50 IN (13, 14) THEN NULL ELSE {links.LINK} END"
@@ -70,18 +71,24 @@ def k7_rename_steps(spark, d):
     return renames.rename_steps(_wanted(spark, d), names)
 
 
-CLIENT = "CASE WHEN event_type = 'view' THEN 'ios' WHEN event_type = 'click' AND event_id % 7 = 0 THEN 'vr' WHEN event_id % 101 = 0 THEN 'tv' END"
-RUN = "CASE WHEN event_id % 3 = 0 THEN 'hot' WHEN event_id % 50 = 1 THEN NULL ELSE CAST(user_id AS STRING) END"
+# A log of as many events as there are turns.
+LOG = "SELECT conv_id * 1000 + turn AS event_id, conv_id FROM conversations"
+CLIENT = "CASE WHEN event_id % 5 = 2 THEN 'ios' WHEN event_id % 35 = 7 THEN 'vr' WHEN event_id % 101 = 0 THEN 'tv' END"
+RUN = "CASE WHEN event_id % 3 = 0 THEN 'hot' WHEN event_id % 50 = 1 THEN NULL ELSE 'r' || CAST(FLOOR(conv_id / 4) AS BIGINT) END"
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), "conv_id")
 
 
 def st5_pinned_clients(spark, d):
-    own = spark.read.parquet(f"{d}/events.parquet").select(F.expr(RUN).alias("run"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, "https://example.com/a").otherwise("https://youtu.be/x").alias("url"), F.expr(CLIENT).alias("client"))
+    own = _log(spark, d).select(F.expr(RUN).alias("run"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, "https://example.com/a").otherwise("https://youtu.be/x").alias("url"), F.expr(CLIENT).alias("client"))
     return scans.pinned_clients(own).select("run", "seq", "pinned", F.array_join("clients", ",").alias("clients"))
 
 
 def st3_key_rests(spark, d):
     n = F.col("event_id")
-    calls = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("k"), F.when(n % 3 == 0, 0).otherwise(n % 40).cast("string")).alias("key"), F.when(n % 4 < 3, "free").otherwise("paid").alias("tier"), F.col("ts").alias("at"), F.when(n % 6 > 0, F.expr(MESSAGE)).alias("message"), F.when(n % 4 < 3, 4.5).otherwise(0.5).alias("interval"))
+    calls = _log(spark, d).select(F.concat(F.lit("k"), F.when(n % 3 == 0, 0).otherwise(n % 40).cast("string")).alias("key"), F.when(n % 4 < 3, "free").otherwise("paid").alias("tier"), F.timestamp_seconds(1_700_000_000 + n).alias("at"), F.when(n % 6 > 0, F.expr(MESSAGE)).alias("message"), F.when(n % 4 < 3, 4.5).otherwise(0.5).alias("interval"))
     return rests.key_rests(calls)
 
 
@@ -94,9 +101,23 @@ def j2_bucketed_links(spark, d):
     return keytable.new_links(own, name).select("page_id", "url_key")
 
 
-QUERIES = {f.__name__: f for f in (st6_ledger, s1_numbered_lines, k7_rename_steps, st5_pinned_clients, st3_key_rests, j2_bucketed_links)}
+def o1_trial_order(spark, d):
+    return keypool.trial_places(f6_usable_keys(spark, d)).select("name", "tier", "place")
+
+
+def d9_notes_of_documents(spark, d):
+    """Notes made of the documents' own lines, with both kinds of rules and halves that are missing."""
+    n = F.col("doc_id")
+    rule = F.when(n % 3 == 0, "\n---\n").otherwise("\n***\n")
+    lessons = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"(?m)^", "- ")
+    first = F.concat(F.lit("# Tiêu đề "), n.cast("string"), F.lit("\n"), lessons)
+    second = F.concat(F.lit("## Title\n> "), F.regexp_replace(F.left("text", F.lit(80)), r"[\r\n]+", " "))
+    note = F.concat(first, F.when(n % 4 > 0, F.concat(rule, second)).otherwise(""), rule, F.lit("**Reference:** ref "), n.cast("string"))
+    own = _docs(spark, d).select("doc_id", files.refine_parts(note).alias("r"))
+    return own.select("doc_id", F.col("r.vi.title").alias("vi_title"), F.size("r.vi.lessons").alias("n_lessons"), F.md5(F.array_join("r.vi.lessons", "|").cast("binary")).alias("lessons_md5"), F.col("r.en.title").alias("en_title"), F.array_join("r.en.quotes", "|").alias("quotes"), F.col("r.reference").alias("reference"))
+
 
-_MICROS = "epoch_us(ts)"
+QUERIES = {f.__name__: f for f in (o1_trial_order, d9_notes_of_documents, st6_ledger, s1_numbered_lines, k7_rename_steps, st5_pinned_clients, st3_key_rests, j2_bucketed_links)}
 
 ORACLE = {
     "st6_ledger": links.sql_links(f"SELECT page_id, {LINK} AS raw FROM pages")
@@ -138,15 +159,21 @@ UNION ALL SELECT CASE WHEN taken THEN 'taken' ELSE 'rename' END, CASE WHEN NOT t
 UNION ALL SELECT 'missing', NULL, old, new FROM w WHERE old NOT IN (SELECT name FROM nm)
 UNION ALL SELECT 'conflict', NULL, old, new FROM marked WHERE clash""",
     "st5_pinned_clients": f"""
-WITH e AS (SELECT event_id AS seq, event_id % 4 = 0 AS plain, {RUN} AS run, {CLIENT} AS client FROM events),
+WITH e AS (SELECT event_id AS seq, event_id % 4 = 0 AS plain, {RUN} AS run, {CLIENT} AS client FROM ({LOG})),
 p AS (SELECT *, last_value(client IGNORE NULLS) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pinned FROM e),
 c AS (SELECT *, ['default', 'android', 'ios', 'mweb', 'tv'] AS all5 FROM p)
 SELECT run, seq, pinned, CASE WHEN plain THEN 'default' WHEN list_contains(all5, pinned) THEN array_to_string(list_concat([pinned], list_filter(all5, lambda x: x <> pinned)), ',') ELSE array_to_string(all5, ',') END AS clients FROM c""",
     "st3_key_rests": rf"""
-WITH e AS (SELECT 'k' || CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 40 END AS key, event_id % 4 < 3 AS free, {_MICROS} AS us, CASE WHEN event_id % 6 > 0 THEN {MESSAGE} END AS m FROM events),
+WITH e AS (SELECT 'k' || CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 40 END AS key, event_id % 4 < 3 AS free, (1700000000 + event_id) * 1000000 AS us, CASE WHEN event_id % 6 > 0 THEN {MESSAGE} END AS m FROM ({LOG})),
 c AS (SELECT *, free AND coalesce(regexp_matches(lower(m), '429|resource_exhausted|quota|rate limit|too many requests') AND NOT regexp_matches(lower(m), '503|unavailable|high demand|overloaded') AND NOT (regexp_matches(lower(m), '404|not found|not supported') AND contains(lower(m), 'model')), false) AS quota FROM e),
 r AS (SELECT *, us + CAST(round(coalesce(TRY_CAST(nullif(regexp_extract(m, '(?i)retry[_ ]?delay[''"]?\s*[:=]\s*[''"]?(\d+(?:\.\d+)?)s', 1), '') AS DOUBLE), 60.0) * 1000000) AS BIGINT) AS until FROM c)
 SELECT key, (max({{'us': us, 'until': until}}) FILTER (WHERE quota)).until AS rest_until, max(us) FILTER (WHERE m IS NULL) AS last_call,
  greatest((max({{'us': us, 'until': until}}) FILTER (WHERE quota)).until, (max({{'us': us, 'again': us + CASE WHEN free THEN 4500000 ELSE 500000 END}}) FILTER (WHERE m IS NULL)).again) AS ready FROM r GROUP BY key""",
     "j2_bucketed_links": links._both() + " SELECT page_id, k AS url_key FROM l WHERE k NOT IN (SELECT k FROM known) AND k NOT IN (SELECT k FROM l WHERE page_id % 4 = 1)",
+    "o1_trial_order": f"SELECT name, tier, row_number() OVER (ORDER BY tier, name) AS place FROM ({TEXTS['f6_usable_keys']})",
+    "d9_notes_of_documents": r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t, coalesce(text, '') AS raw FROM documents),
+l AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: regexp_replace('- ' || x, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g')) AS ls, regexp_replace('> ' || regexp_replace(left(raw, 80), '[\r\n]+', ' ', 'g'), '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g') AS q FROM d),
+k AS (SELECT *, list_transform(list_filter(ls, lambda x: regexp_matches(x, '^[-*][\s\x0b]+')), lambda x: regexp_replace(x, '^[-*][\s\x0b]+', '')) AS lessons FROM l)
+SELECT doc_id, 'Tiêu đề ' || doc_id AS vi_title, CAST(len(lessons) AS INT) AS n_lessons, md5(array_to_string(lessons, '|')) AS lessons_md5, CASE WHEN doc_id % 4 > 0 THEN 'Title' END AS en_title, CASE WHEN doc_id % 4 > 0 THEN regexp_replace(q, '^>[\s\x0b]*', '') END AS quotes, 'ref ' || doc_id AS reference FROM k""",
 }

@@ -343,3 +343,39 @@ def test_no_shared_folder_is_an_error(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.shared_folder(Without)
+
+
+def test_ordinals_by_any_columns(spark):
+    from scriptorium.operators import dedup
+
+    random = Random(3)
+    rows = [(random.choice(["free", "paid", None]), f"k{k}") for k in random.sample(range(500), 300)]
+    found = dedup.ranked(spark.createDataFrame(rows, "tier string, name string").repartition(7), "tier", "name").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert [(r["tier"], r["name"]) for r in sorted(found, key=lambda r: r["n"])] == order and {r["n"] for r in found} == set(range(1, 301))
+
+
+def test_a_service_is_shared_by_operators(spark):
+    from scriptorium.operators import keypool
+
+    def setup():
+        import uuid
+
+        return {"id": uuid.uuid4().hex, "calls": 0}
+
+    def work(service, batch):
+        import os
+
+        service["calls"] += 1
+        return batch.assign(pid=os.getpid(), service=service["id"])[["id", "pid", "service"]]
+
+    schema = "id long, pid long, service string"
+    first = keypool.with_service(spark.range(8).repartition(4), work, schema, setup, shared="pool").collect()
+    second = keypool.with_service(spark.range(8).repartition(4), work, schema, setup, shared="pool").collect()
+    by_process = {}
+    for r in first + second:
+        by_process.setdefault(r["pid"], set()).add(r["service"])
+    assert all(len(services) == 1 for services in by_process.values())
+    assert {r["pid"] for r in first} & {r["pid"] for r in second}
+    alone = keypool.with_service(spark.range(8).repartition(4), work, schema, setup).collect()
+    assert not {r["service"] for r in alone} & {r["service"] for r in first}
