@@ -15,7 +15,7 @@ DASHES = r"[\x{2010}\x{2011}\x{2012}\x{2013}\x{2014}\x{2015}\x{2212}]"
 FORBIDDEN = r'[\\/*?:"<>|]'
 NAME_LENGTH, LEAST_CUT = 40, 15
 #: The second words are spelled as the counters' source spells them.
-COUNTERS = r"(?iU)^\s*\d[\d.,]*\s*[kmb]?\+?\s*(?:views?|lu\x{1EE3}t\s*xem)\s*[\x{00B7}-]\s*\d[\d.,]*\s*[kmb]?\+?\s*(?:reactions?|lu\x{1EE3}t\s*th\x{00ED}ch)\s*-\s*"
+COUNTERS = r"(?iU)^\s*\d[\d.,]*\s*[kmb]?\+?\s*(?:views?|luợt\s*xem)\s*[·-]\s*\d[\d.,]*\s*[kmb]?\+?\s*(?:reactions?|luợt\s*thích)\s*-\s*"
 UTF16_UNITS = 120
 
 
@@ -130,12 +130,20 @@ def duration(seconds: Column) -> Column:
     return F.when(F.coalesce(seconds, F.lit(0)) == 0, "  --  ").otherwise(F.format_string("%3d:%02d", F.floor(whole / 60), whole % 60))
 
 
+REDACTED = "[REDACTED]"
+
+
 def redact(s: Column, secrets: list[str] | tuple = ()) -> Column:
-    """One line of at most 500 characters without secrets. Secrets are literals of the driver's plan: pass them only to local plans."""
+    """One line of at most 500 characters without secrets. Secrets are literals of the driver's plan: pass them only to local plans; ``secrets.redacted`` keeps them out of any."""
     out = single_spaced(s)
     for secret in filter(None, secrets):
-        out = F.replace(out, F.lit(secret), F.lit("[REDACTED]"))
-    return F.left(F.regexp_replace(out, r"(?i)([?&](?:key|api[_-]?key)=)[^&\s]+", "$1[REDACTED]"), F.lit(500))
+        out = F.replace(out, F.lit(secret), F.lit(REDACTED))
+    return without_keys(out)
+
+
+def without_keys(s: Column) -> Column:
+    """At most 500 characters, without the values of key parameters."""
+    return F.left(F.regexp_replace(s, r"(?i)([?&](?:key|api[_-]?key)=)[^&\s]+", f"$1{REDACTED}"), F.lit(500))
 
 
 def first_line(s: Column, most: int = 160) -> Column:

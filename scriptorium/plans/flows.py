@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import keypool, keytable, renames, scans, tables
+from ..operators import keypool, keytable, renames, scans, secrets, tables
 from ..sources import files
 from ..streaming import ledger, rests
 from . import links
-from .texts import MESSAGE, _docs, f6_usable_keys
+from .texts import MESSAGE, _docs, _single, f6_usable_keys
 from .texts import ORACLE as TEXTS
 
 # Links of every kind, some of them missing.
@@ -117,7 +119,17 @@ def d9_notes_of_documents(spark, d):
     return own.select("doc_id", F.col("r.vi.title").alias("vi_title"), F.size("r.vi.lessons").alias("n_lessons"), F.md5(F.array_join("r.vi.lessons", "|").cast("binary")).alias("lessons_md5"), F.col("r.en.title").alias("en_title"), F.array_join("r.en.quotes", "|").alias("quotes"), F.col("r.reference").alias("reference"))
 
 
-QUERIES = {f.__name__: f for f in (o1_trial_order, d9_notes_of_documents, st6_ledger, s1_numbered_lines, k7_rename_steps, st5_pinned_clients, st3_key_rests, j2_bucketed_links)}
+SALT, SECRETS = "pepper", 1000
+
+
+def t13_many_secrets(spark, d):
+    """Turns as errors that quote a key, of which half are secrets; these are known by their digests alone."""
+    known = secrets.digests(spark, (hashlib.md5(f"s{k}".encode()).hexdigest() for k in range(SECRETS)), SALT)
+    said = F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(150)), F.lit("\n key=x"), F.md5(F.concat(F.lit("s"), (F.col("conv_id") % (2 * SECRETS)).cast("string")).cast("binary")), F.lit("y?key=abc&z"))
+    return secrets.redacted(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", said.alias("message")), known, salt=SALT)
+
+
+QUERIES = {f.__name__: f for f in (t13_many_secrets, o1_trial_order, d9_notes_of_documents, st6_ledger, s1_numbered_lines, k7_rename_steps, st5_pinned_clients, st3_key_rests, j2_bucketed_links)}
 
 ORACLE = {
     "st6_ledger": links.sql_links(f"SELECT page_id, {LINK} AS raw FROM pages")
@@ -176,4 +188,6 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), '
 l AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: regexp_replace('- ' || x, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g')) AS ls, regexp_replace('> ' || regexp_replace(left(raw, 80), '[\r\n]+', ' ', 'g'), '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g') AS q FROM d),
 k AS (SELECT *, list_transform(list_filter(ls, lambda x: regexp_matches(x, '^[-*][\s\x0b]+')), lambda x: regexp_replace(x, '^[-*][\s\x0b]+', '')) AS lessons FROM l)
 SELECT doc_id, 'Tiêu đề ' || doc_id AS vi_title, CAST(len(lessons) AS INT) AS n_lessons, md5(array_to_string(lessons, '|')) AS lessons_md5, CASE WHEN doc_id % 4 > 0 THEN 'Title' END AS en_title, CASE WHEN doc_id % 4 > 0 THEN regexp_replace(q, '^>[\s\x0b]*', '') END AS quotes, 'ref ' || doc_id AS reference FROM k""",
+    "t13_many_secrets": rf"""WITH a AS (SELECT conv_id, turn, left(coalesce(text, ''), 150) || chr(10) || ' key=x' || CASE WHEN conv_id % {2 * SECRETS} < {SECRETS} THEN '[REDACTED]' ELSE md5('s' || conv_id % {2 * SECRETS}) END || 'y?key=abc&z' AS m FROM conversations)
+SELECT conv_id, turn, left(regexp_replace({_single('m')}, '(?i)([?&](?:key|api[_-]?key)=)[^&\s]+', '\1[REDACTED]', 'g'), 500) AS message FROM a""",
 }

@@ -258,7 +258,7 @@ n2 AS (SELECT *, left(x, 40) AS cut, CASE WHEN contains(left(x, 40), ' ') THEN l
 n AS (SELECT *, CASE WHEN length(x) <= 40 THEN x ELSE regexp_replace(CASE WHEN last >= 15 THEN left(cut, last) ELSE cut END, '[ .,_-]+$', '') END AS name FROM n2)"""
 
 
-_COUNT = r"(?i)^[\s\x{A0}]*[0-9][0-9.,]*\s*[kmb]?\+?\s*(?:views?|lu\x{1EE3}t\s*xem)\s*[\x{B7}-]\s*[0-9][0-9.,]*\s*[kmb]?\+?\s*(?:reactions?|lu\x{1EE3}t\s*th\x{ED}ch)\s*-\s*"
+_COUNT = r"(?i)^[\s\x{A0}]*[0-9][0-9.,]*\s*[kmb]?\+?\s*(?:views?|luợt\s*xem)\s*[·-]\s*[0-9][0-9.,]*\s*[kmb]?\+?\s*(?:reactions?|luợt\s*thích)\s*-\s*"
 _FOLDED = "list_reduce({0}[2:], lambda a, x: CASE WHEN contains(split_part(a, chr(10), -1), x) THEN a ELSE a || chr(10) || x END, {0}[1])"
 _MSG = f"e AS (SELECT event_id, user_id, event_type, value, {MESSAGE} AS m, CASE WHEN event_id % 2 = 0 THEN 'free' ELSE 'paid' END AS tier FROM events)"
 _DELAY = r"""TRY_CAST(nullif(regexp_extract(m, '(?i)retry[_ ]?delay[''"]?\s*[:=]\s*[''"]?(\d+(?:\.\d+)?)s', 1), '') AS DOUBLE)"""

@@ -379,3 +379,30 @@ def test_a_service_is_shared_by_operators(spark):
     assert {r["pid"] for r in first} & {r["pid"] for r in second}
     alone = keypool.with_service(spark.range(8).repartition(4), work, schema, setup).collect()
     assert not {r["service"] for r in alone} & {r["service"] for r in first}
+
+
+def test_many_secrets_and_none_in_a_plan(spark, frame):
+    from scriptorium.functions import text
+    from scriptorium.operators import secrets
+
+    random = Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    known = ["".join(random.choices(letters, k=random.choice([12, 39]))) for _ in range(10_000)]
+    kept = secrets.digests(spark, [*known, "", "ÄÖ-key-日本語-long"], "pepper")
+    said = [f"call {random.choice(known)} failed\n at  x{random.choice(known)}y, {random.choice(known)}{random.choice(known)} ?key=abc&z" for _ in range(40)]
+    said += [None, "", "nothing", "é " * 700 + known[0], ("x" * 1020 + known[1] + " ") * 3, "a ÄÖ-key-日本語-long b", said[0], known[2]]
+    df = frame([(k, m) for k, m in enumerate(said)], "_places long, message string")
+    found = secrets.redacted(df, kept, salt="pepper")
+    assert found.columns == df.columns
+    plan = found._jdf.queryExecution().toString() + found._jdf.queryExecution().logical().toString()
+    assert not any(s in plan for s in known)
+    got = {r["_places"]: r["message"] for r in found.collect()}
+
+    def literally(m):
+        line = " ".join(m.split())
+        for s in [*known, "ÄÖ-key-日本語-long"]:
+            line = line.replace(s, text.REDACTED)
+        return line.replace("?key=abc", "?key=[REDACTED]")[:500]
+
+    assert got == {k: None if m is None else literally(m) for k, m in enumerate(said)}
+    assert secrets.redacted(df, kept.limit(0), salt="pepper").where("message like '%REDACTED%'").count() == 40 + 1  # only key parameters
