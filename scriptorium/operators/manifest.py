@@ -45,6 +45,10 @@ def keyed(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("url_key", canonical_url(F.col("url")))
 
 
+def _with_key(rows: DataFrame, known: bool) -> DataFrame:
+    return rows if known else keyed(rows)
+
+
 def known_keys(manifest: DataFrame) -> DataFrame:
     """url_key, stt: of a key that several rows have, the last row's number; rows without a link have no key."""
     return keyed(manifest.where(F.col("url") != "")).groupBy("url_key").agg(F.max_by("stt", "pos").alias("stt"))
@@ -77,38 +81,44 @@ def first_places(keyed_rows: DataFrame) -> DataFrame:
     return keyed_rows.where("url_key is not null").groupBy("url_key").agg(F.min("pos").alias("_first"))
 
 
-def upsert(manifest: DataFrame, results: DataFrame, now, *, edge: tuple[int, int] | None = None) -> DataFrame:
+def latest_results(results: DataFrame) -> DataFrame:
+    """url_key, r: the last result of each key, and each result without one."""
+    alone = F.when(F.col("url_key").isNull(), F.col("order")).alias("_alone")
+    return results.groupBy("url_key", alone).agg(F.max_by(F.struct("url", "title", "raw_name", "refine_name", "stt", "order"), "order").alias("r")).drop("_alone")
+
+
+def upsert(manifest: DataFrame, results: DataFrame, now, *, top: int | None = None) -> DataFrame:
     """Merge ``results`` (url, title, raw_name, refine_name or null, stt or null, order) into ``manifest``.
 
     The first row of a key is updated but keeps its time; further rows of the key stay. A new key is put
     before all rows, later results above earlier ones, with its number or the next free one. Of several
     results of one key the last one counts. Null is no link: such rows stay as they are, and each such result is a row of its own.
-    ``edge`` has the first place and highest number where ``manifest`` is only a part of the rows.
+    Where ``manifest`` is only a part of the rows, ``top`` is the first place of all; manifest and results then have their url_key, and results of new keys their number.
     """
-    latest = keyed(results).groupBy("url_key", F.when(F.col("url_key").isNull(), F.col("order")).alias("_alone")).agg(F.max_by(F.struct("url", "title", "raw_name", "refine_name", "stt", "order"), "order").alias("r")).drop("_alone")
-    own = keyed(manifest)
+    latest = latest_results(_with_key(results, top is not None))
+    own = _with_key(manifest, top is not None)
     first = first_places(own)
     joined = own.join(first, "url_key", "left").join(latest.where("url_key is not null"), "url_key", "left").withColumn("_hit", F.coalesce(F.col("pos") == F.col("_first"), F.lit(False)) & F.col("r").isNotNull())
     done = F.coalesce(F.col("r.refine_name"), F.lit("")) != ""
     new_cells = {"title": table_title(F.col("r.title")), "raw_link": wikilink(F.col("r.raw_name")), "refine_link": F.when(done, wikilink(F.col("r.refine_name"))).otherwise(""), "status": F.when(done, "Done").otherwise("Raw only")}
     updated = joined.select(*(F.when(F.col("_hit"), new_cells[c]).otherwise(F.col(c)).alias(c) if c in new_cells else F.col(c) for c in COLUMNS))
     fresh = latest.join(first, "url_key", "left_anti")
-    # Numbers missing from results follow the highest known, in result order.
-    missing = numbered(fresh.where(F.col("r.stt").isNull()).select(F.col("r.order").alias("_order")), "_order", "_n").select("_order", "_n")
-    if edge is None:
+    if top is None:
+        # Numbers missing from results follow the highest known, in result order.
+        missing = numbered(fresh.where(F.col("r.stt").isNull()).select(F.col("r.order").alias("_order")), "_order", "_n").select("_order", "_n")
         bounds = own.agg(F.coalesce(F.min("pos"), F.lit(0)).alias("_top"), F.coalesce(F.max("stt"), F.lit(0)).alias("_max"))
+        places = fresh.withColumn("_order", F.col("r.order")).join(missing, "_order", "left").crossJoin(F.broadcast(bounds)).crossJoin(F.broadcast(fresh.agg(F.coalesce(F.max("r.stt"), F.lit(0)).alias("_given"))))
+        number = F.coalesce(F.col("r.stt"), F.greatest("_max", "_given") + F.col("_n"))
     else:
-        bounds = own.sparkSession.range(1).select(F.lit(edge[0]).cast("long").alias("_top"), F.lit(edge[1]).cast("long").alias("_max"))
-    places = fresh.withColumn("_order", F.col("r.order")).join(missing, "_order", "left").crossJoin(F.broadcast(bounds)).crossJoin(F.broadcast(fresh.agg(F.coalesce(F.max("r.order"), F.lit(0)).alias("_last"), F.coalesce(F.max("r.stt"), F.lit(0)).alias("_given"))))
-    number = F.coalesce(F.col("r.stt"), F.greatest("_max", "_given") + F.col("_n"))
+        places, number = fresh.withColumn("_top", F.lit(top).cast("long")), F.col("r.stt")
     inserted = places.select((F.col("_top") - 1 - F.col("r.order")).alias("pos"), number.alias("stt"), F.col("r.url").alias("url"), new_cells["title"].alias("title"), now.alias("ts"), new_cells["raw_link"].alias("raw_link"), new_cells["refine_link"].alias("refine_link"), new_cells["status"].alias("status"))
     return updated.unionByName(inserted)
 
 
-def mark_failures(manifest: DataFrame, failures: DataFrame) -> DataFrame:
-    """Status of the first row of each failed key (url, reason, order; the last reason counts). Unknown and null links write no row; rows without a link stay."""
-    latest = keyed(failures).where("url_key is not null").groupBy("url_key").agg(F.max_by("reason", "order").alias("_reason"))
-    own = keyed(manifest)
+def mark_failures(manifest: DataFrame, failures: DataFrame, *, has_key: bool = False) -> DataFrame:
+    """Status of the first row of each failed key (url, reason, order; the last reason counts). Unknown and null links write no row; rows without a link stay. With ``has_key`` both have their url_key."""
+    latest = _with_key(failures, has_key).where("url_key is not null").groupBy("url_key").agg(F.max_by("reason", "order").alias("_reason"))
+    own = _with_key(manifest, has_key)
     joined = own.join(first_places(own), "url_key", "left").join(latest, "url_key", "left")
     status = F.when((F.col("pos") == F.col("_first")) & F.col("_reason").isNotNull(), F.concat(F.lit("Failed: "), F.left("_reason", F.lit(REASON_LENGTH)))).otherwise(F.col("status"))
     return joined.select(*(status.alias(c) if c == "status" else F.col(c) for c in COLUMNS))

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import manifest as M
 from ..operators import tables
+from ..operators.dedup import ranked
 
 ROW = "pos long, stt long, url string, title string, ts string, raw_link string, refine_link string, status string"
 STORED = f"{ROW}, url_key string, version long, at string, bucket int"
@@ -59,20 +60,29 @@ class Ledger:
         if number <= listed["batch"]:
             return False
         with tables.passing(self.spark):
-            at, held = self._write("delta", self._changed(tables.written(batch, "ledger-batch"), listed, now), version + 1)
+            at, held = self._write("delta", self._changed(batch, listed, now), version + 1)
         top, most = self._read("delta", [(at, held)]).agg(F.min("pos"), F.max("stt")).first()
         least, highest = (min(listed["top"], top), max(listed["most"], most)) if held else (listed["top"], listed["most"])
         self._publish(version + 1, listed | {"batch": number, "top": least, "most": highest, "deltas": [*listed["deltas"], *([[at, version + 1, held]] if held else [])]})
         return True
 
     def _changed(self, batch: DataFrame, listed: dict, now) -> DataFrame:
+        """Keys are computed once, and each step is written: what the driver plans stays small, however many commits it has seen."""
+        batch = tables.written(M.keyed(batch).withColumn("bucket", self._bucket()), "ledger-batch")
         done, failed = (batch.where("reason is null"), batch.where("reason is not null")) if "reason" in batch.columns else (batch, None)
-        keys = tables.written(M.keyed(batch).select("url_key", self._bucket().alias("bucket")).where("url_key is not null").distinct(), "ledger-keys")
+        keys = tables.written(batch.where("url_key is not null").select("url_key", "bucket").distinct(), "ledger-keys")
         touched = {r["bucket"] for r in keys.select("bucket").distinct().collect()}
         near = self._merged(listed, touched).join(keys.select("url_key"), "url_key", "left_semi")
-        first = near.groupBy("url_key").agg(F.min_by(F.struct(*M.COLUMNS), "pos").alias("r")).select("r.*")
-        rows = M.upsert(tables.written(first, "ledger-first"), done, now, edge=(listed["top"], listed["most"]))
-        return rows if failed is None else M.mark_failures(rows, failed)
+        first = tables.written(near.groupBy("url_key").agg(F.min_by(F.struct(*M.COLUMNS), "pos").alias("r")).select("url_key", "r.*"), "ledger-first")
+
+        latest = tables.written(M.latest_results(done).select("url_key", "r.*"), "ledger-latest")
+        fresh = tables.written(latest.join(first.select("url_key"), "url_key", "left_anti").select("order", "stt"), "ledger-fresh")
+        given = fresh.agg(F.max("stt")).first()[0]
+        numbers = ranked(fresh.where("stt is null").select(F.col("order").alias("_order")), "_order", name="_n")
+        number = F.coalesce("stt", F.lit(max(listed["most"], given or 0)).cast("long") + F.col("_n"))
+        results = latest.join(numbers, F.col("order") == F.col("_order"), "left").withColumn("stt", number).drop("_order", "_n")
+        rows = tables.written(M.upsert(first, tables.written(results, "ledger-results"), now, top=listed["top"]), "ledger-rows")
+        return rows if failed is None else M.mark_failures(M.keyed(rows), failed, has_key=True)
 
     def compact(self, least: int = LEAST) -> list[int]:
         """Write the buckets that at least so many deltas touch anew, and no others; returns them."""
