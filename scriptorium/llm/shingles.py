@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bounded, discard, stored, text_id, tidy
+from .scratch import bounded, text_id, tidy
 
 HASH_SEED = 42
 #: Jaccard similarity from which two texts are near-duplicates, as numerator and denominator.
@@ -76,28 +76,15 @@ def enough(shared, x, y):
     return shared * (up + down) >= (x + y) * up
 
 
-def _sets(rows: DataFrame, text: str, words: int) -> DataFrame:
-    """_row, s (all shingles)."""
+def with_sets(asked: DataFrame, table: DataFrame, *, text: str, words: int) -> DataFrame:
+    """``asked`` (id, said: the ``text_id`` of one of its texts, more) and s, the whole shingle set; the texts are read again from ``table``, each once."""
+    texts = table.select(text_id(F.col(text)).alias("said"), F.col(text).cast("string").alias("_t")).join(bounded(asked), "said")
+    once = texts.groupBy(*asked.columns).agg(F.first("_t").alias("_t"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in asked.schema) + "s array<long>"
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.array([shingles(t, words) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), own], ["_row", "s"])
-
-    return rows.select("_row", F.col(text).cast("string").alias("t")).mapInArrow(tidy(seen), "_row long, s array<long>")
-
-
-def similar(pairs: DataFrame, classes: DataFrame, table: DataFrame, *, text: str, words: int) -> DataFrame:
-    """The ``pairs`` (a, b: ids of ``classes``) whose whole shingle sets are similar, stored. ``classes``: id, said (the ``text_id`` of
-    one of the class's texts); the texts are read again from ``table``, each once."""
-    pairs = stored(pairs, "shingle-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked = stored(classes.select("id", "said").join(bounded(named), "id").select(F.col("id").alias("_row"), "said"), "shingle-asked")
-    texts = table.select(text_id(F.col(text)).alias("said"), F.col(text).cast("string").alias("t")).join(bounded(asked), "said")
-    sets = stored(_sets(texts.groupBy("_row").agg(F.first("t").alias("t")), "t", words), "shingle-sets")
-    both = pairs.join(sets.select(F.col("_row").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("_row").alias("b"), F.col("s").alias("s_b")), "b")
-    shared: Column = F.size(F.array_intersect("s_a", "s_b"))
-    links = stored(both.where(enough(shared, F.size("s_a"), F.size("s_b"))).select("a", "b"), "links")
-    for made in (pairs, asked, sets):
-        discard(made)
-    return links
+            own = pa.array([shingles(t, words) for t in batch.column("_t").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], own], [*batch.schema.names[:-1], "s"])
+
+    return once.mapInArrow(tidy(seen), schema)

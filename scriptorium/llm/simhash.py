@@ -10,9 +10,10 @@ all its pairs. Groups over the limit are divided by further keys on the bits lef
 too large meets in blocks, every block against every other: nothing is capped.
 
 ``similar_rows`` links texts by Jaccard similarity instead. At 0.8 fingerprints are some ten bits apart, too far for block
-keys, so rows meet by the prefixes of their shingle sets (``shingles``); the pivot tables then discard at a
-wide radius, and whole sets are compared. A first round compares each row with the first one it meets; the second
-only what the links of the first leave apart.
+keys, so rows meet by the prefixes of their shingle sets (``shingles``), and the pivot tables discard at a wide
+radius. What they leave connects rows to families; a family meets once with its whole sets, which are
+compared only where the tables leave the pair. All that meets gives a spanning forest, never its pairs: large groups are first dealt in
+blocks, each row to one, and only rows outside a group's largest component then meet all others.
 
 Defined cases: null and word-less texts have fingerprint zero and link like any other;
 texts of fewer words than a shingle are one shingle; repeated rows and null keys keep one
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import alone, bounded, discard, numbered, small_batches, stored, text_id, tidy
-from .shingles import HASH_SEED, enough, frequent, prefix, shingles, similar
+from .shingles import HASH_SEED, enough, frequent, prefix, shingles, with_sets
 
 BITS = 64
 PIVOTS = 24
@@ -44,6 +45,8 @@ GROUP_ROWS = 2048
 WIDE = 26
 #: Sets of fewer shingles, whose fingerprints vary more, are compared without it.
 SMALL_SET = 32
+#: Shingles of whole sets that meet in one block of a family.
+BLOCK_SHINGLES = 1 << 20
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -220,75 +223,171 @@ def _marked(rows: DataFrame, words: int) -> DataFrame:
     return stored(rows.select("_row", "k", "said", "t").mapInArrow(tidy(seen), f"_row long, k {kind}, said binary, same binary, n int, fp long, prefix array<long>"), "shingle-prefixes")
 
 
-def _close_pairs(groups: DataFrame) -> DataFrame:
-    """groups: rows array<struct<id, fp, n, root, side>> -> a, b: pairs of different roots that the pivot tables leave and that sizes allow.
+def _close(i, left: np.ndarray, n: np.ndarray, fps: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Those of ``left`` that the pivot tables leave for row i and whose set sizes allow a link."""
+    j = left[enough(np.minimum(n[left], n[i]), n[left], n[i])]
+    if n[i] < SMALL_SET:
+        return j
+    near = np.abs(table[j] - table[i]).max(axis=1) <= WIDE
+    near &= np.bitwise_count(fps[j] ^ fps[i]) <= WIDE
+    return j[near | (n[j] < SMALL_SET)]
 
-    Sides 0 and 1 are two blocks of a large group that meet each other; side 2 rows all meet.
+
+def similar_forest(n: np.ndarray, fps: np.ndarray, root: np.ndarray, shared=None) -> list[tuple[int, int]]:
+    """A spanning forest (places) of what links rows of different roots; rows of one root are connected from the start.
+
+    ``shared(i, j)``: how many shingles set i has in common with each of the sets j. Without it all that the pivot tables leave is linked.
     """
+    table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
+    left, found = np.arange(len(n)), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            own = root[left] == root[i]
+            if own.any():
+                queue += left[own].tolist()
+                left = left[~own]
+            j = _close(i, left, n, fps, table)
+            if shared is not None and len(j):
+                j = j[enough(shared(i, j), n[j], n[i])]
+            if len(j):
+                found += [(i, x) for x in j.tolist()]
+                queue += j.tolist()
+                left = np.setdiff1d(left, j, assume_unique=True)
+    return found
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = pivots()
+
+def shared_counts(sets: list[np.ndarray]):
+    """``shared`` of ``similar_forest`` for sets none of which is empty."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(codes), bool)
+
+    def shared(i: int, j: np.ndarray) -> np.ndarray:
+        own = codes[ends[i] - sizes[i] : ends[i]]
+        mark[own] = True
+        starts = np.cumsum(sizes[j]) - sizes[j]
+        at = np.repeat(ends[j] - sizes[j] - starts, sizes[j]) + np.arange(sizes[j].sum())
+        count = np.add.reduceat(mark[codes[at]], starts, dtype=np.int64)
+        mark[own] = False
+        return count
+
+    return shared
+
+
+def _close_links(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows: keys, id, fp, n, root -> a, b: forests of the pairs that the pivot tables leave in each group of equal keys."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for rows in batch.column(0):
-                ids, fps, n, root, side = (c.to_numpy(zero_copy_only=False) for c in rows.values.flatten())
-                fps = fps.view(np.uint64)
-                table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
-                small = n < SMALL_SET
-                for i in range(len(ids) - 1):
-                    j = np.arange(i + 1, len(ids))
-                    j = j[(root[j] != root[i]) & ((side[j] != side[i]) | (side[j] == 2)) & enough(np.minimum(n[j], n[i]), n[j], n[i])]
-                    if len(j) and not small[i]:
-                        near = np.abs(table[j] - table[i]).max(axis=1) <= WIDE
-                        near &= np.bitwise_count(fps[j] ^ fps[i]) <= WIDE
-                        j = j[near | small[j]]
-                    a.append(np.minimum(ids[i], ids[j]))
-                    b.append(np.maximum(ids[i], ids[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *v])) for v in (a, b)], ["a", "b"])
-
-    return groups.select("rows").mapInArrow(tidy(paired), "a long, b long")
-
-
-def similar_rows(table: DataFrame, *, text: str = "text", words: int = 5, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """_row, root (the same for rows that similarity of ``LEAST`` or more links, directly or over others); ``table`` from ``numbered``."""
-    return _similar(table, F.col("_row"), F.lit(0), text, words, group_rows).select("_row", "root")
+            lists, a, b = batch.column(0), [], []
+            ids, fps, n, root = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+            fps, sizes = fps.view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False)
+            for e, k in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
+                at = slice(e - k, e)
+                for i, j in similar_forest(n[at], fps[at], root[at]):
+                    a.append(ids[e - k + i])
+                    b.append(ids[e - k + j])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b)], ["a", "b"])
+
+    groups = rows.groupBy(*keys).agg(F.collect_list(F.struct("id", "fp", "n", "root")).alias("rows")).where(F.size("rows") > 1)
+    return groups.select("rows").mapInArrow(tidy(linked), "a long, b long").distinct()
+
+
+def _set_links(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows: keys, id, fp, n, root, s -> a, b: forests of the pairs whose whole sets are similar, in each group of equal keys."""
 
+    def linked(group: pa.Table) -> pa.Table:
+        ids, fps, n, root = (group.column(c).to_numpy() for c in ("id", "fp", "n", "root"))
+        s = group.column("s").combine_chunks()
+        flat, ends = s.flatten().to_numpy(), np.cumsum(n.astype(np.int64))
+        found = similar_forest(n, fps.view(np.uint64), root, shared_counts(np.split(flat, ends[:-1]))) if len(ids) > 1 else []
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": ids[a], "b": ids[b]})
 
-def _similar(table: DataFrame, row: Column, key: Column, text: str, words: int, group_rows: int) -> DataFrame:
+    return rows.select(*keys, "id", "fp", "n", "root", "s").groupBy(*keys).applyInArrow(linked, "a long, b long")
+
+
+def _rest(rows: DataFrame, limit: int) -> DataFrame:
+    """rows: s, id, root, weight, more -> the rows in blocks (s, x, y) in which every two rows of different roots under one s meet.
+
+    Rows of the s's largest root meet only those of other roots, so that few of these make few blocks.
+    """
+    weights = rows.groupBy("s", "root").agg(F.sum("weight").alias("w"))
+    keys = stored(weights.groupBy("s").agg(F.sum("w").alias("all"), F.max("w").alias("most"), F.max_by("root", "w").alias("main")).where("all > most"), "rest-keys")
+    parts = lambda w: F.ceil(w / max(1, limit // 2)).cast("int")
+    met = rows.join(bounded(keys), "s").withColumn("xs", parts(F.col("all") - F.col("most"))).withColumn("ys", parts(F.col("all")))
+    own = lambda n: F.pmod(F.xxhash64("id", "s"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    any_root = met.withColumn("x", every("xs")).withColumn("y", own("ys"))
+    others = met.where("root <> main").withColumn("x", own("xs")).withColumn("y", every("ys"))
+    return any_root.unionByName(others).drop("all", "most", "main", "xs", "ys")
+
+
+def similar_rows(table: DataFrame, *, text: str = "text", words: int = 5, group_rows: int = GROUP_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """_row, root (the same for rows that similarity of ``LEAST`` or more links, directly or over others); ``table`` from ``numbered``."""
+    return _similar(table, F.col("_row"), F.lit(0), text, words, group_rows, block_shingles).select("_row", "root")
+
+
+def _families(postings: DataFrame, group_rows: int) -> DataFrame:
+    """postings: s, id, n, fp, size (rows with s) -> node, root: rows that pairs left by the pivot tables connect; stored."""
+    block = F.pmod(F.xxhash64("id", "s"), F.ceil(F.col("size") / group_rows))
+    found = stored(_close_links(postings.select("s", block.alias("block"), "id", "fp", "n", F.col("id").alias("root")), ["s", "block"]), "close-links")
+    families = stored(components(found), "families")
+    large = postings.where(F.col("size") > group_rows)
+    if large.take(1):
+        rooted = large.join(bounded(families.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        more = _close_links(_rest(rooted.withColumn("weight", F.lit(1)), group_rows), ["s", "x", "y"])
+        families = stored(components(stored(found.union(more), "close-links")), "families")
+    return families
+
+
+def _links_in_families(members: DataFrame, postings: DataFrame, table: DataFrame, text: str, words: int, block_shingles: int) -> DataFrame:
+    """members: id, family, said, n, fp -> a, b: links that connect what all links of similar sets connect; stored."""
+    weights = members.groupBy("family").agg(F.sum(F.col("n").cast("long")).alias("total"))
+    blocks = F.ceil(F.col("total") / block_shingles)
+    dealt = stored(members.join(bounded(weights), "family").withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("root", F.col("id")).withColumn("large", blocks > 1).drop("total"), "families-dealt")
+    found = stored(_set_links(with_sets(dealt, table, text=text, words=words), ["family", "block"]), "set-links")
+    large = dealt.where("large").drop("root", "block", "family", "large")
+    if not large.take(1):
+        return found
+    # Links have a prefix's shingle in common: what blocks leave apart in a large family meets by these, not all with all.
+    rooted = large.join(bounded(components(found).withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    met = stored(_rest(postings.select("s", "id").join(rooted.withColumn("weight", F.col("n").cast("long")), "id").select("s", "id", "root", "weight"), block_shingles), "rest-blocks").drop("weight", "root")
+    asked = stored(rooted.join(bounded(met.select("id").distinct()), "id", "left_semi"), "rest-asked")
+    sets = with_sets(asked, table, text=text, words=words)
+    more = _set_links(met.withColumnRenamed("s", "key").join(sets, "id"), ["key", "x", "y"])
+    return stored(found.union(more), "set-links")
+
+
+def _similar(table: DataFrame, row: Column, key: Column, text: str, words: int, group_rows: int, block_shingles: int) -> DataFrame:
     """_row, k (the key), said (``text_id``), root."""
     small_batches(table.sparkSession)
     marked = _marked(table.select(row.alias("_row"), key.alias("k"), text_id(F.col(text)).alias("said"), F.col(text).cast("string").alias("t")), words)
-    classes = stored(marked.groupBy("same").agg(F.min(F.struct("_row", "said")).alias("first")).select("same", F.col("first._row").alias("id"), "first.said"), "shingle-classes")
+    classes = stored(marked.groupBy("same").agg(F.min(F.struct("_row", "said", "n", "fp")).alias("first")).select("same", F.col("first._row").alias("id"), "first.said", "first.n", "first.fp"), "shingle-classes")
     own = marked.withColumnRenamed("_row", "id").join(bounded(classes.select("id")), "id", "left_semi")
     postings = own.select("id", "n", "fp", F.explode("prefix").alias("s"))
-    met = stored(postings.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1"), "shingle-meetings")
+    met = stored(postings.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shingle-meetings")
     postings = stored(postings.join(bounded(met), "s"), "shingle-postings")
-    # One comparison a row: with the first of the rows that it meets.
-    near_first = postings.where("id <> first").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
-    sure = similar(near_first, classes, table, text=text, words=words)
-    roots = stored(components(sure).withColumnRenamed("node", "id"), "roots")
-    rooted = postings.join(bounded(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    # Large groups meet in blocks: every block against itself and every other.
-    blocks = F.when(F.col("size") <= group_rows, 1).otherwise(F.ceil(F.col("size") / (group_rows // 2))).cast("int")
-    dealt = rooted.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side")
-    groups = dealt.groupBy("s", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(F.struct("id", "fp", "n", "root", side)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most"))
-    more = similar(_close_pairs(groups.where("least < most")).distinct(), classes, table, text=text, words=words)
-    for made in (met, postings, roots):
+    families = _families(postings, group_rows)
+    members = classes.drop("same").join(bounded(families.select(F.col("node").alias("id"), F.col("root").alias("family"))), "id")
+    links = _links_in_families(members, postings, table, text, words, block_shingles)
+    for made in (met, postings):
         discard(made)
-    linked = components(stored(sure.union(more), "links")).withColumnRenamed("node", "id")
-    named = classes.select("same", "id").join(linked, "id", "left").select("same", F.coalesce("root", "id").alias("root"))
+    named = classes.select("same", "id").join(components(links).withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("root", "id").alias("root"))
     return marked.select("_row", "k", "said", "same").join(named, "same").select("_row", "k", "said", "root")
 
 
-def keep_dissimilar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, group_rows: int = GROUP_ROWS) -> DataFrame:
+def keep_dissimilar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, group_rows: int = GROUP_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Of each component of similar texts one row, with all its columns, chosen as ``keep_one`` does; of rows that share key and text, any one.
 
     Rows go by their key and text, so no copy of ``docs`` is stored.
     """
 
     def judged() -> DataFrame:
-        keyed = stored(_similar(docs, F.monotonically_increasing_id(), F.col(key), text, words, group_rows), "near-duplicates")
+        keyed = stored(_similar(docs, F.monotonically_increasing_id(), F.col(key), text, words, group_rows, block_shingles), "near-duplicates")
         best = keyed.groupBy("root").agg(F.min(F.struct(F.col("k").isNull(), "k", "_row", "said")).alias("best"))
         repeat = F.col("k").eqNullSafe(F.col("best.k")) & (F.col("said") == F.col("best.said"))
         return keyed.join(best, "root").where("_row <> best._row").select("k", "said", repeat.alias("repeat")).distinct()

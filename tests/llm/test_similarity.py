@@ -70,6 +70,50 @@ def test_large_groups_meet_in_blocks(spark, data):
     assert whole == cut
 
 
+def test_large_families_meet_in_blocks(spark, data):
+    docs = spark.createDataFrame(list(enumerate(different_texts(12))), "doc_id long, text string")
+    table = simhash.numbered(docs.coalesce(1))
+    whole = {(r["_row"], r["root"]) for r in simhash.similar_rows(table).collect()}
+    assert {(r["_row"], r["root"]) for r in simhash.similar_rows(table, group_rows=4, block_shingles=300).collect()} == whole
+
+
+def test_a_family_of_near_copies_makes_no_pairs(spark, data, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(204)]
+    rows = []
+    for k in range(200):
+        copy = list(base)
+        for at in rng.sample(range(2, 202), rng.choice((2, 3, 4))):
+            copy[at] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    made = {}
+
+    def recorded(df, name, write=simhash.stored):
+        out = write(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", recorded)
+    monkeypatch.setattr(shingles, "stored", recorded, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert [r["doc_id"] for r in simhash.keep_dissimilar(docs).orderBy("doc_id").collect()] == brute_kept(rows)
+    assert max(made.values()) <= 200 * 42  # a prefix a row: of 200 shingles 41; there are 19,900 pairs
+
+
+def test_sets_are_compared_only_where_the_pivot_tables_leave_the_pair():
+    n, root = np.full(3, 40), np.arange(3)
+    fps = np.array([0, (1 << simhash.WIDE) - 1, (1 << 64) - 1], np.uint64)
+    asked = []
+
+    def shared(i, j):
+        asked.extend((i, x) for x in j.tolist())
+        return np.full(len(j), 40)
+
+    assert simhash.similar_forest(n, fps, root, shared) == [(0, 1)]
+    assert asked == [(0, 1)]
+    assert simhash.similar_forest(n, fps, np.array([0, 1, 0]), shared) == [(0, 1)]  # rows of one root need no link
+
+
 def test_pivots_leave_similar_sets():
     rng, lost = random.Random(3), 0
     for _ in range(300):
