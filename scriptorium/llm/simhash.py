@@ -348,9 +348,11 @@ def _links_in_families(members: DataFrame, postings: DataFrame, table: DataFrame
     """members: id, family, said, n, fp -> a, b: links that connect what all links of similar sets connect; stored."""
     weights = members.groupBy("family").agg(F.sum(F.col("n").cast("long")).alias("total"))
     blocks = F.ceil(F.col("total") / block_shingles)
-    dealt = stored(members.join(bounded(weights), "family").withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("root", F.col("id")).withColumn("large", blocks > 1).drop("total"), "families-dealt")
+    # A large family is dealt twice, so that blocks of one deal are connected by those of the other.
+    deals = F.when(blocks > 1, F.array(F.pmod(F.xxhash64("id"), blocks), F.pmod(F.xxhash64("id", F.lit(1)), blocks) + blocks)).otherwise(F.array(F.lit(0).cast("long")))
+    dealt = stored(members.join(bounded(weights), "family").withColumn("block", F.explode(deals)).withColumn("root", F.col("id")).withColumn("large", blocks > 1).drop("total"), "families-dealt")
     found = stored(_set_links(with_sets(dealt, table, text=text, words=words), ["family", "block"]), "set-links")
-    large = dealt.where("large").drop("root", "block", "family", "large")
+    large = dealt.where("large").drop("root", "block", "family", "large").distinct()
     if not large.take(1):
         return found
     # Links have a prefix's shingle in common: what blocks leave apart in a large family meets by these, not all with all.
