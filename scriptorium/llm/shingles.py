@@ -2,7 +2,7 @@
 
 Two sets of similarity s or more share a shingle among the first n - ceil(s n) + 1 of each, in any order that is the
 same for all sets. The order puts shingles that are frequent in a sample last: the sample decides how much
-meets, and by ``SKETCH`` how short a prefix will do.
+meets, never what is found.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ HASH_SEED = 42
 LEAST = (4, 5)
 #: Rows whose shingles are counted for the order, and shingles that the order knows as frequent.
 SAMPLE_ROWS, FREQUENT = 5_000, 100_000
-#: Shingles that stand for a set of mostly infrequent ones: two similar sets share none of them with a chance of 1 in 2 ** SKETCH at
-#: the most, and 1 in 5 ** SKETCH where neither has frequent ones.
-SKETCH = 20
+#: Parts into which hashes are cut for ``cells``: a power of two.
+CELLS = 256
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -56,18 +55,18 @@ def frequent(table: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.nd
 
 
 def prefix(s: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first shingles of ``s`` in the common order; ``known`` and ``often`` from ``frequent``.
-
-    In full for sets half of which are frequent. Of the others the first SKETCH will do: the order among them is that of their
-    hashes, so each is shared with a chance of a half at least, whatever frequent shingles the two sets share.
-    """
+    """The first shingles of ``s`` in the common order, as many as similar sets need to share one; ``known`` and ``often`` from ``frequent``."""
     up, down = LEAST
     count = np.zeros(len(s), np.int64)
     if len(known) and len(s):
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
         count = np.where(known[at] == s, often[at], 0)
-    whole = len(s) - -(-up * len(s) // down) + 1
-    return s[np.lexsort((s, count))[: whole if 2 * np.count_nonzero(count) >= len(s) else min(whole, SKETCH)]]
+    return s[np.lexsort((s, count))[: len(s) - -(-up * len(s) // down) + 1]]
+
+
+def cells(s: np.ndarray) -> np.ndarray:
+    """How many shingles of ``s`` lie in each of CELLS parts of all hashes, 255 at the most."""
+    return np.minimum(np.bincount(s & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8)
 
 
 def enough(shared, x, y):

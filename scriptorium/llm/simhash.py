@@ -11,8 +11,10 @@ too large meets in blocks, every block against every other: nothing is capped.
 
 ``similar_rows`` links texts by Jaccard similarity instead. At 0.8 fingerprints are some ten bits apart, too far for block
 keys, so rows meet by the prefixes of their shingle sets (``shingles``), and the pivot tables discard at a wide
-radius. What they leave connects rows to families; a family meets once with its whole sets, which are
-compared only where the tables leave the pair. All that meets gives a spanning forest, never its pairs: large groups are first dealt in
+radius. So do cells, which count a set's shingles in parts of all hashes: they discard a pair only if they prove that
+too few are shared. What is left connects rows to families; a family meets once with its whole sets, which are
+compared only where tables and cells leave the pair. As similar sets may lie beyond any radius, what is still apart then meets once more,
+and pairs that the pivot tables discard are compared where cells leave them: no similar pair is left out. All that meets gives a spanning forest, never its pairs: large groups are first dealt in
 blocks, each row to one, and only rows outside a group's largest component then meet all others.
 
 Defined cases: null and word-less texts have fingerprint zero and link like any other;
@@ -34,17 +36,19 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import alone, bounded, discard, numbered, small_batches, stored, text_id, tidy
-from .shingles import HASH_SEED, enough, frequent, prefix, shingles, with_sets
+from .shingles import CELLS, HASH_SEED, cells, enough, frequent, prefix, shingles, with_sets
 
 BITS = 64
 PIVOTS = 24
 #: Fingerprints that may meet in one group before it is divided.
 GROUP_ROWS = 2048
 #: Bits by which similar sets may differ before the pivot tables discard the pair. Sets of similarity 0.8 differ in 9.5 of 64 bits
-#: on average, with a deviation of 2.9: this many leaves out fewer than one pair in ten million.
+#: on average, with a deviation of 2.9. What lies beyond meets again by cells, so this decides on time only.
 WIDE = 26
 #: Sets of fewer shingles, whose fingerprints vary more, are compared without it.
 SMALL_SET = 32
+#: Rows with cells up to which they are broadcast: they are some eight times as wide as others.
+CELL_ROWS = 60_000
 #: Shingles of whole sets that meet in one block of a family.
 BLOCK_SHINGLES = 1 << 20
 
@@ -207,7 +211,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **opti
 
 
 def _marked(rows: DataFrame, words: int) -> DataFrame:
-    """rows: _row, k, said, t -> _row, k, said, same (digest of the different shingles), n (how many there are), fp (their fingerprint), prefix; stored."""
+    """rows: _row, k, said, t -> _row, k, said, same (digest of the different shingles), n (how many there are), fp (their fingerprint), cells, prefix; stored."""
     import xxhash
 
     known, often = frequent(rows, "t", words)
@@ -217,10 +221,11 @@ def _marked(rows: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t, words) for t in batch.column(3).to_pylist()]
             fps = np.array([majority(s.view(np.uint64)) for s in sets], np.uint64)
             columns = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array([prefix(s, known, often) for s in sets], pa.list_(pa.int64()))], ["_row", "k", "said", "same", "n", "fp", "prefix"])
+            columns += [pa.array([cells(s).tobytes() for s in sets], pa.binary()), pa.array([prefix(s, known, often) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["_row", "k", "said", "same", "n", "fp", "cells", "prefix"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    return stored(rows.select("_row", "k", "said", "t").mapInArrow(tidy(seen), f"_row long, k {kind}, said binary, same binary, n int, fp long, prefix array<long>"), "shingle-prefixes")
+    return stored(rows.select("_row", "k", "said", "t").mapInArrow(tidy(seen), f"_row long, k {kind}, said binary, same binary, n int, fp long, cells binary, prefix array<long>"), "shingle-prefixes")
 
 
 def _close(i, left: np.ndarray, n: np.ndarray, fps: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -233,10 +238,18 @@ def _close(i, left: np.ndarray, n: np.ndarray, fps: np.ndarray, table: np.ndarra
     return j[near | (n[j] < SMALL_SET)]
 
 
-def similar_forest(n: np.ndarray, fps: np.ndarray, root: np.ndarray, shared=None) -> list[tuple[int, int]]:
+def _possible(i, left: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Those of ``left`` that cells don't prove unlike row i: sets differ in as many shingles at least as their cells do."""
+    j = left[enough(np.minimum(n[left], n[i]), n[left], n[i])]
+    apart = np.abs(counts[j] - counts[i]).sum(axis=1)
+    return j[enough((n[j] + n[i] - apart) // 2, n[j], n[i])]
+
+
+def similar_forest(n: np.ndarray, fps: np.ndarray, root: np.ndarray, shared=None, counts: np.ndarray | None = None, beyond: bool = False) -> list[tuple[int, int]]:
     """A spanning forest (places) of what links rows of different roots; rows of one root are connected from the start.
 
     ``shared(i, j)``: how many shingles set i has in common with each of the sets j. Without it all that the pivot tables leave is linked.
+    ``counts``: cells of the sets (signed), by which pairs are discarded, too. ``beyond``: only pairs that the pivot tables discard are looked at.
     """
     table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
     left, found = np.arange(len(n)), []
@@ -249,6 +262,10 @@ def similar_forest(n: np.ndarray, fps: np.ndarray, root: np.ndarray, shared=None
                 queue += left[own].tolist()
                 left = left[~own]
             j = _close(i, left, n, fps, table)
+            if beyond:
+                j = np.setdiff1d(left, j, assume_unique=True)
+            if counts is not None and len(j):
+                j = _possible(i, j, n, counts)
             if shared is not None and len(j):
                 j = j[enough(shared(i, j), n[j], n[i])]
             if len(j):
@@ -277,33 +294,35 @@ def shared_counts(sets: list[np.ndarray]):
     return shared
 
 
-def _close_links(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows: keys, id, fp, n, root -> a, b: forests of the pairs that the pivot tables leave in each group of equal keys."""
+def _close_links(rows: DataFrame, keys: list[str], beyond: bool) -> DataFrame:
+    """rows: keys, id, fp, n, root, cells -> a, b: forests of the pairs that are left to compare in each group of equal keys."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, a, b = batch.column(0), [], []
-            ids, fps, n, root = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+            *plain, counts = lists.flatten().flatten()
+            ids, fps, n, root = (c.to_numpy(zero_copy_only=False) for c in plain)
             fps, sizes = fps.view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False)
+            counts = np.frombuffer(b"".join(counts.to_pylist()), np.uint8).reshape(-1, CELLS)
             for e, k in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
                 at = slice(e - k, e)
-                for i, j in similar_forest(n[at], fps[at], root[at]):
+                for i, j in similar_forest(n[at], fps[at], root[at], counts=counts[at].astype(np.int16), beyond=beyond):
                     a.append(ids[e - k + i])
                     b.append(ids[e - k + j])
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b)], ["a", "b"])
 
-    groups = rows.groupBy(*keys).agg(F.collect_list(F.struct("id", "fp", "n", "root")).alias("rows")).where(F.size("rows") > 1)
+    groups = rows.groupBy(*keys).agg(F.collect_list(F.struct("id", "fp", "n", "root", "cells")).alias("rows")).where(F.size("rows") > 1)
     return groups.select("rows").mapInArrow(tidy(linked), "a long, b long").distinct()
 
 
-def _set_links(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _set_links(rows: DataFrame, keys: list[str], beyond: bool) -> DataFrame:
     """rows: keys, id, fp, n, root, s -> a, b: forests of the pairs whose whole sets are similar, in each group of equal keys."""
 
     def linked(group: pa.Table) -> pa.Table:
         ids, fps, n, root = (group.column(c).to_numpy() for c in ("id", "fp", "n", "root"))
-        s = group.column("s").combine_chunks()
-        flat, ends = s.flatten().to_numpy(), np.cumsum(n.astype(np.int64))
-        found = similar_forest(n, fps.view(np.uint64), root, shared_counts(np.split(flat, ends[:-1]))) if len(ids) > 1 else []
+        sets = np.split(group.column("s").combine_chunks().flatten().to_numpy(), np.cumsum(n.astype(np.int64))[:-1])
+        counts = np.array([cells(s) for s in sets], np.int16)
+        found = similar_forest(n, fps.view(np.uint64), root, shared_counts(sets), counts, beyond) if len(ids) > 1 else []
         a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": ids[a], "b": ids[b]})
 
@@ -331,52 +350,84 @@ def similar_rows(table: DataFrame, *, text: str = "text", words: int = 5, group_
     return _similar(table, F.col("_row"), F.lit(0), text, words, group_rows, block_shingles).select("_row", "root")
 
 
-def _families(postings: DataFrame, group_rows: int) -> DataFrame:
-    """postings: s, id, n, fp, size (rows with s) -> node, root: rows that pairs left by the pivot tables connect; stored."""
+def _families(postings: DataFrame, group_rows: int, beyond: bool = False) -> DataFrame:
+    """postings: s, id, n, fp, cells, size (rows with s) -> node, root: rows that the pairs left to compare connect; stored."""
     block = F.pmod(F.xxhash64("id", "s"), F.ceil(F.col("size") / group_rows))
-    found = stored(_close_links(postings.select("s", block.alias("block"), "id", "fp", "n", F.col("id").alias("root")), ["s", "block"]), "close-links")
+    found = stored(_close_links(postings.withColumn("block", block).withColumn("root", F.col("id")), ["s", "block"], beyond), "close-links")
     families = stored(components(found), "families")
     large = postings.where(F.col("size") > group_rows)
     if large.take(1):
         rooted = large.join(bounded(families.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        more = _close_links(_rest(rooted.withColumn("weight", F.lit(1)), group_rows), ["s", "x", "y"])
+        more = _close_links(_rest(rooted.withColumn("weight", F.lit(1)), group_rows), ["s", "x", "y"], beyond)
         families = stored(components(stored(found.union(more), "close-links")), "families")
     return families
 
 
-def _links_in_families(members: DataFrame, postings: DataFrame, table: DataFrame, text: str, words: int, block_shingles: int) -> DataFrame:
-    """members: id, family, said, n, fp -> a, b: links that connect what all links of similar sets connect; stored."""
+def _links_in_families(members: DataFrame, postings: DataFrame, table: DataFrame, text: str, words: int, block_shingles: int, before: DataFrame | None = None) -> DataFrame:
+    """members: id, family, said, n, fp, root -> a, b: links that connect what all links of similar sets connect; stored.
+
+    Of pairs that the pivot tables leave, or with ``before`` (the links that gave the roots) of those that they discard.
+    """
+    beyond = before is not None
     weights = members.groupBy("family").agg(F.sum(F.col("n").cast("long")).alias("total"))
     blocks = F.ceil(F.col("total") / block_shingles)
     # A large family is dealt twice, so that blocks of one deal are connected by those of the other.
     deals = F.when(blocks > 1, F.array(F.pmod(F.xxhash64("id"), blocks), F.pmod(F.xxhash64("id", F.lit(1)), blocks) + blocks)).otherwise(F.array(F.lit(0).cast("long")))
-    dealt = stored(members.join(bounded(weights), "family").withColumn("block", F.explode(deals)).withColumn("root", F.col("id")).withColumn("large", blocks > 1).drop("total"), "families-dealt")
-    found = stored(_set_links(with_sets(dealt, table, text=text, words=words), ["family", "block"]), "set-links")
+    dealt = stored(members.join(bounded(weights), "family").withColumn("block", F.explode(deals)).withColumn("large", blocks > 1).drop("total"), "families-dealt")
+    found = stored(_set_links(with_sets(dealt, table, text=text, words=words), ["family", "block"], beyond), "set-links")
     large = dealt.where("large").drop("root", "block", "family", "large").distinct()
     if not large.take(1):
         return found
     # Links have a prefix's shingle in common: what blocks leave apart in a large family meets by these, not all with all.
-    rooted = large.join(bounded(components(found).withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    linked = found.union(before) if beyond else found
+    rooted = large.join(bounded(components(linked).withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     met = stored(_rest(postings.select("s", "id").join(rooted.withColumn("weight", F.col("n").cast("long")), "id").select("s", "id", "root", "weight"), block_shingles), "rest-blocks").drop("weight", "root")
     asked = stored(rooted.join(bounded(met.select("id").distinct()), "id", "left_semi"), "rest-asked")
     sets = with_sets(asked, table, text=text, words=words)
-    more = _set_links(met.withColumnRenamed("s", "key").join(sets, "id"), ["key", "x", "y"])
+    more = _set_links(met.withColumnRenamed("s", "key").join(sets, "id"), ["key", "x", "y"], beyond)
     return stored(found.union(more), "set-links")
 
 
+def _links_left(links: DataFrame, classes: DataFrame, marks: DataFrame, postings: DataFrame, table: DataFrame, text: str, words: int, group_rows: int, block_shingles: int) -> DataFrame:
+    """``links`` and those of similar sets that the pivot tables discard: rows of different roots under one shingle meet again."""
+    rooted = stored(components(links).withColumnRenamed("node", "id"), "roots")
+    root = F.coalesce("root", "id")
+    several = lambda rows, key: rows.groupBy(key).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(key)
+    left = postings.join(bounded(rooted), "id", "left").withColumn("root", root)
+    left = stored(left.join(bounded(stored(several(left, "s"), "shingles-left")), "s").drop("root"), "postings-left")
+    if not left.take(1):
+        return links
+    families = _families(left.join(bounded(marks, CELL_ROWS), "id"), group_rows, beyond=True)
+    members = classes.join(bounded(families.select(F.col("node").alias("id"), F.col("root").alias("family"))), "id")
+    members = members.join(bounded(rooted), "id", "left").withColumn("root", root)
+    members = stored(members.join(bounded(several(members, "family")), "family", "left_semi"), "members-left")
+    if not members.take(1):
+        return links
+    return links.union(_links_in_families(members, left, table, text, words, block_shingles, links))
+
+
 def _similar(table: DataFrame, row: Column, key: Column, text: str, words: int, group_rows: int, block_shingles: int) -> DataFrame:
     """_row, k (the key), said (``text_id``), root."""
     small_batches(table.sparkSession)
     marked = _marked(table.select(row.alias("_row"), key.alias("k"), text_id(F.col(text)).alias("said"), F.col(text).cast("string").alias("t")), words)
     classes = stored(marked.groupBy("same").agg(F.min(F.struct("_row", "said", "n", "fp")).alias("first")).select("same", F.col("first._row").alias("id"), "first.said", "first.n", "first.fp"), "shingle-classes")
     own = marked.withColumnRenamed("_row", "id").join(bounded(classes.select("id")), "id", "left_semi")
-    postings = own.select("id", "n", "fp", F.explode("prefix").alias("s"))
+    postings = own.select("id", F.explode("prefix").alias("s"))
     met = stored(postings.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shingle-meetings")
-    postings = stored(postings.join(bounded(met), "s"), "shingle-postings")
-    families = _families(postings, group_rows)
-    members = classes.drop("same").join(bounded(families.select(F.col("node").alias("id"), F.col("root").alias("family"))), "id")
+    every = stored(postings.join(bounded(met), "s"), "shingle-postings")
+    # Of shingles that the same rows have, one will do.
+    held = [F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    groups = stored(every.groupBy("s", "size").agg(*held).groupBy("size", "low", "high", "x", "y").agg(F.min("s").alias("s")).select("s"), "shingle-groups")
+    postings = stored(every.join(bounded(groups), "s"), "shingle-postings")
+    discard(every)
+    sets = classes.drop("same")
+    marks = stored(own.select("id", "n", "fp", "cells").join(bounded(postings.select("id").distinct()), "id", "left_semi"), "shingle-cells")
+    cell_rows = max(2, group_rows // 4)  # rows with cells are wide
+    families = _families(postings.join(bounded(marks, CELL_ROWS), "id"), cell_rows)
+    members = sets.join(bounded(families.select(F.col("node").alias("id"), F.col("root").alias("family"))), "id").withColumn("root", F.col("id"))
     links = _links_in_families(members, postings, table, text, words, block_shingles)
-    for made in (met, postings):
+    links = _links_left(links, sets, marks, postings, table, text, words, cell_rows, block_shingles)
+    for made in (met, groups, postings):
         discard(made)
     named = classes.select("same", "id").join(components(links).withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("root", "id").alias("root"))
     return marked.select("_row", "k", "said", "same").join(named, "same").select("_row", "k", "said", "root")

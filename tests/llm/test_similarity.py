@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pytest
+import xxhash
 
 import corpus_pipeline
 from scriptorium.llm import shingles, simhash
@@ -126,6 +128,71 @@ def test_pivots_leave_similar_sets():
     assert lost == 0
 
 
+def least_shingles_apart():
+    """Two texts of similarity 900 / 1100; the second has none of the first's 20 least shingles."""
+    one = [f"w{i}" for i in range(1004)]
+    digest = lambda i: np.uint64(xxhash.xxh64_intdigest(" ".join(one[i : i + 5]), seed=shingles.HASH_SEED)).view(np.int64)
+    two = list(one)
+    for i in sorted(range(1000), key=digest)[:20]:
+        two[i + 2] = f"e{i}"
+    return " ".join(one), " ".join(two)
+
+
+def fingerprints_apart():
+    """Two texts of similarity 36 / 44, built word by word so that most bits have no clear majority and the last four words decide them."""
+    vocabulary, sides = [f"w{i}" for i in range(300)], np.where(np.arange(64) % 2, 1, -1)
+
+    def grown(words, total, n, aim):
+        words, total = list(words), total.copy()
+        for _ in range(n):
+            bits = {w: np.unpackbits(np.array([xxhash.xxh64_intdigest(" ".join([*words[-4:], w]), seed=shingles.HASH_SEED)], "<u8").view(np.uint8), bitorder="little") * 2.0 - 1 for w in vocabulary}
+            best = min(vocabulary, key=lambda w: aim(total + bits[w]))
+            words.append(best)
+            total += bits[best]
+        return words, total
+
+    base, total = grown([f"s{i}" for i in range(4)], np.zeros(64), 36, lambda m: (m * m).sum())
+    return tuple(" ".join(grown(base, total, 4, lambda m: (np.clip(m, -1, 1) * sides * way).sum())[0]) for way in (1, -1))
+
+
+def test_similar_texts_without_a_common_least_shingle_meet(spark, data):
+    one, two = least_shingles_apart()
+    x, y = (shingles.shingles(t, 5) for t in (one, two))
+    assert shingles.enough(len(np.intersect1d(x, y)), len(x), len(y))
+    assert not np.isin(x[:20], y).any()
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, data).collect()] == [1]
+
+
+def test_similar_texts_with_unlike_fingerprints_meet(spark, data):
+    one, two = fingerprints_apart()
+    x, y = (shingles.shingles(t, 5) for t in (one, two))
+    assert shingles.enough(len(np.intersect1d(x, y)), len(x), len(y))
+    assert (simhash.majority(x.view(np.uint64)) ^ simhash.majority(y.view(np.uint64))).bit_count() > simhash.WIDE
+    docs = spark.createDataFrame([(1, one), (2, two), (3, "other " + two)], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, data).collect()] == [1]
+
+
+@pytest.mark.parametrize("group_rows, block_shingles", [(2048, 1 << 20), (4, 300)])
+def test_the_pivot_tables_leave_out_nothing(spark, monkeypatch, group_rows, block_shingles):
+    monkeypatch.setattr(simhash, "WIDE", 6)
+    texts = different_texts(25)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.keep_dissimilar(docs, group_rows=group_rows, block_shingles=block_shingles).collect())
+    assert kept == brute_kept(list(enumerate(texts)))
+
+
+def test_cells_discard_no_similar_set():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 400, 100_000):  # in the last, a cell holds over 255
+        base = rng.integers(-(1 << 62), 1 << 62, n + n // 9)
+        for gone in range(0, n // 9 + 1, max(1, n // 90)):
+            x, y = base[:n], base[gone : n + gone]
+            counts = np.array([shingles.cells(x), shingles.cells(y)], np.int16)
+            assert simhash._possible(0, np.array([1]), np.array([n, n]), counts).tolist() == [1]
+    unlike = [rng.integers(-(1 << 62), 1 << 62, 300) for _ in "xy"]
+    assert not len(simhash._possible(0, np.array([1]), np.array([300, 300]), np.array([shingles.cells(s) for s in unlike], np.int16)))
+
 def test_rows_that_repeat_key_and_text_keep_one(spark):
     text = "one two three four five six seven"
     rows = [(7, text, "a", 1), (7, text, "b", 2), (8, text, "c", 3), (None, text, "d", 4), (None, None, "e", 5), (None, None, "f", 6), (9, "", "g", 7), (9, None, "h", 8)]
